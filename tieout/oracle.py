@@ -202,3 +202,164 @@ def pivot_sql() -> dict[str, str]:
         "b7_ledger_rep_client_tree": _tree_sql("o_ledger", "rep", "name", "amount", where="WHERE rep <> ''"),
         "b8_payroll_bill_to_tree": _tree_sql("o_payroll", "bill_to_name", "name", "item_bill"),
     }
+
+
+# --- clients (D1-D6, E1) ---------------------------------------------------------------
+
+def client_ctes() -> list[tuple[str, str]]:
+    """Brute-force client linking: every (ledger, payroll) pair is scored."""
+    nq, na = norm_client_sql("qb_name"), norm_client_sql("av_name")
+    sim_m = client_sim_sql("mapped", "av_name")
+    sim_n = client_sim_sql("qb_norm", "av_norm")
+    return [
+        ("lc0", "SELECT name AS qb_name, sum(amount) AS qb_total, min(amount) AS qb_o1 FROM o_ledger GROUP BY name"),
+        ("lc", "SELECT l.qb_name, l.qb_total, l.qb_o1, min(o.item) AS qb_o2 FROM lc0 l JOIN o_ledger o "
+               "ON o.name = l.qb_name AND o.amount = l.qb_o1 GROUP BY ALL"),
+        ("pc", "SELECT bill_to_name AS av_name, sum(item_bill) AS av_total, min(name) AS av_o1 FROM o_payroll "
+               "GROUP BY bill_to_name"),
+        ("rb", "SELECT lower(key) AS rule_key, mapped FROM (SELECT key, mapped, row_number() OVER "
+               "(PARTITION BY lower(key) ORDER BY seq DESC) AS rn FROM (SELECT name_a AS key, name_b AS mapped, "
+               "CAST(row_no AS BIGINT) * 2 AS seq FROM f_rules UNION ALL SELECT name_b, name_a, "
+               "CAST(row_no AS BIGINT) * 2 + 1 FROM f_rules) r WHERE key IS NOT NULL AND mapped IS NOT NULL) x "
+               "WHERE rn = 1"),
+        ("lcx", f"SELECT lc.*, rb.mapped, {nq} AS qb_norm FROM lc LEFT JOIN rb ON lower(lc.qb_name) = rb.rule_key"),
+        ("pcx", f"SELECT pc.*, {na} AS av_norm FROM pc"),
+        ("ccand", f"""
+SELECT qb_name, av_name, 1 AS tier, 1.0 AS score FROM lcx JOIN pcx ON lower(mapped) = lower(av_name)
+  WHERE qb_name <> '' AND mapped IS NOT NULL
+UNION ALL SELECT qb_name, av_name, 2, {sim_m} FROM lcx, pcx
+  WHERE qb_name <> '' AND mapped IS NOT NULL AND {sim_m} >= 0.75
+UNION ALL SELECT qb_name, av_name, 3, 1.0 FROM lcx JOIN pcx ON lower(qb_name) = lower(av_name) WHERE qb_name <> ''
+UNION ALL SELECT qb_name, av_name, 4, {sim_n} FROM lcx, pcx
+  WHERE qb_name <> '' AND {zero_out_sql('qb_total', 'av_total')} AND {sim_n} >= 0.3
+UNION ALL SELECT qb_name, av_name, 5, {sim_n} FROM lcx, pcx WHERE qb_name <> '' AND {sim_n} >= 0.5"""),
+        ("cbest", "SELECT qb_name, av_name, tier, score FROM (SELECT c.*, row_number() OVER (PARTITION BY c.qb_name "
+                  "ORDER BY c.tier, c.score DESC, pc.av_o1, c.av_name) AS rn FROM ccand c JOIN pc USING (av_name)) x "
+                  "WHERE rn = 1"),
+        ("cled", f"""
+SELECT l.qb_name AS unified_name, l.qb_name, b.av_name, l.qb_total, p.av_total, l.mapped,
+  0 AS w_side, l.qb_o1 AS w_amt, l.qb_o2 AS w_str
+FROM lcx l LEFT JOIN cbest b USING (qb_name) LEFT JOIN pc p ON p.av_name = b.av_name"""),
+        ("cleft", """
+SELECT pc.av_name AS unified_name, CAST(NULL AS VARCHAR) AS qb_name, pc.av_name, CAST(NULL AS DECIMAL(38,2)) AS qb_total,
+  pc.av_total, CAST(NULL AS VARCHAR) AS mapped, 1 AS w_side, CAST(NULL AS DECIMAL(38,2)) AS w_amt, pc.av_o1 AS w_str
+FROM pc WHERE lower(pc.av_name) NOT IN (SELECT lower(av_name) FROM cled WHERE av_name IS NOT NULL)"""),
+        ("cmatch0", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lower(unified_name) ORDER BY w_side DESC, "
+                    "w_amt DESC NULLS LAST, w_str DESC, unified_name DESC) AS rn FROM (SELECT * FROM cled UNION ALL "
+                    "SELECT * FROM cleft) u) x WHERE rn = 1"),
+        ("cmatch", f"SELECT unified_name, qb_name, av_name, {match_type_sql()} AS match_type, qb_total, av_total "
+                   "FROM cmatch0"),
+    ]
+
+
+def match_type_sql() -> str:
+    nq, na = norm_client_sql("qb_name"), norm_client_sql("av_name")
+    fq, fa = first2_sql(nq), first2_sql(na)
+    similar = (f"(lower({nq}) = lower({na}) OR ({fq} <> '' AND {fa} <> '' AND lower({fq}) = lower({fa})) "
+               f"OR (length({nq}) > 3 AND strpos(lower({na}), lower({nq})) > 0) "
+               f"OR (length({na}) > 3 AND strpos(lower({nq}), lower({na})) > 0))")
+    return (f"CASE WHEN av_name IS NULL AND qb_name IS NOT NULL THEN 'LedgerOnly' "
+            f"WHEN qb_name IS NULL THEN 'PayrollOnly' "
+            f"WHEN lower(qb_name) = lower(av_name) THEN 'Exact' "
+            f"WHEN mapped IS NOT NULL AND lower(mapped) = lower(av_name) THEN 'ExceptionRule' "
+            f"WHEN {zero_out_sql('qb_total', 'av_total')} AND {similar} THEN 'AmountZeroOut' "
+            f"WHEN lower({nq}) = lower({na}) THEN 'Normalized' "
+            f"WHEN {fq} <> '' AND lower({fq}) = lower({fa}) THEN 'FirstWords' ELSE 'Fuzzy' END")
+
+
+MATCH_NOTES_SQL = """CASE match_type WHEN 'ExceptionRule' THEN 'Matched via exception rule'
+  WHEN 'AmountZeroOut' THEN 'Matched via amounts that zero out + similar names (likely same client)'
+  WHEN 'Normalized' THEN 'Matched after name normalization' WHEN 'FirstWords' THEN 'Matched on first words'
+  WHEN 'Fuzzy' THEN 'Fuzzy match (contains)' WHEN 'LedgerOnly' THEN 'Ledger only - no payroll match'
+  WHEN 'PayrollOnly' THEN 'Payroll only - no ledger match' ELSE '' END"""
+
+
+def summary_ctes() -> list[tuple[str, str]]:
+    return client_ctes() + [
+        ("dep1", "SELECT client_name, arg_min(payment_method, row_idx) AS payment_method FROM o_deposits "
+                 "GROUP BY client_name"),
+        ("lsite0", "SELECT name, memo, min(amount) AS o1 FROM o_ledger WHERE memo <> '' GROUP BY name, memo"),
+        ("lsite", "SELECT s.name, s.memo, s.o1, min(o.item) AS o2 FROM lsite0 s JOIN o_ledger o ON o.name = s.name "
+                  "AND o.memo = s.memo AND o.amount = s.o1 GROUP BY ALL"),
+        ("lstat", "SELECT name AS ls_name, sum(amount) AS qb_balance, count(DISTINCT type) AS qb_invoice_count, "
+                  "(SELECT string_agg(memo, ', ' ORDER BY o1, o2, memo) FROM lsite WHERE lsite.name = o_ledger.name) "
+                  "AS job_sites FROM o_ledger GROUP BY name"),
+        ("pstat", "SELECT bill_to_name AS ps_name, sum(item_bill) AS avi_balance, count(*) AS payroll_record_count, "
+                  "string_agg(DISTINCT name, ', ' ORDER BY name) AS employees FROM o_payroll GROUP BY bill_to_name"),
+        ("summary", f"""
+SELECT coalesce(m.qb_name, m.unified_name) AS client_name,
+  coalesce(CAST(ls.qb_balance AS DECIMAL(18,2)), 0.00::DECIMAL(18,2)) AS qb_balance,
+  coalesce(m.av_name, '') AS avi_client_name,
+  coalesce(CAST(ps.avi_balance AS DECIMAL(18,2)), 0.00::DECIMAL(18,2)) AS avi_balance,
+  CAST(coalesce(CAST(ls.qb_balance AS DECIMAL(18,2)), 0) - coalesce(CAST(ps.avi_balance AS DECIMAL(18,2)), 0)
+       AS DECIMAL(18,2)) AS variance,
+  coalesce(dq.payment_method, da.payment_method, 'Research pymt method') AS payment_type,
+  '' AS team, '' AS pr_rep, '' AS send_type, '' AS account_type, '' AS billing_notes,
+  {MATCH_NOTES_SQL} AS notes, '' AS status,
+  coalesce(ls.qb_invoice_count, 0) AS qb_invoice_count, coalesce(ps.payroll_record_count, 0) AS payroll_record_count,
+  coalesce(ps.employees, '') AS employees, coalesce(ls.job_sites, '') AS job_sites, m.match_type, m.unified_name
+FROM cmatch m
+LEFT JOIN lstat ls ON coalesce(m.qb_name, '') <> '' AND m.qb_name = ls.ls_name
+LEFT JOIN pstat ps ON coalesce(m.av_name, '') <> '' AND m.av_name = ps.ps_name
+LEFT JOIN dep1 dq ON coalesce(m.qb_name, '') <> '' AND m.qb_name = dq.client_name
+LEFT JOIN dep1 da ON coalesce(m.av_name, '') <> '' AND m.av_name = da.client_name"""),
+    ]
+
+
+def d3_ctes() -> list[tuple[str, str]]:
+    """Reverse lookup (payroll -> ledger), brute force."""
+    nq, na = norm_client_sql("qb_name"), norm_client_sql("av_name")
+    sim = client_sim_sql("mapped", "qb_name")
+    return client_ctes()[:4] + [
+        ("pr", f"SELECT pc.av_name, rb.mapped, {na} AS av_norm FROM pc LEFT JOIN rb ON lower(pc.av_name) = rb.rule_key "
+               "WHERE pc.av_name <> ''"),
+        ("lr", f"SELECT qb_name, qb_o1, qb_o2, {nq} AS qb_norm FROM lc"),
+        ("rcand", f"""
+SELECT av_name, qb_name, 1 AS tier, 1.0 AS score FROM pr JOIN lr ON lower(mapped) = lower(qb_name)
+UNION ALL SELECT av_name, qb_name, 2, {sim} FROM pr, lr WHERE mapped IS NOT NULL AND {sim} >= 0.75
+UNION ALL SELECT av_name, qb_name, 3, 1.0 FROM pr JOIN lr ON lower(av_name) = lower(qb_name)
+UNION ALL SELECT av_name, qb_name, 4, 1.0 FROM pr JOIN lr ON lower(av_norm) = lower(qb_norm)
+UNION ALL SELECT av_name, qb_name, 5, 1.0 FROM pr JOIN lr ON {first2_sql('av_norm')} <> ''
+  AND lower({first2_sql('av_norm')}) = lower({first2_sql('qb_norm')})
+UNION ALL SELECT av_name, qb_name, 6, 1.0 FROM pr, lr
+  WHERE strpos(lower(qb_norm), lower(av_norm)) > 0 OR strpos(lower(av_norm), lower(qb_norm)) > 0"""),
+    ]
+
+
+def client_sql() -> dict[str, str]:
+    cc = client_ctes()
+    sc = summary_ctes()
+    nt, nc = norm_client_sql("target"), norm_client_sql("choice")
+    sim = client_sim_sql("t_norm", "c_norm")
+    fw = f"(CASE WHEN {first2_sql('t_norm')} <> '' AND {first2_sql('c_norm')} <> '' AND lower({first2_sql('t_norm')}) = lower({first2_sql('c_norm')}) THEN 0.85 ELSE 0.0 END)"  # noqa: E501
+    ct = ("(CASE WHEN length(t_norm) >= 3 AND length(c_norm) >= 3 AND (strpos(lower(t_norm), lower(c_norm)) > 0 "
+          "OR strpos(lower(c_norm), lower(t_norm)) > 0) THEN 0.75 ELSE 0.0 END)")
+    ratio = lev_ratio_sql("t_norm", "c_norm")
+    reason = (f"CASE WHEN lower(t_norm) = lower(c_norm) THEN 'Exact match' "
+              f"WHEN {fw} > 0 THEN 'First words match (' || {pct_sql(fw)} || ')' "
+              f"WHEN {ct} > 0 THEN 'Contains match (' || {pct_sql(ct)} || ')' "
+              f"WHEN {ratio} > 0 THEN 'Similarity match (' || {pct_sql(ratio)} || ')' "
+              f"ELSE 'No significant match' END")
+    d6 = [("tg", f"SELECT DISTINCT qb_name AS target, {nt.replace('target', 'qb_name')} AS t_norm FROM lc"),
+          ("ch", f"SELECT av_name AS choice, av_o1, {nc.replace('choice', 'av_name')} AS c_norm FROM pc"),
+          ("sc", f"SELECT target, choice, av_o1, {sim} AS score, {reason} AS reason FROM tg, ch "
+                 f"WHERE trim(target) <> '' AND {sim} >= 0.7"),
+          ("b6", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, av_o1, choice) "
+                 "AS rn FROM sc) x WHERE rn = 1")]
+    return {
+        "d1_bidirectional_rules": with_inputs(cc) + "SELECT rule_key, mapped FROM rb",
+        "d2_best_payroll_client": with_inputs(cc) + "SELECT qb_name, av_name, tier, round(score, 6) AS score FROM cbest",
+        "d3_best_ledger_client": with_inputs(d3_ctes()) + (
+            "SELECT av_name, qb_name, tier FROM (SELECT c.*, row_number() OVER (PARTITION BY c.av_name ORDER BY "
+            "c.tier, c.score DESC, lr.qb_o1, lr.qb_o2, c.qb_name) AS rn FROM rcand c JOIN lr USING (qb_name)) x "
+            "WHERE rn = 1"),
+        "d4_unified_matches": with_inputs(cc) + (
+            "SELECT unified_name, qb_name, av_name, match_type, CAST(qb_total AS DECIMAL(18,2)) AS qb_total, "
+            "CAST(av_total AS DECIMAL(18,2)) AS av_total FROM cmatch"),
+        "d6_extract_best_client": with_inputs(cc + d6) + (
+            "SELECT tg.target, b6.choice AS best_match, round(coalesce(b6.score, 0.0), 6) AS score, "
+            "CASE WHEN trim(tg.target) = '' THEN 'Empty target' ELSE coalesce(b6.reason, "
+            "'No match above 70% threshold') END AS reason FROM tg LEFT JOIN b6 USING (target)"),
+        "b14_first_deposit_method": with_inputs(sc) + "SELECT client_name, payment_method FROM dep1",
+        "e1_client_summary": with_inputs(sc) + "SELECT * FROM summary",
+    }

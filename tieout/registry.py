@@ -11,7 +11,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import pivots
+from pyspark.sql import functions as F
+
+from .operators import clients, pivots, recon
 from .plans.inputs import fixture_inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,8 +86,69 @@ def b8(spark, sf):
     return pivots.payroll_bill_to_tree(fixture_inputs(spark, sf).payroll)
 
 
+# --- 2.3 client matching -------------------------------------------------------------
+
+def _match(spark, sf):
+    i = fixture_inputs(spark, sf)
+    return i, clients.unified_matches(i.ledger, i.payroll, i.rules)
+
+
+@query("d1_bidirectional_rules")
+def d1(spark, sf):
+    return clients.bidirectional_rules(fixture_inputs(spark, sf).rules)
+
+
+@query("d2_best_payroll_client")
+def d2(spark, sf):
+    i = fixture_inputs(spark, sf)
+    lc, pc = clients.ledger_clients(i.ledger), clients.payroll_clients(i.payroll)
+    b = clients.best_payroll_client(lc, pc, i.rules)
+    return b.select("qb_name", "av_name", "tier", F.round("score", 6).alias("score"))
+
+
+@query("d3_best_ledger_client")
+def d3(spark, sf):
+    i = fixture_inputs(spark, sf)
+    lc, pc = clients.ledger_clients(i.ledger), clients.payroll_clients(i.payroll)
+    return clients.best_ledger_client(lc, pc, i.rules)
+
+
+@query("d4_unified_matches")
+def d4(spark, sf):
+    _, cm = _match(spark, sf)
+    return cm.matches.select("unified_name", "qb_name", "av_name", "match_type",
+                             F.col("qb_total").cast("decimal(18,2)").alias("qb_total"),
+                             F.col("av_total").cast("decimal(18,2)").alias("av_total"))
+
+
+@query("d6_extract_best_client")
+def d6(spark, sf):
+    i = fixture_inputs(spark, sf)
+    lc, pc = clients.ledger_clients(i.ledger), clients.payroll_clients(i.payroll)
+    r = clients.extract_best_client(lc, pc, target_col="qb_name", choice_col="av_name", order_cols=("av_o1",))
+    return r.withColumn("score", F.round("score", 6))
+
+
+@query("b14_first_deposit_method")
+def b14(spark, sf):
+    return recon.first_deposit_method(fixture_inputs(spark, sf).deposits)
+
+
+def _summary(spark, sf):
+    i, cm = _match(spark, sf)
+    return recon.client_summary(cm, i.ledger, i.payroll, i.deposits)
+
+
+@query("e1_client_summary")
+def e1(spark, sf):
+    s = _summary(spark, sf)
+    return (s.withColumn("employees", F.array_join("employees", ", "))
+            .withColumn("job_sites", F.array_join("job_sites", ", ")))
+
+
 def oracle_sql() -> dict[str, str]:
     from . import oracle
     out: dict[str, str] = {}
     out.update(oracle.pivot_sql())
+    out.update(oracle.client_sql())
     return {k: v for k, v in out.items() if k in QUERIES}
