@@ -79,7 +79,86 @@ def client_summary(cm: ClientMatch, ledger: DataFrame, payroll: DataFrame, depos
 def dashboard_kpis(ledger: DataFrame, payroll: DataFrame, summary: DataFrame, variances: DataFrame) -> DataFrame:
     """Record counts, client count and variance count in one row."""
     one = F.lit(1)
-    return (ledger.agg(F.count(one).alias("ledger_records"))
-            .join(payroll.agg(F.count(one).alias("payroll_records")), how="inner")
-            .join(summary.agg(F.count(one).alias("clients")), how="inner")
-            .join(variances.agg(F.count(one).alias("variances")), how="inner"))
+    return ledger.agg(F.count(one).alias("ledger_records")).select(
+        "ledger_records",
+        payroll.agg(F.count(one)).scalar().alias("payroll_records"),
+        summary.agg(F.count(one)).scalar().alias("clients"),
+        variances.agg(F.count(one)).scalar().alias("variances"))
+
+
+# --- variance analysis (E2-E5) -------------------------------------------------------
+
+# Variance types and note texts (side names neutral: ledger/payroll).
+V_LEDGER_EMP, V_PAYROLL_EMP, V_AMOUNT = "Ledger Only Employee", "Payroll Only Employee", "Employee Amount Variance"
+V_CLIENT, V_LEDGER_CLIENT, V_PAYROLL_CLIENT = "Client Level Variance", "Ledger Only Client", "Payroll Only Client"
+
+
+def employee_level(cm: ClientMatch, ledger: DataFrame, payroll: DataFrame):
+    """Employee totals, candidates, greedy assignment and final employee matches."""
+    from .employees import context_candidates, employee_matches, employee_totals, greedy_assignment
+    le, pe = employee_totals(ledger, payroll, cm.matches)
+    cands = context_candidates(le, pe)
+    assigned = greedy_assignment(cands)
+    return employee_matches(le, pe, assigned), cands, assigned
+
+
+def variance_analysis(cm: ClientMatch, ledger: DataFrame, payroll: DataFrame, emp: DataFrame | None = None) -> DataFrame:
+    """E5 = E2 (employee rows) + E3 (unexplained client variance) + E4 (one-sided clients)."""
+    from ..functions.text import format_currency, format_n2
+    if emp is None:
+        emp = employee_level(cm, ledger, payroll)[0]
+    qa, pa = F.col("ledger_amount"), F.col("payroll_amount")
+    sig = F.abs(qa - pa) > 0.01
+    zero = (F.abs(F.abs(qa) - F.abs(pa)) < 0.01) & (F.abs(qa + pa) < 0.01)
+    et = F.col("emp_match_type")
+    e2 = (emp.filter(sig & ~((et != "LedgerOnly") & (et != "PayrollOnly") & zero))
+          .select(F.col("unified_name").alias("client_name"), "employee_name", F.lit("Multiple").alias("job_site"),
+                  qa.alias("ledger_amount"), pa.alias("payroll_amount"),
+                  F.when(et == "LedgerOnly", F.lit(V_LEDGER_EMP)).when(et == "PayrollOnly", F.lit(V_PAYROLL_EMP))
+                  .otherwise(F.lit(V_AMOUNT)).alias("variance_type"),
+                  F.when(et == "LedgerOnly", F.concat(F.lit("Employee exists only in the ledger for client "),
+                                                      F.col("unified_name")))
+                  .when(et == "PayrollOnly", F.concat(F.lit("Employee exists only in payroll for client "),
+                                                      F.col("unified_name")))
+                  .otherwise(F.concat(F.lit("Employee amounts differ: ledger $"), format_n2(qa),
+                                      F.lit(" vs payroll $"), format_n2(pa), F.lit(" (Match: "), et, F.lit(")")))
+                  .alias("notes")))
+    perfect = (F.coalesce(F.col("ledger_name"), F.lit("")) != "") & (F.coalesce(F.col("payroll_name"), F.lit("")) != "")
+    per_client = emp.groupBy("unified_name").agg(
+        F.sum(F.when(perfect & ~zero, qa - pa).otherwise(F.lit(0))).alias("matched_var"),
+        F.sum(F.when(~perfect, qa - pa).otherwise(F.lit(0))).alias("unmatched_var"))
+    linked = with_flags_linked(cm.matches)
+    e3 = (linked.join(per_client, "unified_name", "left")
+          .withColumn("cv", F.col("qb_total") - F.col("av_total"))
+          .withColumn("unexplained", F.col("cv") - (F.coalesce("matched_var", F.lit(0))
+                                                    + F.coalesce("unmatched_var", F.lit(0))))
+          .filter((F.abs("cv") > 0.01) & (F.abs("unexplained") > 0.01))
+          .select(F.col("unified_name").alias("client_name"), F.lit("Client Total").alias("employee_name"),
+                  F.lit("All").alias("job_site"), F.col("qb_total").alias("ledger_amount"),
+                  F.col("av_total").alias("payroll_amount"), F.lit(V_CLIENT).alias("variance_type"),
+                  F.concat(F.lit("Client total variance: "), format_currency(F.col("cv")), F.lit(" (Match: "),
+                           F.col("match_type"), F.lit(") - Unexplained: "), format_currency(F.col("unexplained")))
+                  .alias("notes")))
+    m = cm.matches
+    e4 = (m.filter(F.col("match_type").isin("LedgerOnly", "PayrollOnly"))
+          .select(F.when(F.col("match_type") == "LedgerOnly", F.col("qb_name")).otherwise(F.col("av_name"))
+                  .alias("client_name"), F.lit("Total").alias("employee_name"), F.lit("All").alias("job_site"),
+                  F.when(F.col("match_type") == "LedgerOnly", F.col("qb_total")).otherwise(F.lit(0))
+                  .alias("ledger_amount"),
+                  F.when(F.col("match_type") == "PayrollOnly", F.col("av_total")).otherwise(F.lit(0))
+                  .alias("payroll_amount"),
+                  F.when(F.col("match_type") == "LedgerOnly", F.lit(V_LEDGER_CLIENT))
+                  .otherwise(F.lit(V_PAYROLL_CLIENT)).alias("variance_type"),
+                  F.when(F.col("match_type") == "LedgerOnly", F.lit("Client exists only in the ledger"))
+                  .otherwise(F.lit("Client exists only in payroll")).alias("notes")))
+    out = e2.unionByName(e3).unionByName(e4)
+    return out.select("client_name", "employee_name", "job_site",
+                      F.col("ledger_amount").cast("decimal(18,2)").alias("ledger_amount"),
+                      F.col("payroll_amount").cast("decimal(18,2)").alias("payroll_amount"),
+                      (F.col("ledger_amount") - F.col("payroll_amount")).cast("decimal(18,2)").alias("variance"),
+                      "variance_type", "notes")
+
+
+def with_flags_linked(matches: DataFrame) -> DataFrame:
+    from .clients import with_flags
+    return with_flags(matches).filter("is_linked")

@@ -49,8 +49,8 @@ CLEAN_CTES = [("o_ledger", O_LEDGER), ("o_payroll", O_PAYROLL), ("o_deposits_typ
               ("o_deposits", O_DEPOSITS), ("o_annotations", F_ANNOTATIONS)]
 
 
-def with_inputs(extra: list[tuple[str, str]] | None = None) -> str:
-    return fixture_ctes(CLEAN_CTES + list(extra or []))
+def with_inputs(extra: list[tuple[str, str]] | None = None, recursive: bool = False) -> str:
+    return fixture_ctes(CLEAN_CTES + list(extra or []), recursive=recursive)
 
 
 # --- scalar function text ---------------------------------------------------------
@@ -363,3 +363,111 @@ def client_sql() -> dict[str, str]:
         "b14_first_deposit_method": with_inputs(sc) + "SELECT client_name, payment_method FROM dep1",
         "e1_client_summary": with_inputs(sc) + "SELECT * FROM summary",
     }
+
+
+# --- employees and variances (D9, D13, E2-E5) ---------------------------------------------
+
+def employee_ctes() -> list[tuple[str, str]]:
+    """All pairs inside each linked client scored; the greedy pass is a
+    recursive CTE walking ledger employees in entry order."""
+    ns = name_sim_sql("l_norm", "p_norm")
+    avail = "list_filter(e.c, lambda z: NOT list_contains(f.used, lower(z)))[1]"
+    return client_ctes() + [
+        ("linked", "SELECT * FROM cmatch WHERE coalesce(qb_name, '') <> '' AND coalesce(av_name, '') <> ''"),
+        ("le", f"SELECT k.unified_name, l.item AS l_item, sum(l.amount) AS qa, min(l.amount) AS l_o1, "
+               f"{norm_emp_sql('l.item')} AS l_norm FROM o_ledger l JOIN linked k ON l.name = k.qb_name "
+               "GROUP BY k.unified_name, l.item"),
+        ("pe", f"SELECT k.unified_name, p.name AS p_name, sum(p.item_bill) AS pa, {norm_emp_sql('p.name')} AS p_norm "
+               "FROM o_payroll p JOIN linked k ON p.bill_to_name = k.av_name GROUP BY k.unified_name, p.name"),
+        ("epairs", f"SELECT le.unified_name, le.l_item, le.l_o1, le.qa, pe.p_name, pe.pa, {ns} AS ns "
+                   "FROM le JOIN pe ON le.unified_name = pe.unified_name WHERE trim(le.l_item) <> ''"),
+        ("ecand", f"SELECT * FROM (SELECT *, {composite_sql('ns', 'qa', 'pa')} AS comp FROM epairs) x "
+                  "WHERE comp >= 0.6"),
+        ("erank", "SELECT *, row_number() OVER (PARTITION BY unified_name, l_item ORDER BY comp DESC, ns DESC, p_name) "
+                  "AS rank FROM ecand"),
+        ("lord", "SELECT unified_name, l_item, row_number() OVER (PARTITION BY unified_name ORDER BY l_o1, l_item) AS o "
+                 "FROM le"),
+        ("clist", "SELECT o.unified_name, o.o, o.l_item, coalesce(list(c.p_name ORDER BY c.rank) FILTER "
+                  "(WHERE c.p_name IS NOT NULL), CAST([] AS VARCHAR[])) AS c FROM lord o LEFT JOIN erank c "
+                  "ON c.unified_name = o.unified_name AND c.l_item = o.l_item GROUP BY o.unified_name, o.o, o.l_item"),
+        ("fold", f"""
+SELECT DISTINCT unified_name, CAST(0 AS BIGINT) AS o, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS VARCHAR) AS m,
+  CAST(NULL AS VARCHAR) AS l_item FROM lord
+UNION ALL
+SELECT f.unified_name, e.o, CASE WHEN {avail} IS NULL THEN f.used ELSE list_append(f.used, lower({avail})) END,
+  {avail}, e.l_item
+FROM fold f JOIN clist e ON e.unified_name = f.unified_name AND e.o = f.o + 1"""),
+        ("assigned", "SELECT unified_name, l_item, m AS p_name FROM fold WHERE o > 0 AND m IS NOT NULL"),
+        ("eled", f"""
+SELECT le.unified_name, le.l_item AS employee_name, le.l_item AS ledger_name, a.p_name AS payroll_name,
+  le.qa AS ledger_amount, coalesce(pe.pa, 0) AS payroll_amount,
+  CASE WHEN a.p_name IS NULL THEN 'LedgerOnly' WHEN lower(le.l_item) = lower(a.p_name) THEN 'Exact'
+       WHEN lower({norm_emp_sql('le.l_item')}) = lower({norm_emp_sql('a.p_name')}) THEN 'Normalized' ELSE 'Fuzzy' END
+    AS emp_match_type,
+  0 AS w_side, le.l_o1 AS w_amt, le.l_item AS w_str
+FROM le LEFT JOIN assigned a ON a.unified_name = le.unified_name AND a.l_item = le.l_item
+LEFT JOIN pe ON pe.unified_name = a.unified_name AND pe.p_name = a.p_name"""),
+        ("erest", """
+SELECT pe.unified_name, pe.p_name, CAST(NULL AS VARCHAR), pe.p_name, 0, pe.pa, 'PayrollOnly', 1,
+  CAST(NULL AS DECIMAL(18,2)), pe.p_name
+FROM pe WHERE NOT EXISTS (SELECT 1 FROM assigned a WHERE a.unified_name = pe.unified_name
+                                                     AND lower(a.p_name) = lower(pe.p_name))"""),
+        ("emp", "SELECT unified_name, employee_name, ledger_name, payroll_name, ledger_amount, payroll_amount, "
+                "emp_match_type FROM (SELECT *, row_number() OVER (PARTITION BY unified_name, lower(employee_name) "
+                "ORDER BY w_side DESC, w_amt DESC NULLS LAST, w_str DESC) AS rn FROM (SELECT * FROM eled UNION ALL "
+                "SELECT * FROM erest) u) x WHERE rn = 1"),
+        ("v2", f"""
+SELECT unified_name AS client_name, employee_name, 'Multiple' AS job_site, ledger_amount, payroll_amount,
+  CASE emp_match_type WHEN 'LedgerOnly' THEN 'Ledger Only Employee' WHEN 'PayrollOnly' THEN 'Payroll Only Employee'
+       ELSE 'Employee Amount Variance' END AS variance_type,
+  CASE emp_match_type WHEN 'LedgerOnly' THEN 'Employee exists only in the ledger for client ' || unified_name
+       WHEN 'PayrollOnly' THEN 'Employee exists only in payroll for client ' || unified_name
+       ELSE 'Employee amounts differ: ledger $' || {n2_sql('ledger_amount')} || ' vs payroll $' ||
+            {n2_sql('payroll_amount')} || ' (Match: ' || emp_match_type || ')' END AS notes
+FROM emp WHERE abs(ledger_amount - payroll_amount) > 0.01
+  AND NOT (emp_match_type NOT IN ('LedgerOnly', 'PayrollOnly') AND {zero_out_sql('ledger_amount', 'payroll_amount')})"""),
+        ("eagg", f"""
+SELECT unified_name,
+  sum(CASE WHEN coalesce(ledger_name, '') <> '' AND coalesce(payroll_name, '') <> ''
+           AND NOT {zero_out_sql('ledger_amount', 'payroll_amount')} THEN ledger_amount - payroll_amount ELSE 0 END)
+    AS matched_var,
+  sum(CASE WHEN NOT (coalesce(ledger_name, '') <> '' AND coalesce(payroll_name, '') <> '')
+           THEN ledger_amount - payroll_amount ELSE 0 END) AS unmatched_var
+FROM emp GROUP BY unified_name"""),
+        ("v3", f"""
+SELECT unified_name AS client_name, 'Client Total' AS employee_name, 'All' AS job_site, qb_total AS ledger_amount,
+  av_total AS payroll_amount, 'Client Level Variance' AS variance_type,
+  'Client total variance: ' || {currency_sql('cv')} || ' (Match: ' || match_type || ') - Unexplained: ' ||
+  {currency_sql('unexplained')} AS notes
+FROM (SELECT k.*, k.qb_total - k.av_total AS cv,
+        (k.qb_total - k.av_total) - (coalesce(a.matched_var, 0) + coalesce(a.unmatched_var, 0)) AS unexplained
+      FROM linked k LEFT JOIN eagg a USING (unified_name)) x
+WHERE abs(cv) > 0.01 AND abs(unexplained) > 0.01"""),
+        ("v4", """
+SELECT CASE WHEN match_type = 'LedgerOnly' THEN qb_name ELSE av_name END AS client_name, 'Total' AS employee_name,
+  'All' AS job_site, CASE WHEN match_type = 'LedgerOnly' THEN qb_total ELSE 0 END AS ledger_amount,
+  CASE WHEN match_type = 'PayrollOnly' THEN av_total ELSE 0 END AS payroll_amount,
+  CASE WHEN match_type = 'LedgerOnly' THEN 'Ledger Only Client' ELSE 'Payroll Only Client' END AS variance_type,
+  CASE WHEN match_type = 'LedgerOnly' THEN 'Client exists only in the ledger' ELSE 'Client exists only in payroll' END
+    AS notes
+FROM cmatch WHERE match_type IN ('LedgerOnly', 'PayrollOnly')"""),
+        ("variances", """
+SELECT client_name, employee_name, job_site, CAST(ledger_amount AS DECIMAL(18,2)) AS ledger_amount,
+  CAST(payroll_amount AS DECIMAL(18,2)) AS payroll_amount,
+  CAST(ledger_amount - payroll_amount AS DECIMAL(18,2)) AS variance, variance_type, notes
+FROM (SELECT * FROM v2 UNION ALL SELECT * FROM v3 UNION ALL SELECT * FROM v4) u"""),
+    ]
+
+
+def employee_sql() -> dict[str, str]:
+    ec = employee_ctes()
+    w = lambda q: with_inputs(ec, recursive=True) + q
+    return {
+        "d9_best_context_match": w("SELECT unified_name, l_item, p_name, round(comp, 6) AS composite, "
+                                   "round(ns, 6) AS name_sim FROM erank WHERE rank = 1"),
+        "d13_greedy_assignment": w("SELECT unified_name, l_item, p_name FROM assigned"),
+        "e2_employee_matches": w("SELECT unified_name, employee_name, ledger_name, payroll_name, "
+                                 "CAST(ledger_amount AS DECIMAL(18,2)) AS ledger_amount, "
+                                 "CAST(payroll_amount AS DECIMAL(18,2)) AS payroll_amount, emp_match_type FROM emp"),
+        "e5_variance_analysis": w("SELECT * FROM variances"),
+    }

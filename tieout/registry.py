@@ -146,9 +146,47 @@ def e1(spark, sf):
             .withColumn("job_sites", F.array_join("job_sites", ", ")))
 
 
+# --- employees and variances -----------------------------------------------------------
+
+def _employee_level(spark, sf):
+    i, cm = _match(spark, sf)
+    emp, cands, assigned = recon.employee_level(cm, i.ledger, i.payroll)
+    return i, cm, emp, cands, assigned
+
+
+@query("d9_best_context_match")
+def d9(spark, sf):
+    from .operators import employees
+    i, cm = _match(spark, sf)
+    le, pe = employees.employee_totals(i.ledger, i.payroll, cm.matches)
+    top = employees.best_context_match(employees.context_candidates(le, pe))
+    return top.select("unified_name", "l_item", "p_name", F.round("composite", 6).alias("composite"),
+                      F.round("name_sim", 6).alias("name_sim"))
+
+
+@query("d13_greedy_assignment")
+def d13(spark, sf):
+    return _employee_level(spark, sf)[4]
+
+
+@query("e2_employee_matches")
+def e2(spark, sf):
+    emp = _employee_level(spark, sf)[2]
+    return emp.select("unified_name", "employee_name", "ledger_name", "payroll_name",
+                      F.col("ledger_amount").cast("decimal(18,2)").alias("ledger_amount"),
+                      F.col("payroll_amount").cast("decimal(18,2)").alias("payroll_amount"), "emp_match_type")
+
+
+@query("e5_variance_analysis")
+def e5(spark, sf):
+    i, cm, emp, _, _ = _employee_level(spark, sf)
+    return recon.variance_analysis(cm, i.ledger, i.payroll, emp)
+
+
 def oracle_sql() -> dict[str, str]:
     from . import oracle
     out: dict[str, str] = {}
     out.update(oracle.pivot_sql())
     out.update(oracle.client_sql())
+    out.update(oracle.employee_sql())
     return {k: v for k, v in out.items() if k in QUERIES}

@@ -113,8 +113,8 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.table(name)
 
 
-def fixture_ctes(extra: list[tuple[str, str]] | None = None) -> str:
+def fixture_ctes(extra: list[tuple[str, str]] | None = None, recursive: bool = False) -> str:
     """``WITH`` prefix defining every fixture (plus ``extra`` CTEs) for DuckDB."""
     parts = [f"{name} AS ({sql.strip()})" for name, sql in FIXTURE_VIEWS]
     parts += [f"{name} AS ({sql.strip()})" for name, sql in (extra or [])]
-    return "WITH " + ",\n".join(parts) + "\n"
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts) + "\n"
