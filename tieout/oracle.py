@@ -247,7 +247,7 @@ FROM pc WHERE lower(pc.av_name) NOT IN (SELECT lower(av_name) FROM cled WHERE av
         ("cmatch0", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lower(unified_name) ORDER BY w_side DESC, "
                     "w_amt DESC NULLS LAST, w_str DESC, unified_name DESC) AS rn FROM (SELECT * FROM cled UNION ALL "
                     "SELECT * FROM cleft) u) x WHERE rn = 1"),
-        ("cmatch", f"SELECT unified_name, qb_name, av_name, {match_type_sql()} AS match_type, qb_total, av_total "
+        ("cmatch!", f"SELECT unified_name, qb_name, av_name, {match_type_sql()} AS match_type, qb_total, av_total "
                    "FROM cmatch0"),
     ]
 
@@ -374,20 +374,20 @@ def employee_ctes() -> list[tuple[str, str]]:
     avail = "list_filter(e.c, lambda z: NOT list_contains(f.used, lower(z)))[1]"
     return client_ctes() + [
         ("linked", "SELECT * FROM cmatch WHERE coalesce(qb_name, '') <> '' AND coalesce(av_name, '') <> ''"),
-        ("le", f"SELECT k.unified_name, l.item AS l_item, sum(l.amount) AS qa, min(l.amount) AS l_o1, "
+        ("le!", f"SELECT k.unified_name, l.item AS l_item, sum(l.amount) AS qa, min(l.amount) AS l_o1, "
                f"{norm_emp_sql('l.item')} AS l_norm FROM o_ledger l JOIN linked k ON l.name = k.qb_name "
                "GROUP BY k.unified_name, l.item"),
-        ("pe", f"SELECT k.unified_name, p.name AS p_name, sum(p.item_bill) AS pa, {norm_emp_sql('p.name')} AS p_norm "
+        ("pe!", f"SELECT k.unified_name, p.name AS p_name, sum(p.item_bill) AS pa, {norm_emp_sql('p.name')} AS p_norm "
                "FROM o_payroll p JOIN linked k ON p.bill_to_name = k.av_name GROUP BY k.unified_name, p.name"),
-        ("epairs", f"SELECT le.unified_name, le.l_item, le.l_o1, le.qa, pe.p_name, pe.pa, {ns} AS ns "
+        ("epairs", f"SELECT le.unified_name, le.l_item, le.l_o1, le.qa, le.l_norm, pe.p_name, pe.pa, pe.p_norm, {ns} AS ns "
                    "FROM le JOIN pe ON le.unified_name = pe.unified_name WHERE trim(le.l_item) <> ''"),
-        ("ecand", f"SELECT * FROM (SELECT *, {composite_sql('ns', 'qa', 'pa')} AS comp FROM epairs) x "
+        ("ecand!", f"SELECT * FROM (SELECT *, {composite_sql('ns', 'qa', 'pa')} AS comp FROM epairs) x "
                   "WHERE comp >= 0.6"),
-        ("erank", "SELECT *, row_number() OVER (PARTITION BY unified_name, l_item ORDER BY comp DESC, ns DESC, p_name) "
+        ("erank!", "SELECT *, row_number() OVER (PARTITION BY unified_name, l_item ORDER BY comp DESC, ns DESC, p_name) "
                   "AS rank FROM ecand"),
-        ("lord", "SELECT unified_name, l_item, row_number() OVER (PARTITION BY unified_name ORDER BY l_o1, l_item) AS o "
+        ("lord!", "SELECT unified_name, l_item, row_number() OVER (PARTITION BY unified_name ORDER BY l_o1, l_item) AS o "
                  "FROM le"),
-        ("clist", "SELECT o.unified_name, o.o, o.l_item, coalesce(list(c.p_name ORDER BY c.rank) FILTER "
+        ("clist!", "SELECT o.unified_name, o.o, o.l_item, coalesce(list(c.p_name ORDER BY c.rank) FILTER "
                   "(WHERE c.p_name IS NOT NULL), CAST([] AS VARCHAR[])) AS c FROM lord o LEFT JOIN erank c "
                   "ON c.unified_name = o.unified_name AND c.l_item = o.l_item GROUP BY o.unified_name, o.o, o.l_item"),
         ("fold", f"""
@@ -397,7 +397,7 @@ UNION ALL
 SELECT f.unified_name, e.o, CASE WHEN {avail} IS NULL THEN f.used ELSE list_append(f.used, lower({avail})) END,
   {avail}, e.l_item
 FROM fold f JOIN clist e ON e.unified_name = f.unified_name AND e.o = f.o + 1"""),
-        ("assigned", "SELECT unified_name, l_item, m AS p_name FROM fold WHERE o > 0 AND m IS NOT NULL"),
+        ("assigned!", "SELECT unified_name, l_item, m AS p_name FROM fold WHERE o > 0 AND m IS NOT NULL"),
         ("eled", f"""
 SELECT le.unified_name, le.l_item AS employee_name, le.l_item AS ledger_name, a.p_name AS payroll_name,
   le.qa AS ledger_amount, coalesce(pe.pa, 0) AS payroll_amount,
@@ -412,7 +412,7 @@ SELECT pe.unified_name, pe.p_name, CAST(NULL AS VARCHAR), pe.p_name, 0, pe.pa, '
   CAST(NULL AS DECIMAL(18,2)), pe.p_name
 FROM pe WHERE NOT EXISTS (SELECT 1 FROM assigned a WHERE a.unified_name = pe.unified_name
                                                      AND lower(a.p_name) = lower(pe.p_name))"""),
-        ("emp", "SELECT unified_name, employee_name, ledger_name, payroll_name, ledger_amount, payroll_amount, "
+        ("emp!", "SELECT unified_name, employee_name, ledger_name, payroll_name, ledger_amount, payroll_amount, "
                 "emp_match_type FROM (SELECT *, row_number() OVER (PARTITION BY unified_name, lower(employee_name) "
                 "ORDER BY w_side DESC, w_amt DESC NULLS LAST, w_str DESC) AS rn FROM (SELECT * FROM eled UNION ALL "
                 "SELECT * FROM erest) u) x WHERE rn = 1"),
@@ -471,3 +471,182 @@ def employee_sql() -> dict[str, str]:
                                  "CAST(payroll_amount AS DECIMAL(18,2)) AS payroll_amount, emp_match_type FROM emp"),
         "e5_variance_analysis": w("SELECT * FROM variances"),
     }
+
+
+# --- remaining operators -------------------------------------------------------------------
+
+def _dedupe(ctes: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    seen, out = set(), []
+    for n, q in ctes:
+        if n.rstrip("!") not in seen:
+            seen.add(n.rstrip("!"))
+            out.append((n, q))
+    return out
+
+
+def comp_similar_sql(a: str, b: str) -> str:
+    wa, wb = words_sql(a), words_sql(b)
+    na, nb = f"len({wa})", f"len({wb})"
+    f1, f2 = f"coalesce({wa}[1], '')", f"coalesce({wb}[1], '')"
+    l1 = f"(CASE WHEN {na} > 1 THEN {wa}[{na}] ELSE '' END)"
+    l2 = f"(CASE WHEN {nb} > 1 THEN {wb}[{nb}] ELSE '' END)"
+    la, lb = f"list_transform({wa}, lambda x: lower(x))", f"list_transform({wb}, lambda x: lower(x))"
+    prefix = f"(CASE WHEN {na} < {nb} THEN {lb}[1:{na}] = {la} ELSE {la}[1:{nb}] = {lb} END)"
+    fok = f"(lower({f1}) = lower({f2}) OR {str_sim_sql(f1, f2)} >= 0.8)"
+    lok = f"(lower({l1}) = lower({l2}) OR {str_sim_sql(l1, l2)} >= 0.8)"
+    return (f"(CASE WHEN {f1} = '' OR {f2} = '' THEN false WHEN NOT {fok} THEN false "
+            f"WHEN {na} <> {nb} THEN {prefix} WHEN {l1} <> '' AND {l2} <> '' THEN {lok} "
+            f"ELSE {str_sim_sql(a, b)} >= 0.8 END)")
+
+
+def emp_reason_sql(a: str, b: str) -> str:
+    r, p, so, se, c = str_sim_sql(a, b), partial_sql(a, b), sort_sql(a, b), set_sql(a, b), comp_sql(a, b)
+    best = f"greatest({r}, {p}, {so}, {se}, {c})"
+    label = (f"CASE WHEN {r} = {best} THEN 'Basic similarity' WHEN {p} = {best} THEN 'Partial match' "
+             f"WHEN {so} = {best} THEN 'Word order similarity' WHEN {se} = {best} THEN 'Word set similarity' "
+             f"ELSE 'Name component match' END")
+    return f"CASE WHEN lower({a}) = lower({b}) THEN 'Exact match' ELSE {label} || ' (' || {pct_sql(best)} || ')' END"
+
+
+def misc_sql() -> dict[str, str]:
+    cc, sc, ec = client_ctes(), summary_ctes(), employee_ctes()
+    allc = _dedupe(sc + ec)
+    wr = lambda q: with_inputs(allc, recursive=True) + q
+    tree = ("kids", "SELECT name AS g, item AS k, CAST(sum(amount) AS DECIMAL(18,2)) AS amount, count(*) AS cnt "
+                    "FROM o_ledger GROUP BY name, item")
+    tree_rows = ("tree", "SELECT 'group' AS level, g AS group_name, CAST(NULL AS VARCHAR) AS key, "
+                         "CAST(sum(amount) AS DECIMAL(18,2)) AS amount, sum(cnt)::BIGINT AS quantity, "
+                         "sum(cnt)::BIGINT AS cnt, count(*) AS n_children FROM kids GROUP BY g UNION ALL "
+                         "SELECT 'item', g, k, amount, cnt, cnt, CAST(NULL AS BIGINT) FROM kids")
+    sim = client_sim_sql("a", "b")
+    fwa, fwb = first2_sql("a"), first2_sql("b")
+    fw = f"(CASE WHEN {fwa} <> '' AND {fwb} <> '' AND lower({fwa}) = lower({fwb}) THEN 0.85 ELSE 0.0 END)"
+    ct = ("(CASE WHEN length(a) >= 3 AND length(b) >= 3 AND (strpos(lower(a), lower(b)) > 0 "
+          "OR strpos(lower(b), lower(a)) > 0) THEN 0.75 ELSE 0.0 END)")
+    ratio = lev_ratio_sql("a", "b")
+    reason = (f"CASE WHEN lower(a) = lower(b) THEN 'Exact match' "
+              f"WHEN {fw} > 0 THEN 'First words match (' || {pct_sql(fw)} || ')' "
+              f"WHEN {ct} > 0 THEN 'Contains match (' || {pct_sql(ct)} || ')' "
+              f"WHEN {ratio} > 0 THEN 'Similarity match (' || {pct_sql(ratio)} || ')' "
+              f"ELSE 'No significant match' END")
+    summ_cols = ("client_name, qb_balance, avi_client_name, avi_balance, variance, payment_type, team, pr_rep, "
+                 "send_type, account_type, billing_notes, notes, status, qb_invoice_count, payroll_record_count, "
+                 "match_type, unified_name")
+    sev = "CASE WHEN abs(variance) > 100 THEN 'major' WHEN abs(variance) > 10 THEN 'minor' ELSE 'none' END"
+    sign = "CASE WHEN variance > 0 THEN 'positive' WHEN variance < 0 THEN 'negative' ELSE 'zero' END"
+    badge = "CASE WHEN payment_type = 'Check' THEN 'check' WHEN payment_type = 'ACH' THEN 'ach' ELSE 'other' END"
+    pat = "(?i)(?:/(?:dp|gp/product|gp/aw/d|gp/offer-listing)/|[?&](?:ASIN|asin)=)([A-Z0-9]{10})"
+    pid = (f"CASE WHEN trim(coalesce(product_link, '')) = '' THEN CAST(NULL AS VARCHAR) "
+           f"ELSE upper(nullif(regexp_extract(trim(product_link), '{pat}', 1), '')) END")
+    ol = [("olp", f"SELECT *, {pid} AS product_id FROM f_order_lines"),
+          ("ptot", "SELECT order_id, product_id, CAST(sum(quantity) AS BIGINT) AS quantity, min(line_no) AS first_line "
+                   "FROM olp WHERE trim(coalesce(product_link, '')) <> '' AND quantity > 0 AND product_id IS NOT NULL "
+                   "AND quantity >= 1 GROUP BY order_id, product_id"),
+          ("slots", "SELECT order_id, row_number() OVER (PARTITION BY order_id ORDER BY first_line, product_id) AS i, "
+                    "product_id, quantity FROM ptot")]
+    tn, pn = norm_emp_sql("target"), norm_emp_sql("name")
+    trace = [
+        ("lh", "SELECT * FROM o_ledger WHERE strpos(lower(item), 'okafor') > 0"),
+        ("ph", "SELECT * FROM o_payroll WHERE strpos(lower(name), 'okafor') > 0"),
+        ("tm", "SELECT m.*, coalesce(m.qb_name, '') <> '' AND coalesce(m.av_name, '') <> '' AS is_linked, "
+               "coalesce(m.qb_name IN (SELECT name FROM lh), false) AS ledger_has, "
+               "coalesce(m.av_name IN (SELECT bill_to_name FROM ph), false) AS payroll_has FROM cmatch m"),
+        ("tm2", "SELECT * FROM tm WHERE ledger_has OR payroll_has"),
+        ("tf0", "SELECT k.unified_name, k.av_name, k.qb_name, min(lh.amount) AS a1 FROM lh JOIN tm2 k "
+                "ON lh.name = k.qb_name WHERE k.is_linked AND k.ledger_has GROUP BY ALL"),
+        ("tf", "SELECT f.unified_name, f.av_name, f.qb_name, min(lh.item) AS target FROM tf0 f JOIN lh "
+               "ON lh.name = f.qb_name AND lh.amount = f.a1 GROUP BY ALL"),
+        ("tt", f"SELECT f.*, {tn} AS t_norm, (SELECT sum(amount) FROM o_ledger o WHERE o.name = f.qb_name "
+               "AND o.item = f.target) AS target_amount FROM tf f"),
+        ("tpe", f"SELECT bill_to_name, name, sum(item_bill) AS amount, {pn} AS p_norm FROM o_payroll GROUP BY ALL"),
+        ("tc0", f"SELECT t.unified_name, t.target, t.target_amount, p.name, p.amount, "
+                f"{name_sim_sql('t.t_norm', 'p.p_norm')} AS ns FROM tt t JOIN tpe p ON p.bill_to_name = t.av_name"),
+        ("tc", f"SELECT *, {composite_sql('ns', 'target_amount', 'amount')} AS score FROM tc0"),
+        ("tc2", "SELECT *, CASE WHEN score >= 0.6 THEN row_number() OVER (PARTITION BY unified_name ORDER BY "
+                "score DESC, ns DESC, name) END AS rk FROM tc"),
+    ]
+    trace_sql = """
+SELECT 'ledger_hit' AS section, name AS client_name, 'ledger' AS side, item AS employee,
+  CAST(amount AS DECIMAL(18,2)) AS amount, NULL::VARCHAR AS ledger_name, NULL::VARCHAR AS payroll_name,
+  NULL::BOOLEAN AS is_linked, NULL::BOOLEAN AS ledger_has, NULL::BOOLEAN AS payroll_has, NULL::VARCHAR AS target,
+  NULL::DECIMAL(18,2) AS target_amount, NULL::DOUBLE AS score, NULL::BOOLEAN AS is_match,
+  NULL::DECIMAL(18,2) AS amount_diff FROM lh
+UNION ALL SELECT 'payroll_hit', bill_to_name, 'payroll', name, item_bill, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+  NULL, NULL, NULL FROM ph
+UNION ALL SELECT 'client_match', unified_name, NULL, NULL, NULL, qb_name, av_name, is_linked, ledger_has, payroll_has,
+  NULL, NULL, NULL, NULL, NULL FROM tm2
+UNION ALL SELECT 'candidate', unified_name, 'payroll', name, amount, NULL, NULL, NULL, NULL, NULL, target,
+  target_amount, round(score, 6), coalesce(rk = 1, false),
+  CASE WHEN rk = 1 THEN abs(target_amount - amount) END FROM tc2"""
+    c19 = f"""
+SELECT unified_name, l_item, p_name, round({str_sim_sql('l_norm', 'p_norm')}, 6) AS ratio,
+  round({partial_sql('l_norm', 'p_norm')}, 6) AS partial, round({sort_sql('l_norm', 'p_norm')}, 6) AS token_sort,
+  round({set_sql('l_norm', 'p_norm')}, 6) AS token_set, round({comp_sql('l_norm', 'p_norm')}, 6) AS component,
+  round(ns, 6) AS name_sim, {emp_reason_sql('l_norm', 'p_norm')} AS reason,
+  round({amount_sim_sql('qa', 'pa')}, 6) AS amount_sim, round(comp, 6) AS composite,
+  CASE WHEN lower(l_item) = lower(p_name) THEN 'Exact' WHEN lower(l_norm) = lower(p_norm) THEN 'Normalized'
+       WHEN len({words_sql('l_norm')}) >= 2 AND len({words_sql('p_norm')}) >= 2
+            AND {comp_similar_sql('l_norm', 'p_norm')} THEN 'NameComponents' ELSE 'Fuzzy' END AS name_type
+FROM ecand"""
+    ann = ("ann", "SELECT client_name AS a_client, max(billing_notes) AS a_billing, max(notes) AS a_notes, "
+                  "max(status) AS a_status FROM o_annotations GROUP BY client_name")
+    money = ("CASE WHEN {x} < 0 THEN '-' ELSE '' END || '$' || format('{{:,.2f}}', CAST(abs({x}) AS DOUBLE))")
+    return {
+        "a12_payroll_week": with_inputs() + (
+            "SELECT name, bill_to_name, week_worked, CAST(week_worked - CAST(dayofweek(week_worked) AS INTEGER) "
+            "AS DATE) AS week_start FROM o_payroll"),
+        "a13_payroll_zero_rows": with_inputs() + "SELECT * FROM o_payroll WHERE item_bill = 0 OR item_pay = 0",
+        "b9_expanded_view": with_inputs([tree, tree_rows]) + (
+            "SELECT * FROM tree WHERE level = 'group' OR group_name IN "
+            "('Harbor Mechanical', 'Summit Electric', 'Keystone Roofing')"),
+        "b16_tree_kpis": with_inputs([tree, tree_rows]) + (
+            "SELECT CAST(sum(CASE WHEN level = 'group' THEN 1 ELSE 0 END) AS BIGINT) AS n_groups, "
+            "CAST(sum(CASE WHEN level = 'item' THEN 1 ELSE 0 END) AS BIGINT) AS n_children FROM tree"),
+        "b16_flat_kpis": with_inputs() + (
+            "SELECT count(*) AS n_rows, CAST(sum(amount) AS DECIMAL(18,2)) AS total_amount FROM (SELECT item, memo, "
+            "CAST(sum(amount) AS DECIMAL(18,2)) AS amount FROM o_ledger WHERE memo <> '' GROUP BY item, memo) x"),
+        "b15_dashboard_kpis": wr(
+            "SELECT (SELECT count(*) FROM o_ledger) AS ledger_records, (SELECT count(*) FROM o_payroll) AS "
+            "payroll_records, (SELECT count(*) FROM summary) AS clients, (SELECT count(*) FROM variances) AS variances"),
+        "c7_client_scores": with_inputs(cc) + (
+            f"SELECT a, b, round({ratio}, 6) AS ratio, {fw} AS first_words, {ct} AS contains, round({sim}, 6) AS "
+            f"similarity, {reason} AS reason FROM (SELECT DISTINCT qb_norm AS a FROM lcx) x, "
+            f"(SELECT DISTINCT av_norm AS b FROM pcx) y WHERE a <> '' AND b <> '' AND {sim} >= 0.5"),
+        "c19_employee_scores": wr(c19),
+        "f1_summary_filter": with_inputs(sc) + (
+            f"SELECT {summ_cols} FROM summary WHERE strpos(lower(client_name), 'an') > 0 "
+            "AND abs(variance) >= abs(-1000)"),
+        "f2_variance_filter": wr(
+            "SELECT * FROM variances WHERE strpos(lower(variance_type), 'employee') > 0 AND ledger_amount >= 0 "
+            "AND abs(variance) >= 50"),
+        "f3_variance_display": wr(
+            f"SELECT *, {sev} AS severity, {sign} AS sign, {money.format(x='ledger_amount')} AS ledger_amount_text, "
+            f"{money.format(x='payroll_amount')} AS payroll_amount_text, {money.format(x='variance')} AS variance_text "
+            "FROM variances"),
+        "f7_annotated_summary": with_inputs(sc + [ann]) + (
+            f"SELECT * EXCLUDE (billing_notes, notes, status, a_client, a_billing, a_notes, a_status), "
+            "coalesce(a_billing, billing_notes) AS billing_notes, coalesce(a_notes, notes) AS notes, "
+            "CASE WHEN a_status IN ('Complete', 'Pending', 'Review', 'Issue') THEN a_status ELSE status END AS status, "
+            f"{sev} AS severity, {sign} AS sign, {badge} AS payment_badge, {money.format(x='variance')} AS variance_text "
+            f"FROM (SELECT {summ_cols} FROM summary) s LEFT JOIN ann ON s.client_name = ann.a_client"),
+        "g5_summary_sorted": with_inputs(sc) + f"SELECT {summ_cols} FROM summary",
+        "g6_variances_sorted": wr("SELECT * FROM variances"),
+        "e7_match_trace": with_inputs(cc + trace) + trace_sql,
+        "k1_product_ids": with_inputs(ol) + "SELECT order_id, line_no, product_id FROM olp",
+        "k2_product_totals": with_inputs(ol) + "SELECT * FROM ptot",
+        "k3_cart_links": with_inputs(ol) + (
+            "SELECT o.order_id, coalesce('https://www.amazon.com/gp/aws/cart/add.html?' || c.items || "
+            "'&AssociateTag=yourtag-20', '') AS cart_link FROM (SELECT DISTINCT order_id FROM f_order_lines) o "
+            "LEFT JOIN (SELECT order_id, string_agg('ASIN.' || i || '=' || product_id || '&Quantity.' || i || '=' || "
+            "quantity, '&' ORDER BY i) AS items FROM slots GROUP BY order_id) c USING (order_id)"),
+        "k4_line_texts": with_inputs() + (
+            "SELECT order_id, line_no, CAST(line_no AS VARCHAR) || '. ' || coalesce(product_link, '') || ' | Qty: ' || "
+            "CAST(quantity AS VARCHAR) || ' | Ship To: ' || coalesce(ship_to, '') || ' | Date Needed: ' || "
+            "coalesce(strftime(date_needed, '%m/%d/%Y'), 'N/A') AS line_text FROM f_order_lines "
+            "WHERE trim(coalesce(product_link, '')) <> ''"),
+        "k5_constraint_violations": with_inputs() + (
+            "SELECT order_id, line_no, rule FROM (SELECT order_id, line_no, unnest([CASE WHEN trim(coalesce("
+            "product_link, '')) = '' THEN 'product_link required' END, CASE WHEN trim(coalesce(ship_to, '')) = '' "
+            "THEN 'ship_to required' END, CASE WHEN quantity < 1 OR quantity > 1000 THEN 'quantity out of range' "
+            "END]) AS rule FROM f_order_lines) x WHERE rule IS NOT NULL"),
+    }

@@ -183,10 +183,181 @@ def e5(spark, sf):
     return recon.variance_analysis(cm, i.ledger, i.payroll, emp)
 
 
+# --- remaining cleansing functions ----------------------------------------------------
+
+@query("a12_payroll_week")
+def a12(spark, sf):
+    from .functions.text import previous_sunday
+    p = fixture_inputs(spark, sf).payroll
+    return p.select("name", "bill_to_name", "week_worked", previous_sunday("week_worked").alias("week_start"))
+
+
+@query("a13_payroll_zero_rows")
+def a13(spark, sf):
+    from .sources.readers import payroll_zero_rows
+    return payroll_zero_rows(fixture_inputs(spark, sf).payroll)
+
+
+# --- pivot views and KPIs --------------------------------------------------------------
+
+EXPANDED = ["Harbor Mechanical", "Summit Electric", "Keystone Roofing"]
+
+
+@query("b9_expanded_view")
+def b9(spark, sf):
+    t = pivots.ledger_client_item_tree(fixture_inputs(spark, sf).ledger)
+    return pivots.expanded_view(t, EXPANDED)
+
+
+@query("b16_tree_kpis")
+def b16(spark, sf):
+    return pivots.tree_kpis(pivots.ledger_client_item_tree(fixture_inputs(spark, sf).ledger))
+
+
+@query("b16_flat_kpis")
+def b16f(spark, sf):
+    return pivots.flat_kpis(pivots.ledger_employee_job_site(fixture_inputs(spark, sf).ledger))
+
+
+@query("b15_dashboard_kpis")
+def b15(spark, sf):
+    i, cm, emp, _, _ = _employee_level(spark, sf)
+    summ = recon.client_summary(cm, i.ledger, i.payroll, i.deposits)
+    var = recon.variance_analysis(cm, i.ledger, i.payroll, emp)
+    return recon.dashboard_kpis(i.ledger, i.payroll, summ, var)
+
+
+# --- scalar function tables ----------------------------------------------------------
+
+@query("c7_client_scores")
+def c7(spark, sf):
+    from .functions import similarity as S
+    from .operators.blocking import client_candidates
+    i = fixture_inputs(spark, sf)
+    lc, pc = clients.ledger_clients(i.ledger), clients.payroll_clients(i.payroll)
+    ls = lc.select(F.col("qb_norm").alias("id"), F.col("qb_norm").alias("s")).distinct()
+    ps = pc.select(F.col("av_norm").alias("id"), F.col("av_norm").alias("s")).distinct()
+    cand = client_candidates(ls, ps, 0.5)
+    a, b = F.col("l"), F.col("r")
+    out = cand.select(a.alias("a"), b.alias("b"), F.round(S.lev_ratio(a, b), 6).alias("ratio"),
+                      S.first_words_score(a, b).alias("first_words"), S.contains_score(a, b).alias("contains"),
+                      S.client_similarity(a, b).alias("sim"), S.client_match_reason(a, b).alias("reason"))
+    return out.filter(F.col("sim") >= 0.5).withColumn("similarity", F.round("sim", 6)).drop("sim")
+
+
+@query("c19_employee_scores")
+def c19(spark, sf):
+    from .functions import similarity as S
+    from .operators import employees
+    i, cm = _match(spark, sf)
+    le, pe = employees.employee_totals(i.ledger, i.payroll, cm.matches)
+    c = employees.context_candidates(le, pe)
+    a, b = F.col("l_norm"), F.col("p_norm")
+    sc = S.employee_scores(a, b)
+    return c.select("unified_name", "l_item", "p_name",
+                    F.round(S.ratio(a, b), 6).alias("ratio"), F.round(S.partial_ratio(a, b), 6).alias("partial"),
+                    F.round(S.token_sort_ratio(a, b), 6).alias("token_sort"),
+                    F.round(S.token_set_ratio(a, b), 6).alias("token_set"),
+                    F.round(S.component_similarity(a, b), 6).alias("component"),
+                    F.round("name_sim", 6).alias("name_sim"),
+                    S.employee_match_reason_from(a, b, sc).alias("reason"),
+                    F.round(S.amount_similarity(F.col("qa"), F.col("pa")), 6).alias("amount_sim"),
+                    F.round("composite", 6).alias("composite"),
+                    employees.employee_type(F.col("l_item"), F.col("p_name")).alias("name_type"))
+
+
+# --- views -------------------------------------------------------------------------------
+
+def _variances(spark, sf):
+    i, cm, emp, _, _ = _employee_level(spark, sf)
+    return recon.variance_analysis(cm, i.ledger, i.payroll, emp)
+
+
+@query("f1_summary_filter")
+def f1(spark, sf):
+    from .operators import views
+    s = _summary(spark, sf).drop("employees", "job_sites")
+    return views.filter_summary(s, client_name="an", variance_min=-1000)
+
+
+@query("f2_variance_filter")
+def f2(spark, sf):
+    from .operators import views
+    return views.filter_variances(_variances(spark, sf), variance_type="employee", variance_min=50,
+                                  ledger_amount_min=0)
+
+
+@query("f3_variance_display")
+def f3(spark, sf):
+    from .operators import views
+    return views.with_display(_variances(spark, sf), money_cols=("ledger_amount", "payroll_amount", "variance"))
+
+
+@query("f7_annotated_summary")
+def f7(spark, sf):
+    from .operators import views
+    i, cm = _match(spark, sf)
+    s = recon.client_summary(cm, i.ledger, i.payroll, i.deposits).drop("employees", "job_sites")
+    return views.with_display(views.annotate(s, i.annotations), money_cols=("variance",))
+
+
+@query("g5_summary_sorted")
+def g5(spark, sf):
+    from .operators import views
+    return views.sort_summary(_summary(spark, sf).drop("employees", "job_sites"), "variance", ascending=False)
+
+
+@query("g6_variances_sorted")
+def g6(spark, sf):
+    from .operators import views
+    return views.sort_variances(_variances(spark, sf), "variance", ascending=False)
+
+
+@query("e7_match_trace")
+def e7(spark, sf):
+    from .operators import trace
+    i, cm = _match(spark, sf)
+    return trace.match_trace(cm, i.ledger, i.payroll, "Okafor")
+
+
+# --- order lines -----------------------------------------------------------------------
+
+@query("k1_product_ids")
+def k1(spark, sf):
+    from .operators import orders
+    ol = fixture_inputs(spark, sf).order_lines
+    return ol.select("order_id", "line_no", orders.product_id("product_link").alias("product_id"))
+
+
+@query("k2_product_totals")
+def k2(spark, sf):
+    from .operators import orders
+    return orders.product_totals(fixture_inputs(spark, sf).order_lines)
+
+
+@query("k3_cart_links")
+def k3(spark, sf):
+    from .operators import orders
+    return orders.cart_links(fixture_inputs(spark, sf).order_lines)
+
+
+@query("k4_line_texts")
+def k4(spark, sf):
+    from .operators import orders
+    return orders.line_texts(fixture_inputs(spark, sf).order_lines)
+
+
+@query("k5_constraint_violations")
+def k5(spark, sf):
+    from .operators import orders
+    return orders.constraint_violations(fixture_inputs(spark, sf).order_lines)
+
+
 def oracle_sql() -> dict[str, str]:
     from . import oracle
     out: dict[str, str] = {}
     out.update(oracle.pivot_sql())
     out.update(oracle.client_sql())
     out.update(oracle.employee_sql())
+    out.update(oracle.misc_sql())
     return {k: v for k, v in out.items() if k in QUERIES}

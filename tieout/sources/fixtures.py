@@ -116,5 +116,7 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fixture_ctes(extra: list[tuple[str, str]] | None = None, recursive: bool = False) -> str:
     """``WITH`` prefix defining every fixture (plus ``extra`` CTEs) for DuckDB."""
     parts = [f"{name} AS ({sql.strip()})" for name, sql in FIXTURE_VIEWS]
-    parts += [f"{name} AS ({sql.strip()})" for name, sql in (extra or [])]
+    # a trailing "!" on a CTE name asks DuckDB to materialise it once
+    parts += [f"{name.rstrip('!')} AS {'MATERIALIZED ' if name.endswith('!') else ''}({sql.strip()})"
+              for name, sql in (extra or [])]
     return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts) + "\n"
