@@ -105,3 +105,18 @@ def test_product_id(spark):
             ("https://x.com/i?q=1&ASIN=B00ABCDEFG",), ("https://x.com/search?q=B00ABCDEFG",), ("  ",)]
     got = [r.p for r in spark.createDataFrame(rows, "u string").select(product_id("u").alias("p")).collect()]
     assert got == ["B00ABCDEFG", "B00ABCDEFG", "B00ABCDEFG", None, None]
+
+
+def test_name_only_matches(spark):
+    pairs = spark.createDataFrame(
+        [("c", t, ch, i) for t in ["Antonio Mendez", "Zed Qux"] for i, ch in enumerate(CANDIDATES)],
+        "unified_name string, target string, choice string, choice_ord int")
+    led = spark.createDataFrame([("c", "Antonio Mendez", 10.0, 1), ("c", "Zed Qux", 5.0, 2)],
+                                "unified_name string, name string, amount double, ord int")
+    pay = spark.createDataFrame([("c", n, 1.0) for n in CANDIDATES], "unified_name string, name string, amount double")
+    out = {r.employee_name: r for r in employees.name_only_matches(pairs, led, pay).collect()}
+    assert out["Antonio Mendez"].payroll_name == "Antonio Mendez Morillo"
+    assert out["Antonio Mendez"].emp_match_type == "NameComponents"
+    assert out["Zed Qux"].emp_match_type == "LedgerOnly"
+    assert out["Hector Vizcaya Daza"].emp_match_type == "PayrollOnly"
+    assert "Antonio Mendez Morillo" not in out

@@ -1,0 +1 @@
+"""tieout: two-ledger reconciliation on Spark (see README.md)."""

@@ -58,7 +58,7 @@ def ratio_candidates(left: DataFrame, right: DataFrame, threshold: float) -> Dat
     t = toks(left, "l").unionByName(toks(right, "r"))
     # prefix length len - floor(t*len) + 1 (floor errs on the lossless side)
     plen = F.col("len") - F.greatest(F.lit(1), F.floor(F.col("len") * threshold)) + 1
-    t = cut_lineage(t.withColumn("key", F.concat_ws("\u0001", "side", F.col("id").cast("string"))))
+    t = t.withColumn("key", F.concat_ws("\u0001", "side", F.col("id").cast("string")))
     pre = cut_lineage(_rarest(t, "key", F.col("rk") <= plen))
     lp = pre.filter(F.col("side") == "l").select(F.col("id").alias("l"), F.col("len").alias("ll"), "token")
     rp = pre.filter(F.col("side") == "r").select(F.col("id").alias("r"), F.col("len").alias("rl"), "token")
@@ -101,7 +101,7 @@ def contains_candidates(left: DataFrame, right: DataFrame, min_len: int = 3) ->
             "rk", F.row_number().over(Window.partitionBy("id").orderBy("freq", "token")))
         return ranked.filter("rk = 1").select("id", "token")
 
-    bl, br = cut_lineage(build(left)), cut_lineage(build(right))
+    bl, br = build(left), build(right)
     l_in_r = probe(left, br).join(br.withColumnRenamed("id", "r"), "token").select(F.col("id").alias("l"), "r")
     r_in_l = probe(right, bl).join(bl.withColumnRenamed("id", "l"), "token").select("l", F.col("id").alias("r"))
     return l_in_r.unionByName(r_in_l)

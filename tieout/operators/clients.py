@@ -129,10 +129,13 @@ def best_payroll_client(lc: DataFrame, pc: DataFrame, rules: DataFrame) -> DataF
     ruled = cut_lineage(lc.join(rb, F.lower(lc.qb_name) == rb.rule_key).select("qb_name", "mapped"))
 
     t1 = cut_lineage(_scored(ruled.join(pcs, F.lower(ruled.mapped) == pcs.av_low), 1, F.lit(1.0)))
-    fz = _fuzzy_pairs(ruled.join(t1.select("qb_name"), "qb_name", "left_anti"), "mapped", pcs, "av_name",
-                      RULE_FUZZY_THRESHOLD)
-    t2 = _scored(fz, 2, client_similarity(F.col("mapped"), F.col("av_name")))
-    t2 = t2.filter(F.col("score") >= RULE_FUZZY_THRESHOLD)
+    ruled_left = cut_lineage(ruled.join(t1.select("qb_name"), "qb_name", "left_anti"))
+    if ruled_left.isEmpty():   # nothing left for the rule-fuzzy tier: skip its blocking joins
+        t2 = t1.limit(0)
+    else:
+        fz = _fuzzy_pairs(ruled_left, "mapped", pcs, "av_name", RULE_FUZZY_THRESHOLD)
+        t2 = _scored(fz, 2, client_similarity(F.col("mapped"), F.col("av_name")))
+        t2 = t2.filter(F.col("score") >= RULE_FUZZY_THRESHOLD)
     t3 = _scored(lc.join(pcs, F.lower(lc.qb_name) == pcs.av_low), 3, F.lit(1.0))
     early = cut_lineage(t1.unionByName(t2).unionByName(t3))
 
@@ -143,9 +146,12 @@ def best_payroll_client(lc: DataFrame, pc: DataFrame, rules: DataFrame) -> DataF
     t4 = cut_lineage(t4.filter(F.col("score") >= ZERO_OUT_NAME_THRESHOLD))
 
     rest5 = cut_lineage(rest.join(t4.select("qb_name"), "qb_name", "left_anti"))
-    fz5 = _fuzzy_pairs(rest5, "qb_norm", pcs, "av_norm", FUZZY_THRESHOLD)
-    t5 = _scored(fz5, 5, client_similarity(F.col("qb_norm"), F.col("av_norm")))
-    t5 = cut_lineage(t5.filter(F.col("score") >= FUZZY_THRESHOLD))
+    if rest5.isEmpty():
+        t5 = t4.limit(0)
+    else:
+        fz5 = _fuzzy_pairs(rest5, "qb_norm", pcs, "av_norm", FUZZY_THRESHOLD)
+        t5 = _scored(fz5, 5, client_similarity(F.col("qb_norm"), F.col("av_norm")))
+        t5 = cut_lineage(t5.filter(F.col("score") >= FUZZY_THRESHOLD))
 
     cand = early.unionByName(t4).unionByName(t5).join(pc.select("av_name", "av_o1"), "av_name")
     w = Window.partitionBy("qb_name").orderBy("tier", F.col("score").desc(), "av_o1", "av_name")
@@ -273,8 +279,9 @@ def best_ledger_client(lc: DataFrame, pc: DataFrame, rules: DataFrame) -> DataFr
     first_empty = lcs.filter(F.col("qb_norm") == "").agg(
         F.min(F.struct("qb_o1", "qb_o2", "qb_name")).alias("f")).select(
         F.col("f.qb_name").alias("qb_name"), F.lit(1).alias("k")).filter(F.col("qb_name").isNotNull())
-    e1 = pcx.filter(F.col("av_norm") == "").select("av_name", F.lit(1).alias("k")).join(first_lc, "k")
-    e2 = pcx.select("av_name", F.lit(1).alias("k")).join(first_empty, "k")
+    # both sides joined to are global aggregates: exactly one row, so broadcasting is bounded
+    e1 = pcx.filter(F.col("av_norm") == "").select("av_name", F.lit(1).alias("k")).join(F.broadcast(first_lc), "k")
+    e2 = pcx.select("av_name", F.lit(1).alias("k")).join(F.broadcast(first_empty), "k")
     t6 = (cpairs.select("av_name", "qb_name").unionByName(e1.select("av_name", "qb_name"))
           .unionByName(e2.select("av_name", "qb_name"))
           .select("av_name", "qb_name", F.lit(6).alias("tier"), F.lit(1.0).alias("score")))

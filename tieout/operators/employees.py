@@ -101,7 +101,7 @@ def greedy_assignment(cands: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     edges = cut_lineage(cands.select("unified_name", "l_item", "l_o1", "p_name",
                                      F.lower("p_name").alias("p_key"), "rank"))
     spark = cands.sparkSession
-    done = None
+    rounds = []
     for _ in range(max_rounds):
         if edges.isEmpty():
             break
@@ -111,17 +111,26 @@ def greedy_assignment(cands: DataFrame, max_rounds: int = 10_000) -> DataFrame:
                        F.col("t.p_name").alias("p_name")))
         claim = (edges.groupBy("unified_name", "p_key")
                  .agg(F.min(F.struct("l_o1", "l_item")).alias("c")))
-        settled = cut_lineage(
-            top.join(claim, ["unified_name", "p_key"])
-            .filter((F.col("c.l_o1") == F.col("l_o1")) & (F.col("c.l_item") == F.col("l_item")))
-            .select("unified_name", "l_item", "p_name", "p_key"))
-        done = settled if done is None else cut_lineage(done.unionByName(settled))
+        # cheap to re-derive from the materialised edges: not written itself
+        settled = (top.join(claim, ["unified_name", "p_key"])
+                   .filter((F.col("c.l_o1") == F.col("l_o1")) & (F.col("c.l_item") == F.col("l_item")))
+                   .select("unified_name", "l_item", "p_name", "p_key"))
+        rounds.append(settled)
         edges = cut_lineage(
             edges.join(settled.select("unified_name", "l_item"), ["unified_name", "l_item"], "left_anti")
             .join(settled.select("unified_name", "p_key"), ["unified_name", "p_key"], "left_anti"))
-    if done is None:
-        done = spark.createDataFrame([], "unified_name string, l_item string, p_name string, p_key string")
-    return done.select("unified_name", "l_item", "p_name")
+    if rounds:
+        rounds = [cut_lineage(_union(rounds))]
+    if not rounds:
+        return spark.createDataFrame([], "unified_name string, l_item string, p_name string")
+    return rounds[0].select("unified_name", "l_item", "p_name")
+
+
+def _union(dfs: list[DataFrame]) -> DataFrame:
+    out = dfs[0]
+    for d in dfs[1:]:
+        out = out.unionByName(d)
+    return out
 
 
 def enhanced_type(q: Column, a: Column) -> Column:
@@ -220,3 +229,34 @@ def zero_out_flags(df: DataFrame, qa: str = "ledger_amount", pa: str = "payroll_
     return (df.withColumn("variance", (F.col(qa) - F.col(pa)).cast("decimal(18,2)"))
             .withColumn("significant", F.abs(F.col(qa) - F.col(pa)) > SIGNIFICANT)
             .withColumn("zero_out", amounts_zero_out(F.col(qa), F.col(pa))))
+
+
+def name_only_matches(pairs: DataFrame, ledger_emps: DataFrame, payroll_emps: DataFrame,
+                      group: str = "unified_name") -> DataFrame:
+    """D10 over caller-supplied candidate pairs: every ledger employee with its
+    D7 best match (no consumption) and D11 label, then payroll employees nobody
+    matched (case-insensitive) as payroll-only; later case-insensitive writes
+    replace earlier ones.
+
+    ``pairs``: (group, target, choice, choice_ord); ``ledger_emps``: (group,
+    name, amount, ord); ``payroll_emps``: (group, name, amount)."""
+    best = best_by_name(pairs.withColumn("target", F.concat_ws("\u0001", group, "target")))
+    best = best.select(F.split("target", "\u0001").getItem(0).alias(group),
+                       F.split("target", "\u0001").getItem(1).alias("name"), "best_match")
+    pa = payroll_emps.select(group, F.col("name").alias("best_match"), F.col("amount").alias("payroll_amount"))
+    led = (ledger_emps.join(best, [group, "name"], "left").join(pa, [group, "best_match"], "left")
+           .select(group, F.col("name").alias("employee_name"), F.col("name").alias("ledger_name"),
+                   F.col("best_match").alias("payroll_name"), F.col("amount").alias("ledger_amount"),
+                   F.coalesce("payroll_amount", F.lit(0)).alias("payroll_amount"),
+                   F.when(F.col("best_match").isNull(), F.lit(LEDGER_ONLY))
+                   .otherwise(employee_type(F.col("name"), F.col("best_match"))).alias("emp_match_type"),
+                   F.lit(0).alias("w_side"), F.col("ord").cast("string").alias("w_ord")))
+    used = best.filter(F.col("best_match").isNotNull()).select(group, F.lower("best_match").alias("k")).distinct()
+    rest = (payroll_emps.withColumn("k", F.lower("name")).join(used, [group, "k"], "left_anti")
+            .select(group, F.col("name").alias("employee_name"), F.lit(None).cast("string").alias("ledger_name"),
+                    F.col("name").alias("payroll_name"), F.lit(0).alias("ledger_amount"),
+                    F.col("amount").alias("payroll_amount"), F.lit(PAYROLL_ONLY).alias("emp_match_type"),
+                    F.lit(1).alias("w_side"), F.col("name").alias("w_ord")))
+    w = Window.partitionBy(group, F.lower("employee_name")).orderBy(F.col("w_side").desc(), F.col("w_ord").desc())
+    return (led.unionByName(rest, allowMissingColumns=True).withColumn("rn", F.row_number().over(w))
+            .filter("rn = 1").drop("rn", "w_side", "w_ord"))

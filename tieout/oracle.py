@@ -650,3 +650,29 @@ FROM ecand"""
             "THEN 'ship_to required' END, CASE WHEN quantity < 1 OR quantity > 1000 THEN 'quantity out of range' "
             "END]) AS rule FROM f_order_lines) x WHERE rule IS NOT NULL"),
     }
+
+
+def explicit_sql() -> dict[str, str]:
+    cc, sc, ec = client_ctes(), summary_ctes(), employee_ctes()
+    wr = lambda q: with_inputs(_dedupe(sc + ec), recursive=True) + q
+    return {
+        "a8_a9_client_and_site": with_inputs() + (
+            "SELECT raw_name, trim(regexp_replace(raw_name, ':.*|--.*', '', 'g')) AS client, "
+            "trim(regexp_replace(raw_name, '.*?:|.*?--', '', 'g')) AS site FROM "
+            "(SELECT DISTINCT trim(coalesce(name, '')) AS raw_name FROM f_ledger) x"),
+        "b10_client_totals": with_inputs() + (
+            "SELECT name AS client_name, CAST(sum(amount) AS DECIMAL(18,2)) AS total, 'ledger' AS side FROM o_ledger "
+            "GROUP BY name UNION ALL SELECT bill_to_name, CAST(sum(item_bill) AS DECIMAL(18,2)), 'payroll' "
+            "FROM o_payroll GROUP BY bill_to_name"),
+        "b11_employee_totals": wr(
+            "SELECT unified_name, 'ledger' AS side, l_item AS employee, CAST(qa AS DECIMAL(18,2)) AS amount FROM le "
+            "UNION ALL SELECT unified_name, 'payroll', p_name, CAST(pa AS DECIMAL(18,2)) FROM pe"),
+        "b12_b13_client_stats": with_inputs(sc) + (
+            "SELECT ls_name AS client_name, 'ledger' AS side, qb_invoice_count AS n, coalesce(job_sites, '') AS "
+            "distinct_values FROM lstat UNION ALL SELECT ps_name, 'payroll', payroll_record_count, employees FROM pstat"),
+        "d5_match_type_counts": with_inputs(cc) + "SELECT match_type, count(*) AS clients FROM cmatch GROUP BY match_type",
+        "d14_payment_types": with_inputs(sc) + "SELECT client_name, avi_client_name, payment_type, notes FROM summary",
+        "e3_client_level_variances": wr("SELECT * FROM variances WHERE variance_type = 'Client Level Variance'"),
+        "e4_one_sided_clients": wr(
+            "SELECT * FROM variances WHERE variance_type IN ('Ledger Only Client', 'Payroll Only Client')"),
+    }

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from ..operators import clients, pivots, recon
+from ..session import cut_lineage
 
 
 @dataclass
@@ -36,10 +37,16 @@ class Reconciliation:
 
 
 def reconcile(ledger: DataFrame, payroll: DataFrame, deposits: DataFrame | None = None,
-              rules: DataFrame | None = None) -> Reconciliation:
+              rules: DataFrame | None = None, materialize_inputs: bool = True) -> Reconciliation:
     """``ledger`` / ``payroll`` / ``deposits`` are cleaned inputs (``sources.readers``);
-    ``rules`` defaults to the fixed exception rules."""
+    ``rules`` defaults to the fixed exception rules. The cleaned inputs are
+    read by every result, so by default they are written once as parquet
+    tables under the checkpoint dir (one narrow write instead of re-parsing
+    the raw extracts for each consumer)."""
     rules = rules if rules is not None else clients.default_rules(ledger.sparkSession)
+    if materialize_inputs:
+        ledger, payroll = cut_lineage(ledger), cut_lineage(payroll)
+        deposits = cut_lineage(deposits) if deposits is not None else None
     cm = clients.unified_matches(ledger, payroll, rules)
     emp = recon.employee_level(cm, ledger, payroll)[0]
     return Reconciliation(

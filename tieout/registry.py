@@ -89,7 +89,7 @@ def b8(spark, sf):
 # --- 2.3 client matching -------------------------------------------------------------
 
 def _match(spark, sf):
-    i = fixture_inputs(spark, sf)
+    i = fixture_inputs(spark, sf, materialize=True)
     return i, clients.unified_matches(i.ledger, i.payroll, i.rules)
 
 
@@ -353,6 +353,69 @@ def k5(spark, sf):
     return orders.constraint_violations(fixture_inputs(spark, sf).order_lines)
 
 
+# --- explicit views of operators that also live inside larger queries ------------------------
+
+@query("a8_a9_client_and_site")
+def a8(spark, sf):
+    from .functions.text import clean_client_name, job_site, text_cell
+    fixture_inputs(spark, sf)
+    raw = spark.table("f_ledger").select(text_cell("name").alias("raw_name")).distinct()
+    return raw.select("raw_name", clean_client_name("raw_name").alias("client"), job_site("raw_name").alias("site"))
+
+
+@query("b10_client_totals")
+def b10(spark, sf):
+    i = fixture_inputs(spark, sf)
+    lt = i.ledger.groupBy(F.col("name").alias("client_name")).agg(F.sum("amount").cast("decimal(18,2)").alias("total"))
+    pt = i.payroll.groupBy(F.col("bill_to_name").alias("client_name")).agg(
+        F.sum("item_bill").cast("decimal(18,2)").alias("total"))
+    return lt.withColumn("side", F.lit("ledger")).unionByName(pt.withColumn("side", F.lit("payroll")))
+
+
+@query("b11_employee_totals")
+def b11(spark, sf):
+    from .operators import employees
+    i, cm = _match(spark, sf)
+    le, pe = employees.employee_totals(i.ledger, i.payroll, cm.matches)
+    return (le.select("unified_name", F.lit("ledger").alias("side"), F.col("l_item").alias("employee"),
+                      F.col("qa").cast("decimal(18,2)").alias("amount"))
+            .unionByName(pe.select("unified_name", F.lit("payroll").alias("side"), F.col("p_name").alias("employee"),
+                                   F.col("pa").cast("decimal(18,2)").alias("amount"))))
+
+
+@query("b12_b13_client_stats")
+def b12(spark, sf):
+    i = fixture_inputs(spark, sf)
+    ls = recon.ledger_client_stats(i.ledger).select(
+        F.col("name").alias("client_name"), F.lit("ledger").alias("side"), F.col("qb_invoice_count").alias("n"),
+        F.array_join(F.coalesce("job_sites", F.array().cast("array<string>")), ", ").alias("distinct_values"))
+    ps = recon.payroll_client_stats(i.payroll).select(
+        F.col("bill_to_name").alias("client_name"), F.lit("payroll").alias("side"),
+        F.col("avionte_record_count").alias("n"), F.array_join("employees", ", ").alias("distinct_values"))
+    return ls.unionByName(ps)
+
+
+@query("d5_match_type_counts")
+def d5(spark, sf):
+    _, cm = _match(spark, sf)
+    return cm.matches.groupBy("match_type").agg(F.count(F.lit(1)).alias("clients"))
+
+
+@query("d14_payment_types")
+def d14(spark, sf):
+    return _summary(spark, sf).select("client_name", "avi_client_name", "payment_type", "notes")
+
+
+@query("e3_client_level_variances")
+def e3(spark, sf):
+    return _variances(spark, sf).filter(F.col("variance_type") == recon.V_CLIENT)
+
+
+@query("e4_one_sided_clients")
+def e4(spark, sf):
+    return _variances(spark, sf).filter(F.col("variance_type").isin(recon.V_LEDGER_CLIENT, recon.V_PAYROLL_CLIENT))
+
+
 def oracle_sql() -> dict[str, str]:
     from . import oracle
     out: dict[str, str] = {}
@@ -360,4 +423,5 @@ def oracle_sql() -> dict[str, str]:
     out.update(oracle.client_sql())
     out.update(oracle.employee_sql())
     out.update(oracle.misc_sql())
+    out.update(oracle.explicit_sql())
     return {k: v for k, v in out.items() if k in QUERIES}
