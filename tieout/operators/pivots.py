@@ -108,3 +108,13 @@ def tree_kpis(tree: DataFrame) -> DataFrame:
 def flat_kpis(flat: DataFrame) -> DataFrame:
     """B16 for flat pivots: row count (and the amount total)."""
     return flat.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("amount").cast("decimal(18,2)").alias("total_amount"))
+
+
+def sorted_flat(flat: DataFrame) -> DataFrame:
+    """G4 for flat pivots: rows ordered by key (apply only at output)."""
+    return flat.orderBy("key")
+
+
+def sorted_tree(tree: DataFrame) -> DataFrame:
+    """G4 for two-level pivots: groups by name, each followed by its children by key."""
+    return tree.orderBy("group_name", F.col("level").desc(), "key")
