@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
 # Fixed values (must equal the reference for identical results) -----------------
 # Delimiters between a client name and its job site: ":" and "--".
@@ -16,9 +17,11 @@ JOB_SITE_PATTERN = r".*?:|.*?--"
 DEFAULT_ROLLUP_PREFIXES = ("Dart Entities",)
 # ------------------------------------------------------------------------------
 
-# Unicode-aware whitespace: Java's \s alone is ASCII-only, the source trims all
-# Unicode white space (\p{Z} plus the C0 controls and NEL).
-_WS = r"[\s\p{Z}\x{85}]"
+# The characters the source's Trim() removes (Unicode white space:
+# U+0009-U+000D, U+0020, U+0085, U+00A0, U+1680, U+2000-U+200A, U+2028, U+2029,
+# U+202F, U+205F, U+3000). Trimming by character set needs no regex.
+WS_CHARS = ("\t\n\u000b\u000c\r \u0085\u00a0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+            + "\u2028\u2029\u202f\u205f\u3000")
 
 
 def col_(c) -> Column:
@@ -27,7 +30,7 @@ def col_(c) -> Column:
 
 def trim_ws(c) -> Column:
     """Trim every kind of white space (Spark ``trim`` strips only U+0020)."""
-    return F.regexp_replace(col_(c), rf"^{_WS}+|{_WS}+$", "")
+    return F.btrim(col_(c), F.lit(WS_CHARS))
 
 
 def is_blank(c) -> Column:
@@ -41,14 +44,21 @@ def text_cell(c) -> Column:
     return trim_ws(F.coalesce(col_(c).cast("string"), F.lit("")))
 
 
+def _has_delimiter(c: Column) -> Column:
+    return (F.instr(c, ":") > 0) | (F.instr(c, "--") > 0)
+
+
 def clean_client_name(c) -> Column:
-    """Cut the client name at the first ':' or '--', then trim."""
-    return trim_ws(F.regexp_replace(col_(c), CLIENT_CUT_PATTERN, ""))
+    """Cut the client name at the first ':' or '--', then trim.
+    (Names without a delimiter skip the regex: it would return them unchanged.)"""
+    c = col_(c)
+    return trim_ws(F.when(_has_delimiter(c), F.regexp_replace(c, CLIENT_CUT_PATTERN, "")).otherwise(c))
 
 
 def job_site(c) -> Column:
     """Text after the last delimiter; the whole name when there is none."""
-    return trim_ws(F.regexp_replace(col_(c), JOB_SITE_PATTERN, ""))
+    c = col_(c)
+    return trim_ws(F.when(_has_delimiter(c), F.regexp_replace(c, JOB_SITE_PATTERN, "")).otherwise(c))
 
 
 def full_name(first, last) -> Column:
@@ -71,13 +81,19 @@ def previous_sunday(d) -> Column:
     return F.date_sub(d, F.dayofweek(d) - 1)
 
 
-def money(c) -> Column:
-    """Parse a money cell to DECIMAL(18,2); unparsable -> NULL (row is then dropped)."""
+def money(c, dtype=None) -> Column:
+    """Parse a money cell to DECIMAL(18,2); unparsable -> NULL (row is then dropped).
+    A numeric source column is cast directly (no text round trip)."""
+    if dtype is not None and isinstance(dtype, NumericType):
+        return col_(c).try_cast("decimal(18,2)")
     return trim_ws(col_(c).cast("string")).try_cast("decimal(18,2)")
 
 
-def try_date(c) -> Column:
-    return col_(c).cast("string").try_cast("date")
+def try_date(c, dtype=None) -> Column:
+    """A date cell; date/timestamp sources are used as they are, text is parsed."""
+    if dtype is not None and isinstance(dtype, (DateType, TimestampType, TimestampNTZType)):
+        return col_(c).cast("date")
+    return trim_ws(col_(c).cast("string")).try_cast("date")
 
 
 def format_n2(c) -> Column:

@@ -50,14 +50,15 @@ def employee_totals(ledger: DataFrame, payroll: DataFrame, matches: DataFrame) -
     (unified, name, pa). A payroll client linked to several ledger clients
     is counted for each (Q1)."""
     linked = with_flags(matches).filter("is_linked").select("unified_name", "qb_name", "av_name")
-    le = (ledger.join(linked, ledger.name == linked.qb_name)
-          .groupBy("unified_name", F.col("item").alias("l_item"))
-          .agg(F.sum("amount").alias("qa"), F.min("amount").alias("l_o1"))
-          .withColumn("l_norm", normalize_employee(F.col("l_item"))))
-    pe = (payroll.join(linked, payroll.bill_to_name == linked.av_name)
-          .groupBy("unified_name", F.col("name").alias("p_name"))
-          .agg(F.sum("item_bill").alias("pa"))
-          .withColumn("p_norm", normalize_employee(F.col("p_name"))))
+    # aggregate rows to (client, employee) first, then join the aggregates to the
+    # link table: a hot client never sends its rows through a join shuffle
+    lagg = (ledger.groupBy("name", F.col("item").alias("l_item"))
+            .agg(F.sum("amount").alias("qa"), F.min("amount").alias("l_o1")))
+    le = (lagg.join(linked, lagg.name == linked.qb_name)
+          .select("unified_name", "l_item", "qa", "l_o1", normalize_employee(F.col("l_item")).alias("l_norm")))
+    pagg = payroll.groupBy("bill_to_name", F.col("name").alias("p_name")).agg(F.sum("item_bill").alias("pa"))
+    pe = (pagg.join(linked, pagg.bill_to_name == linked.av_name)
+          .select("unified_name", "p_name", "pa", normalize_employee(F.col("p_name")).alias("p_norm")))
     return cut_lineage(le), cut_lineage(pe)
 
 

@@ -54,11 +54,14 @@ def match_trace(cm: ClientMatch, ledger: DataFrame, payroll: DataFrame, search:
                          "is_linked", "ledger_has", "payroll_has"))
     # first hit per linked client in entry order (amount, item), with that employee's client total
     tgt_clients = m.filter("is_linked AND ledger_has").select("unified_name", "qb_name", "av_name")
-    first = (lh.join(tgt_clients, lh.name == tgt_clients.qb_name)
-             .groupBy("unified_name", "av_name", "qb_name").agg(F.min(F.struct("amount", "item")).alias("f"))
+    # aggregate before joining: hits per client, totals per (client, employee)
+    hit1 = lh.groupBy("name").agg(F.min(F.struct("amount", "item")).alias("f"))
+    first = (hit1.join(tgt_clients, hit1.name == tgt_clients.qb_name)
              .select("unified_name", "av_name", "qb_name", F.col("f.item").alias("target")))
-    tot = (ledger.join(first.select("qb_name", "target"), (ledger.name == first.qb_name) & (ledger.item == first.target))
-           .groupBy("qb_name", "target").agg(F.sum("amount").alias("target_amount")))
+    emp_tot = ledger.groupBy("name", "item").agg(F.sum("amount").alias("target_amount"))
+    tot = (emp_tot.join(first.select("qb_name", "target"),
+                        (emp_tot.name == first.qb_name) & (emp_tot.item == first.target))
+           .select("qb_name", "target", "target_amount"))
     tgt = first.join(tot, ["qb_name", "target"])
     pe = payroll.groupBy("bill_to_name", "name").agg(F.sum("item_bill").alias("amount"))
     c = (tgt.join(pe, tgt.av_name == pe.bill_to_name)

@@ -58,6 +58,10 @@ def _c(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def _t(df: DataFrame, name: str):
+    return df.schema[name].dataType
+
+
 def _empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 
@@ -78,7 +82,7 @@ def clean_ledger(raw: DataFrame, columns: dict[str, str] | None = None, keep: li
         return text_cell(_c(m[field])) if field in m else F.lit("")
 
     name = text_cell(_c(m["name"]))
-    amount = money(_c(m["amount"])) if "amount" in m else F.lit(0).cast("decimal(18,2)")
+    amount = money(_c(m["amount"]), _t(raw, m["amount"])) if "amount" in m else F.lit(0).cast("decimal(18,2)")
     out = raw.filter(~is_blank(_c(m["type"]))).select(
         clean_client_name(name).alias("name"), job_site(name).alias("memo"), opt("item").alias("item"),
         amount.alias("amount"), text_cell(_c(m["type"])).alias("type"), opt("account").alias("account"),
@@ -91,7 +95,7 @@ def ledger_rejects(raw: DataFrame, columns: dict[str, str] | None = None) -> Dat
     m = _resolve(raw, LEDGER_HEADERS, columns)
     if "type" not in m or "name" not in m or "amount" not in m:
         return raw.limit(0)
-    return raw.filter(~is_blank(_c(m["type"])) & money(_c(m["amount"])).isNull())
+    return raw.filter(~is_blank(_c(m["type"])) & money(_c(m["amount"]), _t(raw, m["amount"])).isNull())
 
 
 def clean_payroll(raw: DataFrame, columns: dict[str, str] | None = None, *, week_of=None,
@@ -111,8 +115,10 @@ def clean_payroll(raw: DataFrame, columns: dict[str, str] | None = None, *, week
     out = raw.select(
         full_name(_c(m["first_name"]), _c(m["last_name"])).alias("name"),
         rollup_prefix(text_cell(_c(m["bill_to_name"])), rollup_prefixes).alias("bill_to_name"),
-        money(_c(m["item_bill"])).alias("item_bill"), money(_c(m["item_pay"])).alias("item_pay"),
-        try_date(_c(m["week_worked"])).alias("week_worked"), *[_c(k) for k in (keep or [])])
+        money(_c(m["item_bill"]), _t(raw, m["item_bill"])).alias("item_bill"),
+        money(_c(m["item_pay"]), _t(raw, m["item_pay"])).alias("item_pay"),
+        try_date(_c(m["week_worked"]), _t(raw, m["week_worked"])).alias("week_worked"),
+        *[_c(k) for k in (keep or [])])
     out = out.filter(F.col("item_bill").isNotNull() & F.col("item_pay").isNotNull()
                      & F.col("week_worked").isNotNull())
     if week_of is not None:
@@ -141,7 +147,8 @@ def clean_deposits(raw: DataFrame, columns: dict[str, str] | None = None, row_id
     typed = raw.filter(~is_blank(_c(m["type"]))).select(
         text_cell(_c(m["client_name"])).alias("client_name"),
         (text_cell(_c(m["num"])) if "num" in m else F.lit("")).alias("num"),
-        money(_c(m["amount"])).alias("amount"), try_date(_c(m["deposit_date"])).alias("deposit_date"),
+        money(_c(m["amount"]), _t(raw, m["amount"])).alias("amount"),
+        try_date(_c(m["deposit_date"]), _t(raw, m["deposit_date"])).alias("deposit_date"),
         _c(row_idx).alias("row_idx"))
     first_bad = (typed.filter(F.col("amount").isNull() | F.col("deposit_date").isNull())
                  .agg(F.min("row_idx")).scalar())
