@@ -60,3 +60,15 @@ def test_missing_payroll_column_gives_empty(spark):
     from tieout.sources.readers import clean_payroll
     raw = spark.createDataFrame([("a", "b")], "FirstName string, LastName string")
     assert clean_payroll(raw).count() == 0
+
+
+def test_summary_without_lists_matches(spark, result):
+    i, r = result
+    cm = clients.unified_matches(i.ledger, i.payroll, i.rules)
+    lean = recon.client_summary(cm, i.ledger, i.payroll, i.deposits, with_lists=False)
+    assert "employees" not in lean.columns
+    a = {(x.client_name, x.qb_balance, x.avi_balance) for x in lean.collect()}
+    b = {(x.client_name, x.qb_balance, x.avi_balance) for x in r.summary.collect()}
+    assert a == b
+    emp_long = recon.client_employees_long(i.payroll)
+    assert emp_long.count() == i.payroll.select("bill_to_name", "name").distinct().count()

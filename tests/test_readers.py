@@ -30,3 +30,23 @@ def test_payroll_csv_and_prefix_rollup(spark, tmp_path):
     assert len(rows) == 1 and rows[0][0] == "Ann Lee" and rows[0][1] == "Dart Entities"
     wk = read_payroll(spark, str(p), week_of="2024-03-09").count()
     assert wk == 1 and read_payroll(spark, str(p), week_of="2024-03-11").count() == 0
+
+
+def test_batch_job_end_to_end(spark, tmp_path):
+    from tieout.plans.run import main
+    (tmp_path / "l.csv").write_text(
+        "Type,Name,Item,Amount,Rep\nInvoice,Acme Roofing:North,Ann Lee,100.00,R1\n"
+        "Invoice,Acme Roofing--South,Bo Wu,50.00,R1\nInvoice,Zeta Corp,Cy Po,10.00,\n")
+    (tmp_path / "p.csv").write_text(
+        "FirstName,LastName,Bill To Name,Item Bill,Item Pay,Week Worked\n"
+        "Ann,Lee,ACME ROOFING,100.00,90.00,2024-03-06\nBo,Wu,ACME ROOFING,45.00,40.00,2024-03-06\n"
+        "Di,Ng,Omega LLC,7.00,6.00,2024-03-06\n")
+    (tmp_path / "d.csv").write_text("Type,Name,Num,Amount,Date\nDeposit,Acme Roofing,1001,150.00,2024-03-07\n")
+    out = tmp_path / "out"
+    main(["--ledger", str(tmp_path / "l.csv"), "--payroll", str(tmp_path / "p.csv"),
+          "--deposits", str(tmp_path / "d.csv"), "--out", str(out)])
+    s = {r.client_name: r for r in spark.read.parquet(str(out / "summary")).collect()}
+    assert s["Acme Roofing"].avi_client_name == "ACME ROOFING" and s["Acme Roofing"].payment_type == "Check"
+    v = {(r.client_name, r.employee_name, r.variance_type) for r in spark.read.parquet(str(out / "variances")).collect()}
+    assert ("Acme Roofing", "Bo Wu", "Employee Amount Variance") in v
+    assert ("Zeta Corp", "Total", "Ledger Only Client") in v and ("Omega LLC", "Total", "Payroll Only Client") in v

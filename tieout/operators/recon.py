@@ -19,10 +19,12 @@ def first_deposit_method(deposits: DataFrame) -> DataFrame:
             .agg(F.min_by("payment_method", "row_idx").alias("payment_method")))
 
 
-def ledger_client_stats(ledger: DataFrame) -> DataFrame:
+def ledger_client_stats(ledger: DataFrame, with_lists: bool = True) -> DataFrame:
     """B10/B12/B13 ledger side: total, distinct types, job sites in entry order."""
     base = ledger.groupBy("name").agg(F.sum("amount").alias("qb_balance"),
                                       F.countDistinct("type").alias("qb_invoice_count"))
+    if not with_lists:
+        return base
     sites = (ledger.filter(F.col("memo") != "")
              .groupBy("name", "memo").agg(F.min(F.struct("amount", "item")).alias("o"))
              .groupBy("name")
@@ -31,10 +33,12 @@ def ledger_client_stats(ledger: DataFrame) -> DataFrame:
     return base.join(sites, "name", "left")
 
 
-def payroll_client_stats(payroll: DataFrame) -> DataFrame:
+def payroll_client_stats(payroll: DataFrame, with_lists: bool = True) -> DataFrame:
     """B10/B12/B13 payroll side: total, row count, distinct employees by name."""
     base = payroll.groupBy("bill_to_name").agg(F.sum("item_bill").alias("avi_balance"),
                                                F.count(F.lit(1)).alias("avionte_record_count"))
+    if not with_lists:
+        return base
     emps = (payroll.select("bill_to_name", "name").distinct()
             .groupBy("bill_to_name").agg(F.sort_array(F.collect_list("name")).alias("employees")))
     return base.join(emps, "bill_to_name", "left")
@@ -44,11 +48,28 @@ def _nonempty(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit("")) != ""
 
 
-def client_summary(cm: ClientMatch, ledger: DataFrame, payroll: DataFrame, deposits: DataFrame | None) -> DataFrame:
-    """E1 + D14 + D15: one row per unified client, ordered by ``client_name`` at output."""
+def client_employees_long(payroll: DataFrame) -> DataFrame:
+    """B12 long form: one row per (payroll client, distinct employee) - no collection."""
+    return payroll.select(F.col("bill_to_name").alias("client_name"), F.col("name").alias("employee")).distinct()
+
+
+def client_job_sites_long(ledger: DataFrame) -> DataFrame:
+    """B12 long form: one row per (ledger client, distinct non-empty job site) with its entry order."""
+    return (ledger.filter(F.col("memo") != "").groupBy(F.col("name").alias("client_name"), F.col("memo").alias("job_site"))
+            .agg(F.min(F.struct("amount", "item")).alias("first_seen")))
+
+
+def client_summary(cm: ClientMatch, ledger: DataFrame, payroll: DataFrame, deposits: DataFrame | None,
+                   with_lists: bool = True) -> DataFrame:
+    """E1 + D14 + D15: one row per unified client, ordered by ``client_name`` at output.
+
+    ``with_lists`` adds the source's per-client ``employees`` / ``job_sites``
+    arrays (distinct values, built from pre-aggregated keys). For clients with
+    very many distinct employees use ``with_lists=False`` and the long forms
+    :func:`client_employees_long` / :func:`client_job_sites_long` instead."""
     m = cm.matches
-    ls = ledger_client_stats(ledger).withColumnRenamed("name", "ls_name")
-    ps = payroll_client_stats(payroll).withColumnRenamed("bill_to_name", "ps_name")
+    ls = ledger_client_stats(ledger, with_lists).withColumnRenamed("name", "ls_name")
+    ps = payroll_client_stats(payroll, with_lists).withColumnRenamed("bill_to_name", "ps_name")
     s = (m.join(ls, _nonempty("qb_name") & (F.col("qb_name") == F.col("ls_name")), "left")
          .join(ps, _nonempty("av_name") & (F.col("av_name") == F.col("ps_name")), "left"))
     pay = F.lit(NO_PAYMENT_METHOD)
@@ -71,8 +92,8 @@ def client_summary(cm: ClientMatch, ledger: DataFrame, payroll: DataFrame, depos
         match_notes(F.col("match_type")).alias("notes"), F.lit("").alias("status"),
         F.coalesce("qb_invoice_count", F.lit(0)).cast("long").alias("qb_invoice_count"),
         F.coalesce("avionte_record_count", F.lit(0)).cast("long").alias("payroll_record_count"),
-        F.coalesce("employees", F.array().cast("array<string>")).alias("employees"),
-        F.coalesce("job_sites", F.array().cast("array<string>")).alias("job_sites"),
+        *([F.coalesce("employees", F.array().cast("array<string>")).alias("employees"),
+           F.coalesce("job_sites", F.array().cast("array<string>")).alias("job_sites")] if with_lists else []),
         "match_type", "unified_name")
 
 
