@@ -77,12 +77,16 @@ def context_candidates(le: DataFrame, pe: DataFrame) -> DataFrame:
     band = lb.join(pb, ["unified_name", "sg", "bk"]).select(
         "unified_name", "l_item", "l_o1", "l_norm", "qa", "p_name", "p_norm", "pa")
     pairs = eq.unionByName(band).distinct().filter(~is_blank(F.col("l_item")))
+    # the name score depends only on the two normalised names: score each distinct
+    # name pair once (names recur across clients), then join the score back
+    names = pairs.select("l_norm", "p_norm").distinct()
     sc = employee_scores(F.col("l_norm"), F.col("p_norm"))
-    scored = (pairs.withColumn("sc", sc)
-              .withColumn("name_sim", name_similarity_from(F.col("l_norm"), F.col("p_norm"), F.col("sc")))
+    name_scores = (names.withColumn("sc", sc)
+                   .select("l_norm", "p_norm",
+                           name_similarity_from(F.col("l_norm"), F.col("p_norm"), F.col("sc")).alias("name_sim")))
+    scored = (pairs.join(name_scores, ["l_norm", "p_norm"])
               .withColumn("composite", composite_score(F.col("name_sim"), F.col("qa"), F.col("pa")))
-              .filter(F.col("composite") >= CONTEXT_THRESHOLD)
-              .drop("sc"))
+              .filter(F.col("composite") >= CONTEXT_THRESHOLD))
     w = Window.partitionBy("unified_name", "l_item").orderBy(
         F.col("composite").desc(), F.col("name_sim").desc(), "p_name")
     return cut_lineage(scored.withColumn("rank", F.row_number().over(w)))
