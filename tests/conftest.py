@@ -9,12 +9,14 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
-    from tieout.session import ensure_checkpoint_dir
+    from tieout.session import release_scratch
     s = (SparkSession.builder.master("local[*]").appName("tieout-tests")
          .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
          .config("spark.sql.session.timeZone", "UTC").getOrCreate())
     s.sparkContext.setLogLevel("OFF")
-    ensure_checkpoint_dir(s)
+    if not s.conf.get("spark.checkpoint.dir", None):
+        s.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints")))
     yield s
+    release_scratch(s)

@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: one scratch folder per driver process, below the shared checkpoint directory
+_RUN = uuid.uuid4().hex
+
 
 def build_session(master: str | None = None, app: str = "tieout", shuffle_partitions: int | None = None) -> SparkSession:
     """Local/test session. On a cluster, use the session the platform provides.
 
     AQE stays on: it coalesces the many small shuffle partitions produced by the
     name-level joins and splits skewed partitions when one client holds most rows.
+    ``TIEOUT_CHECKPOINT_DIR`` names the checkpoint directory when the Spark
+    configuration has none.
     """
     master = master or os.environ.get("TIEOUT_MASTER", "local[8]")
     b = (
@@ -29,18 +33,40 @@ def build_session(master: str | None = None, app: str = "tieout", shuffle_partit
     )
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    if "TIEOUT_CHECKPOINT_DIR" in os.environ and not _checkpoint_dir(spark):
+        spark.conf.set("spark.checkpoint.dir", os.environ["TIEOUT_CHECKPOINT_DIR"])
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only set one when unset (tests)."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="tieout-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return d
+def _checkpoint_dir(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """Folder for intermediate tables: below ``spark.checkpoint.dir``, else below the
+    directory given to ``SparkContext.setCheckpointDir``. Without either there is no folder that
+    all executors are known to share, so this raises instead of picking a machine-local one."""
+    base = _checkpoint_dir(spark)
+    if not base:
+        raise RuntimeError("set spark.checkpoint.dir (or call SparkContext.setCheckpointDir) to a folder all executors share")
+    return f"{base.rstrip('/')}/tieout-{_RUN}"
+
+
+def scratch_path(spark: SparkSession, name: str = "table") -> str:
+    """A new path for one intermediate table or file set."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete one path through Hadoop's file system API (any store Spark reads)."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Delete every intermediate table this process wrote. Call it once the results that read
+    them are written; later reads of those DataFrames fail."""
+    delete_path(spark, shared_dir(spark))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -50,7 +76,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     ``localCheckpoint`` is never used: its blocks die with the executor.
     """
-    base = ensure_checkpoint_dir(df.sparkSession)
-    path = f"{base.rstrip('/')}/tieout/{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
