@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import format_chats, frame_turns, read_chats
-from .common import ship_package, table
+from .common import content_key, ship_package, table
+from .decontam import contaminated, find_items, n_hit
 from .quality import quality
+from .suffix import kept_bytes, repeated_spans
 from .url_filter import apply_url_rules
 from .warc import archive
 
@@ -25,6 +27,24 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("row.doc_id", "quality.*")
 
 
+def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    found = kept_bytes(repeated_spans(F.col("text"), docs)).select(
+        "key", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    data = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    rows = docs.select("doc_id", content_key(F.col("text")).alias("key"), F.octet_length(data).cast("long").alias("n_bytes"), F.sha2(data, 256).alias("sha"))
+    zero = F.lit(0).cast("long")
+    return rows.join(found, "key", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"),
+                                                  F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return found.select("row.doc_id", "n_words", n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated().alias("contaminated"))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -80,7 +100,7 @@ SELECT page_id, CAST(d.n AS BIGINT) AS payload_bytes, d.digest AS payload_digest
 FROM d LEFT JOIN g ON d.digest = g.digest AND d.n = g.n
 """
 
-_QUERIES = {"op1_url_filter": op1_url_filter, "op2_quality": op2_quality, "op8_chat": op8_chat, "op9_warc": op9_warc}
+_QUERIES = {"op1_url_filter": op1_url_filter, "op2_quality": op2_quality, "op4_suffix": op4_suffix, "op7_decontamination": op7_decontamination, "op8_chat": op8_chat, "op9_warc": op9_warc}
 
 
 def _with_package(query):
