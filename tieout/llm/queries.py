@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .chat import format_chats, frame_turns, read_chats
 from .common import content_key, ship_package, table
 from .decontam import contaminated, find_items, n_hit
+from .language import held_out, learn, predict
+from .minhash import near_duplicates
 from .quality import quality
 from .suffix import kept_bytes, repeated_spans
 from .url_filter import apply_url_rules
@@ -27,6 +29,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("row.doc_id", "quality.*")
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = predict(docs, learn(docs), keep=["doc_id"])
+    return out.select("row.doc_id", "lang_pred", "score").withColumn("held_out", held_out())
+
+
 def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
@@ -63,6 +71,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_duplicates(table(spark, sf_dir, "documents"), words=2)
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
 OP1_SQL = """
 WITH urls AS (
   SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
@@ -100,7 +113,8 @@ SELECT page_id, CAST(d.n AS BIGINT) AS payload_bytes, d.digest AS payload_digest
 FROM d LEFT JOIN g ON d.digest = g.digest AND d.n = g.n
 """
 
-_QUERIES = {"op1_url_filter": op1_url_filter, "op2_quality": op2_quality, "op4_suffix": op4_suffix, "op7_decontamination": op7_decontamination, "op8_chat": op8_chat, "op9_warc": op9_warc}
+_QUERIES = {"op1_url_filter": op1_url_filter, "op2_quality": op2_quality, "op3_language": op3_language, "op4_suffix": op4_suffix, "op7_decontamination": op7_decontamination, "op8_chat": op8_chat, "op9_warc": op9_warc,
+            "op10_minhash": op10_minhash}
 
 
 def _with_package(query):
