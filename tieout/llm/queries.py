@@ -10,8 +10,11 @@ from .common import content_key, ship_package, table
 from .decontam import contaminated, find_items, n_hit
 from .language import held_out, learn, predict
 from .minhash import near_duplicates
+from .pieces import decode, encode
 from .quality import quality
 from .suffix import kept_bytes, repeated_spans
+from .toxicity import learn_chain
+from .toxicity import predict as predict_toxicity
 from .url_filter import apply_url_rules
 from .warc import archive
 
@@ -47,6 +50,20 @@ def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                   F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
 
 
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decode(encode(table(spark, sf_dir, "documents"), keep=["doc_id"]))
+    return out.select("row.doc_id", F.size("ids").cast("long").alias("n_pieces"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+                      F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    chain = learn_chain(docs, labels, {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1})
+    p = F.col("p")
+    return predict_toxicity(docs, chain, keep=["doc_id"]).select(
+        "row.doc_id", p[0].alias("p_low_quality"), p[1].alias("p_toxic"), (p[1] >= 0.5).alias("toxic"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select("row.doc_id", "n_words", n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"),
@@ -113,7 +130,8 @@ SELECT page_id, CAST(d.n AS BIGINT) AS payload_bytes, d.digest AS payload_digest
 FROM d LEFT JOIN g ON d.digest = g.digest AND d.n = g.n
 """
 
-_QUERIES = {"op1_url_filter": op1_url_filter, "op2_quality": op2_quality, "op3_language": op3_language, "op4_suffix": op4_suffix, "op7_decontamination": op7_decontamination, "op8_chat": op8_chat, "op9_warc": op9_warc,
+_QUERIES = {"op1_url_filter": op1_url_filter, "op2_quality": op2_quality, "op3_language": op3_language, "op4_suffix": op4_suffix, "op5_pieces": op5_pieces, "op6_toxicity": op6_toxicity,
+            "op7_decontamination": op7_decontamination, "op8_chat": op8_chat, "op9_warc": op9_warc,
             "op10_minhash": op10_minhash}
 
 
