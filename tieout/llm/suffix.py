@@ -6,7 +6,8 @@ A byte goes if a string of ``size`` bytes that covers it also starts anywhere el
    of equals. Equal windows have equal anchors, so windows are dealt out by anchor. Neighbouring windows with the same
    anchor form one segment. Each window belongs to exactly one segment.
 2. **Only repeated anchors go on.** Segments whose anchor occurs once cannot hold a repeated window. Equal segments
-   (copies of texts and passages) become one segment with a weight, before anything is shuffled.
+   (copies of texts and passages) become one segment with a weight, before anything is shuffled. If an anchor has one
+   distinct segment only, that is repeated whole; all others are compared.
 3. **Transform.** The segments of an anchor meet in one block of about ``BLOCK_BYTES``. The block's rotations are sorted to a
    depth of at least ``size``, which gives its transform. Interval borders are then found breadth first by increasing
    common prefix: from a border between rows with l bytes in common, one backward extension by each byte gives the
@@ -34,9 +35,9 @@ from ..session import cut_lineage
 from .common import content_key
 
 MIN_BYTES, ANCHOR_BYTES = 400, 200
-BLOCK_BYTES, HOT_BYTES = 1 << 20, 1 << 21
-#: an interval longer than this is extended byte by byte instead of row by row
-LONG_INTERVAL = 24
+BLOCK_BYTES, HOT_BYTES = 3 << 19, 3 << 20
+#: so few intervals (times bytes) are extended byte by byte instead of row by row
+FEW_LOOKUPS = 16384
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -97,27 +98,32 @@ def segments(data: bytes, size: int, k: int) -> tuple[np.ndarray, np.ndarray, np
     return h[place[first]].view(np.int64), first, last
 
 
-def rotation_order(t: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the rotations of ``t`` by their first ``depth`` bytes or more (prefix doubling; settled rows stay)."""
+def rotation_order(t: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rotations of ``t`` by their first ``depth`` bytes or more (prefix doubling; settled rows stay), and how many of
+    the first 8 bytes each row shares with the row before."""
     n = len(t)
     around = np.resize(t, n + 8).astype(np.uint64)
     key = np.zeros(n, np.uint64)
     for j in range(8):
         key |= around[j:j + n] << np.uint64(56 - 8 * j)
-    order = np.argsort(key).astype(np.int64)
-    slots, ranked = np.arange(n), key[order]
+    order = np.argsort(key).astype(np.int32)
+    slots, ranked = np.arange(n, dtype=np.int32), key[order]
     heads = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-    rank = np.empty(n, np.int64)
+    differ = np.concatenate([[np.uint64(1 << 63)], ranked[1:] ^ ranked[:-1]])
+    common = sum((differ < np.uint64(1 << 64 - 8 * j)).astype(np.int8) for j in range(1, 8)) + (differ == 0)
+    rank = np.empty(n, np.int32)
     rank[order] = np.maximum.accumulate(np.where(heads, slots, 0))
     done = 8
     while done < depth:
         open_ = ~heads
         open_[:-1] |= ~heads[1:]
-        at = np.flatnonzero(open_)
+        at = np.flatnonzero(open_).astype(np.int32)
         if not len(at):
             break
         rows = order[at]
-        key = (rank[rows].astype(np.uint64) << np.uint64(32)) | rank[(rows + done) % n].astype(np.uint64)
+        after = rows + np.int32(done)
+        after[after >= n] %= n
+        key = (rank[rows].astype(np.int64) << 32) | rank[after]
         inner = np.argsort(key)
         rows, key = rows[inner], key[inner]
         order[at] = rows
@@ -125,47 +131,61 @@ def rotation_order(t: np.ndarray, depth: int) -> np.ndarray:
         heads[at] = new
         rank[rows] = np.maximum.accumulate(np.where(new, at, 0))
         done *= 2
-    return order
+    return order, common
 
 
-def interval_borders(bwt: np.ndarray, depth: int) -> np.ndarray:
-    """True at each row that shares fewer than ``depth`` bytes with the row before."""
+def interval_borders(bwt: np.ndarray, common: np.ndarray, depth: int) -> np.ndarray:
+    """True at each row that shares fewer than ``depth`` bytes with the row before. Rows that share fewer than 8 are known from the
+    packed keys (``common``); from there on each round finds those that share one byte more."""
     n = len(bwt)
     occurrences = np.argsort(bwt, kind="stable")
     symbols = bwt[occurrences]
-    step = np.empty(n, np.int64)  # row of the rotation that starts one byte earlier
-    step[occurrences] = np.arange(n)
-    before = np.full(n, -1, np.int64)  # the row before with the same byte
+    step = np.zeros(n + 1, np.int32)  # row of the rotation that starts one byte earlier
+    step[occurrences] = np.arange(n, dtype=np.int32)
+    before = np.full(n + 1, n, np.int32)
+    before[:n] = -1  # the row before with the same byte
     same = symbols[1:] == symbols[:-1]
     before[occurrences[1:][same]] = occurrences[:-1][same]
     starts = np.flatnonzero(np.concatenate([[True], ~same]))
     ends = np.concatenate([starts[1:], [n]])
-    border = np.zeros(n, bool)
-    border[starts] = True
-    frontier = starts
-    for _ in range(1, depth):
+    group = np.repeat(np.arange(len(starts)), ends - starts) * n + occurrences  # sorted by byte, then row
+    border = np.zeros(n + 1, bool)
+    known = min(8, depth)
+    border[:n] = common < known
+    border[n] = True
+    frontier = np.flatnonzero(common == known - 1).astype(np.int32)
+    for _ in range(known, depth):
         if not len(frontier):
             break
         found = []
-        origin, row = frontier, frontier
-        for _ in range(LONG_INTERVAL):
-            first = before[row] < origin  # the first row of the interval with this byte
-            target = step[row[first]]
-            found.append(target[~border[target]])
-            row = row + 1
-            inside = row < n
-            inside[inside] = ~border[row[inside]]
-            origin, row = origin[inside], row[inside]
-            if not len(row):
-                break
-        if len(origin):
-            for a, b in zip(starts, ends, strict=True):
-                target = a + np.searchsorted(occurrences[a:b], origin)
-                target = target[target < b]
-                found.append(target[~border[target]])
-        frontier = np.unique(np.concatenate(found))
-        border[frontier] = True
-    return border
+        origin = row = frontier
+        for ahead in (1, 1, 1, 1, 60):  # rows of the intervals, some at a time
+            while len(row):
+                rows = row[:, None] + np.arange(ahead, dtype=np.int32)
+                np.minimum(rows, n, out=rows)
+                closed = np.logical_or.accumulate(border[rows[:, 1:]], axis=1)
+                open_ = np.concatenate([np.ones((len(row), 1), bool), ~closed], axis=1) if ahead > 1 else np.ones((len(row), 1), bool)
+                first = open_ & (before[rows] < origin[:, None])  # the first row of the interval with this byte
+                found.append(step[rows[first]])
+                row = row + np.int32(ahead)
+                inside = open_[:, -1] & ~border[np.minimum(row, n)]
+                origin, row = origin[inside], row[inside]
+                if ahead == 1 or len(row) * len(starts) <= FEW_LOOKUPS:
+                    break
+        if len(origin):  # few long intervals are left: look up their first row with each byte
+            target = np.searchsorted(group, (np.arange(len(starts)) * n)[:, None] + origin)
+            found.append(target[target < ends[:, None]].astype(np.int32))
+        fresh = np.concatenate(found)
+        fresh = fresh[~border[fresh]]
+        border[fresh] = True
+        frontier = np.unique(fresh) if len(fresh) < n >> 4 else np.flatnonzero(_marked(fresh, n)).astype(np.int32)
+    return border[:n]
+
+
+def _marked(rows: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros(n, bool)
+    out[rows] = True
+    return out
 
 
 def repeated_starts(parts: list[bytes], own: list[int], weights: list[int], size: int) -> list[np.ndarray]:
@@ -176,8 +196,8 @@ def repeated_starts(parts: list[bytes], own: list[int], weights: list[int], size
     weight = np.zeros(len(t), np.int64)
     for a, n, w in zip(at.tolist(), own, weights, strict=True):
         weight[a:a + n] = w
-    order = rotation_order(t, size)
-    classes = np.cumsum(interval_borders(t[order - 1], size)) - 1
+    order, common = rotation_order(t, size)
+    classes = np.cumsum(interval_borders(t[order - 1], common, size)) - 1
     total = np.bincount(classes, weights=weight[order])
     repeated = np.zeros(len(t), bool)
     repeated[order] = total[classes] >= 2
@@ -215,7 +235,8 @@ def _parts(size: int):
                     parts = [data[r["start"]:r["start"] + r["own"] + size - 1] for r in rows]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([r["anchor"] for r in rows]), pa.array([r["seg"] for r in rows]), pa.array([r["copies"] for r in rows]),
-                         pa.array([r["own"] for r in rows], pa.int32()), pa.array(parts, pa.binary())], names=["anchor", "seg", "copies", "own", "part"])
+                         pa.array([r["own"] for r in rows], pa.int32()), pa.array([r["hot"] for r in rows]), pa.array(parts, pa.binary())],
+                        names=["anchor", "seg", "copies", "own", "hot", "part"])
 
     return run
 
@@ -269,6 +290,7 @@ def _windows(size: int):
 
 
 def _hot_runs(parts: DataFrame, size: int) -> DataFrame:
+    """Repeated windows of hot anchors."""
     w = parts.mapInArrow(_windows(size), "anchor long, seg long, copies long, at int, window binary")
     again = w.groupBy("window").agg(F.sum("copies").alias("n")).filter("n > 1").select("window")
     return w.join(again, "window", "left_semi").select("anchor", "seg", F.col("at").alias("first"), F.col("at").alias("last"))
@@ -302,21 +324,23 @@ def repeated_spans(texts: Column, docs: DataFrame, size: int = MIN_BYTES, gram:
     occ = cut_lineage(rows.mapInArrow(_segments(size, gram), "anchor long, seg long, key binary, start int, own int"))
     again = occ.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
     occ = cut_lineage(occ.join(again, "anchor", "left_semi"))
-    segs = occ.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("key", "start", "own")).alias("at"))
-    segs = segs.select("at.key", F.struct("anchor", "seg", "copies", "at.start", "at.own").alias("one"))
-    chosen = segs.groupBy("key").agg(F.collect_list("one").alias("chosen"))
+    segs = cut_lineage(occ.groupBy("anchor", "seg").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("key", "start", "own")).alias("at")))
+    kinds = segs.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), (F.sum(F.col("at.own") + size - 1) > hot_bytes).alias("hot"))
+    segs = segs.join(kinds, "anchor")
+    one = F.struct("anchor", "seg", "copies", "at.start", "at.own", "hot").alias("one")
+    chosen = segs.filter("kinds > 1").select("at.key", one).groupBy("key").agg(F.collect_list("one").alias("chosen"))
     distinct = rows.groupBy("key").agg(F.first("text").alias("text"))
     touched = occ.select("key").distinct().join(chosen, "key", "left")
     held = cut_lineage(distinct.join(touched, "key"))
 
-    parts = held.filter("chosen IS NOT NULL").select("text", "chosen").mapInArrow(_parts(size), "anchor long, seg long, copies long, own int, part binary")
-    weight = held.select(F.explode("chosen").alias("c")).groupBy("c.anchor").agg(F.sum(F.col("c.own") + size - 1).alias("n"))
-    hot = cut_lineage(weight.filter(F.col("n") > hot_bytes).select("anchor"))
-    any_hot = not hot.isEmpty()  # changes the plan only: without hot anchors both joins below are empty work
-    usual = parts.join(hot, "anchor", "left_anti") if any_hot else parts
-    runs = usual.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_blocks(size, block_bytes), _RUNS)
-    if any_hot:
-        runs = runs.unionByName(_hot_runs(parts.join(hot, "anchor", "left_semi"), size))
+    parts = held.filter("chosen IS NOT NULL").select("text", "chosen").mapInArrow(
+        _parts(size), "anchor long, seg long, copies long, own int, hot boolean, part binary")
+    runs = parts.filter("NOT hot").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_blocks(size, block_bytes), _RUNS)
+    # copies of one segment and nothing else: all its windows are repeated, there is nothing to compare
+    alone = segs.filter("kinds = 1").select("anchor", "seg", F.lit(0).alias("first"), (F.col("at.own") - 1).alias("last"))
+    runs = runs.unionByName(alone)
+    if not kinds.filter("hot").isEmpty():  # changes the plan only: without hot anchors there is nothing to add
+        runs = runs.unionByName(_hot_runs(parts.filter("hot"), size))
     places = occ.select("anchor", "seg", "key", "start").distinct()
     spans = places.join(runs, ["anchor", "seg"]).select(
         "key", F.struct((F.col("start") + F.col("first")).cast("long").alias("start"),
