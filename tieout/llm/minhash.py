@@ -9,10 +9,12 @@ Copies come first: documents with equal sets are one class, so thousands of copi
 Candidates are compared exactly, in two rounds that never list all pairs of a bucket whose members turn out to be linked:
 
 1. every class with the smallest class of each of its buckets (the hub);
-2. after the links so far are joined to components, classes of a bucket that are still in different components.
+2. after the links so far are joined to components, classes of a bucket that are still in different components. Small buckets
+   give pairs. A large bucket is cut into blocks of about ``BLOCK_BYTES`` of text; two blocks at a time meet in a task, which
+   counts common shingles by an inverted index and gives only links. A pair is compared in the first band it shares.
 
-Every pair of classes that shares a bucket is therefore compared or already connected. Sizes that rule a link out
-(100 * smaller < threshold * larger) are dropped before. A pair at similarity 0.8 shares none of 32 bands of 4 with
+Every pair of classes that shares a bucket is therefore compared or already connected, and no task holds more than two blocks.
+Sizes that rule a link out (100 * smaller < threshold * larger) are dropped before. A pair at similarity 0.8 shares none of 32 bands of 4 with
 probability (1 - 0.8^4)^32 = 5e-8; links are confirmed on full shingle sets. Components use all links.
 
 Defined results: a null or empty text has an empty set and is linked with nothing; fewer words than a shingle make one
@@ -38,6 +40,7 @@ BANDS, ROWS = 32, 4
 _SHINGLE = np.uint64(0x9E3779B97F4A7C15)
 _CACHE_WORDS = 200_000
 _CELLS = 1 << 16
+SMALL_BUCKET, BLOCK_BYTES = 6, 1 << 20
 
 
 class WordHashes(dict):
@@ -153,6 +156,74 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, threshold: int) -> Da
     return cut_lineage(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(k, threshold), "a binary, b binary"))
 
 
+def _block_links(many: DataFrame, k: int, threshold: int) -> DataFrame:
+    """Links (a, b) between different groups in large buckets. ``many``: bucket, node, n, group, bands, text."""
+    many = cut_lineage(many)
+    sizes = many.groupBy("bucket").agg(F.ceil(F.sum(F.octet_length("text")) / F.lit(BLOCK_BYTES)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    met = many.join(sizes, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks")
+    met = met.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return cut_lineage(met.select("bucket", "i", "j", "own", "node", "n", "group", "bands", "text").mapInArrow(
+        _meet(k, threshold), "a binary, b binary").distinct())
+
+
+def _meet(k: int, threshold: int):
+    def compare(rows: list[tuple], hashes: WordHashes) -> Iterator[pa.RecordBatch]:
+        bucket, i, j = rows[0][:3]
+        own, n = (np.array([r[c] for r in rows], np.int64) for c in (3, 5))
+        node, names = [r[4] for r in rows], {}
+        group = np.array([names.setdefault(r[6], len(names)) for r in rows])
+        bands = np.array([r[7] for r in rows], np.int64)
+        band = int(np.flatnonzero(bands[0] == bucket)[0])
+        sets = [shingle_set(r[8], k, hashes) for r in rows]
+        shingles, place = np.unique(np.concatenate(sets), return_inverse=True)
+        owner = np.repeat(np.arange(len(rows)), n)
+        order = np.argsort(place, kind="stable")
+        owner_by = owner[order]
+        first = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=len(shingles)))])
+        at = np.concatenate([[0], np.cumsum(n)])
+        usual = np.bincount(group).argmax()
+        number = np.arange(len(rows))
+        a_, b_ = [], []
+        for x in np.flatnonzero(group != usual):
+            todo = (group != group[x]) & ((group == usual) | (number < x)) & (100 * np.minimum(n, n[x]) >= threshold * np.maximum(n, n[x]))
+            if i != j:
+                todo &= own != own[x]
+            todo &= ~(bands[:, :band] == bands[x, :band]).any(axis=1)  # pairs that have met in an earlier band
+            if not todo.any():
+                continue
+            which = np.flatnonzero(todo)
+            if len(which) < 64:
+                common = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for y in which.tolist()])
+                hits = which[linked(common, n[which], n[x], threshold)]
+                a_ += [node[x]] * len(hits)
+                b_ += [node[y] for y in hits.tolist()]
+                continue
+            mine = place[at[x]:at[x + 1]]
+            width = first[mine + 1] - first[mine]
+            posting = np.repeat(first[mine] - np.concatenate([[0], np.cumsum(width)[:-1]]), width) + np.arange(int(width.sum()))
+            common = np.bincount(owner_by[posting], minlength=len(rows))
+            for y in np.flatnonzero(todo & linked(common, n, n[x], threshold)).tolist():
+                a_.append(node[x])
+                b_.append(node[y])
+        if a_:
+            yield pa.RecordBatch.from_arrays([pa.array(a_, pa.binary()), pa.array(b_, pa.binary())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, rows = WordHashes(), []
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if rows and row[:3] != rows[0][:3]:
+                    yield from compare(rows, hashes)
+                    rows = []
+                rows.append(row)
+        if rows:
+            yield from compare(rows, hashes)
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, threshold: int = 80,
                     bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """id, n_shingles, component_id (smallest id reachable over links of similarity >= threshold percent), kept
@@ -177,14 +248,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     nodes = classes.select("node", "value")
     labels = cut_lineage(smallest_reachable(nodes, links))
 
-    # members of one bucket that are still apart, each pair once; hubs have met everyone
+    # members of one bucket that are still apart; hubs have met everyone
     placed = members.join(labels.select("node", F.col("label.node").alias("group")), "node")
-    mixed = placed.groupBy("bucket").agg(F.min("group").alias("g1"), F.max("group").alias("g2")).filter("g1 <> g2").select("bucket")
-    placed = cut_lineage(placed.filter(F.col("node") != F.col("hub.node")).join(mixed, "bucket", "left_semi").select("bucket", "node", "n", "group"))
-    x = placed.select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("group").alias("ga"))
-    y = placed.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("group").alias("gb"))
+    mixed = placed.groupBy("bucket").agg(F.min("group").alias("g1"), F.max("group").alias("g2"), F.count(F.lit(1)).alias("size")).filter("g1 <> g2")
+    placed = cut_lineage(placed.filter(F.col("node") != F.col("hub.node")).join(mixed.select("bucket", "size"), "bucket").select(
+        "bucket", "node", "n", "group", "size"))
+    few = placed.filter(F.col("size") <= SMALL_BUCKET)
+    x = few.select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("group").alias("ga"))
+    y = few.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("group").alias("gb"))
     rest = x.join(y, "bucket").filter((F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & may_link(F.col("na"), F.col("nb")))
     more = _confirmed(rest.select("a", "b").distinct(), texts, words, threshold)
+    many = placed.filter(F.col("size") > SMALL_BUCKET).drop("size").join(classes.select("node", "bands"), "node").join(texts, "node")
+    more = more.unionByName(_block_links(many, words, threshold))
     if not more.isEmpty():  # else the components stand
         labels = cut_lineage(smallest_reachable(nodes, links.unionByName(more)))
     group = labels.select("node", F.nullif(F.col("label.value"), last).alias("component"))
