@@ -82,18 +82,23 @@ def previous_sunday(d) -> Column:
 
 
 def money(c, dtype=None) -> Column:
-    """Parse a money cell to DECIMAL(18,2); unparsable -> NULL (row is then dropped).
+    """Parse a money cell to DECIMAL(18,2), thousands separators allowed; unparsable -> NULL (row is then dropped).
     A numeric source column is cast directly (no text round trip)."""
     if dtype is not None and isinstance(dtype, NumericType):
         return col_(c).try_cast("decimal(18,2)")
-    return trim_ws(col_(c).cast("string")).try_cast("decimal(18,2)")
+    return F.replace(trim_ws(col_(c).cast("string")), F.lit(","), F.lit("")).try_cast("decimal(18,2)")
 
 
-def try_date(c, dtype=None) -> Column:
-    """A date cell; date/timestamp sources are used as they are, text is parsed."""
+#: text dates besides ISO, as the source's culture writes them
+DATE_FORMATS = ("M/d/yyyy", "M/d/yyyy H:mm:ss", "M/d/yyyy h:mm:ss a")
+
+
+def try_date(c, dtype=None, formats=DATE_FORMATS) -> Column:
+    """A date cell; date/timestamp sources are used as they are, text is parsed (ISO first, then ``formats``)."""
     if dtype is not None and isinstance(dtype, (DateType, TimestampType, TimestampNTZType)):
         return col_(c).cast("date")
-    return trim_ws(col_(c).cast("string")).try_cast("date")
+    text = trim_ws(col_(c).cast("string"))
+    return F.coalesce(text.try_cast("date"), *[F.try_to_timestamp(text, F.lit(f)).cast("date") for f in formats])
 
 
 def format_n2(c) -> Column:

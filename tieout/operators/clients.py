@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from ..functions.similarity import (amounts_zero_out, client_match_reason, client_similarity, first_n_words,
                                     normalize_client)
 from .blocking import client_candidates
+from ..functions.text import is_blank
 from ..session import cut_lineage
 from .sizing import broadcast_if_small
 
@@ -300,7 +301,7 @@ def extract_best_client(targets: DataFrame, choices: DataFrame, threshold: float
     with score and reason; targets with none get a null match and score 0."""
     t = targets.select(F.col(target_col).alias("target")).distinct().withColumn("t_norm", normalize_client("target"))
     c = choices.select(F.col(choice_col).alias("choice"), *order_cols).withColumn("c_norm", normalize_client("choice"))
-    tl = t.filter(F.trim("target") != "")
+    tl = t.filter(~is_blank(F.col("target")))
     pairs = _fuzzy_pairs(tl, "t_norm", c, "c_norm", threshold)
     scored = pairs.select("target", "choice", *order_cols,
                           client_similarity(F.col("t_norm"), F.col("c_norm")).alias("score"),
@@ -311,5 +312,5 @@ def extract_best_client(targets: DataFrame, choices: DataFrame, threshold: float
     pct = int(round(threshold * 100))
     return t.join(best, "target", "left").select(
         "target", F.col("choice").alias("best_match"), F.coalesce("score", F.lit(0.0)).alias("score"),
-        F.when(F.trim("target") == "", F.lit("Empty target"))
+        F.when(is_blank(F.col("target")), F.lit("Empty target"))
         .otherwise(F.coalesce("reason", F.lit(f"No match above {pct}% threshold"))).alias("reason"))

@@ -63,20 +63,25 @@ def employee_totals(ledger: DataFrame, payroll: DataFrame, matches: DataFrame) -
 
 
 def _bucket(x: Column) -> Column:
-    return F.floor(F.log(F.abs(x).cast("double")) / F.lit(_BAND)).cast("long")
+    # a hair wider than the band, so rounding in the logarithm cannot put a pair two buckets apart
+    return F.floor(F.log(F.abs(x).cast("double")) / F.lit(_BAND * 1.001)).cast("long")
 
 
 def context_candidates(le: DataFrame, pe: DataFrame) -> DataFrame:
-    """D9 pairs with composite >= 0.6 (lossless amount blocking, then exact scores)."""
-    eq = le.join(pe, (le.unified_name == pe.unified_name) & (le.qa == pe.pa)).select(
-        le.unified_name, "l_item", "l_o1", "l_norm", "qa", "p_name", "p_norm", "pa")
-    lb = (le.filter(F.col("qa") != 0)
+    """D9 pairs with composite >= 0.6 (lossless amount blocking, then exact scores).
+
+    Two zero amounts meet on the client alone; other amounts on (client, sign, neighbouring log bucket), where pairs
+    further apart than a composite of 0.6 allows (smaller / larger below 3/7) are dropped before any name is scored."""
+    names = ["unified_name", "l_item", "l_o1", "l_norm", "qa", "p_name", "p_norm", "pa"]
+    zero = le.filter("qa = 0").join(pe.filter("pa = 0"), "unified_name").select(names)
+    lb = (le.filter("qa <> 0")
           .withColumn("sg", F.signum("qa"))
-          .withColumn("bk", F.explode(F.sequence(_bucket(F.col("qa")) - 2, _bucket(F.col("qa")) + 2))))
-    pb = pe.filter(F.col("pa") != 0).withColumn("sg", F.signum("pa")).withColumn("bk", _bucket(F.col("pa")))
-    band = lb.join(pb, ["unified_name", "sg", "bk"]).select(
-        "unified_name", "l_item", "l_o1", "l_norm", "qa", "p_name", "p_norm", "pa")
-    pairs = eq.unionByName(band).distinct().filter(~is_blank(F.col("l_item")))
+          .withColumn("bk", F.explode(F.sequence(_bucket(F.col("qa")) - 1, _bucket(F.col("qa")) + 1))))
+    pb = pe.filter("pa <> 0").withColumn("sg", F.signum("pa")).withColumn("bk", _bucket(F.col("pa")))
+    size = lambda c: F.abs(F.col(c).cast("double"))
+    near = F.least(size("qa"), size("pa")) >= 0.42 * F.greatest(size("qa"), size("pa"))
+    band = lb.join(pb, ["unified_name", "sg", "bk"]).filter(near).select(names)
+    pairs = zero.unionByName(band).filter(~is_blank(F.col("l_item")))
     # the name score depends only on the two normalised names: score each distinct
     # name pair once (names recur across clients), then join the score back
     names = pairs.select("l_norm", "p_norm").distinct()
@@ -99,43 +104,38 @@ def best_context_match(cands: DataFrame) -> DataFrame:
 
 # --- D13 -----------------------------------------------------------------------
 
-def greedy_assignment(cands: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def greedy_assignment(cands: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """One-to-one assignment ``(unified_name, l_item, p_name)``.
 
-    Consumption is case-insensitive on the payroll name (``p_key``)."""
+    Consumption is case-insensitive on the payroll name (``p_key``). Rounds go on until no candidate is left;
+    each writes what it settled once. ``max_rounds`` is a guard, not a limit: if candidates are left after so many
+    rounds this raises, it never returns a partial assignment."""
     edges = cut_lineage(cands.select("unified_name", "l_item", "l_o1", "p_name",
                                      F.lower("p_name").alias("p_key"), "rank"))
-    spark = cands.sparkSession
-    rounds = []
-    for _ in range(max_rounds):
-        if edges.isEmpty():
-            break
+    done = None
+    rounds = 0
+    while not edges.isEmpty():
+        if max_rounds is not None and rounds >= max_rounds:
+            raise RuntimeError(f"employees are left to assign after {max_rounds} rounds")
+        rounds += 1
         top = (edges.groupBy("unified_name", "l_item", "l_o1")
                .agg(F.min(F.struct("rank", "p_key", "p_name")).alias("t"))
                .select("unified_name", "l_item", "l_o1", F.col("t.p_key").alias("p_key"),
                        F.col("t.p_name").alias("p_name")))
         claim = (edges.groupBy("unified_name", "p_key")
                  .agg(F.min(F.struct("l_o1", "l_item")).alias("c")))
-        # cheap to re-derive from the materialised edges: not written itself
-        settled = (top.join(claim, ["unified_name", "p_key"])
-                   .filter((F.col("c.l_o1") == F.col("l_o1")) & (F.col("c.l_item") == F.col("l_item")))
-                   .select("unified_name", "l_item", "p_name", "p_key"))
-        rounds.append(settled)
+        settled = cut_lineage(top.join(claim, ["unified_name", "p_key"])
+                              .filter((F.col("c.l_o1") == F.col("l_o1")) & (F.col("c.l_item") == F.col("l_item")))
+                              .select("unified_name", "l_item", "p_name", "p_key"))
         edges = cut_lineage(
             edges.join(settled.select("unified_name", "l_item"), ["unified_name", "l_item"], "left_anti")
             .join(settled.select("unified_name", "p_key"), ["unified_name", "p_key"], "left_anti"))
-    if rounds:
-        rounds = [cut_lineage(_union(rounds))]
-    if not rounds:
-        return spark.createDataFrame([], "unified_name string, l_item string, p_name string")
-    return rounds[0].select("unified_name", "l_item", "p_name")
-
-
-def _union(dfs: list[DataFrame]) -> DataFrame:
-    out = dfs[0]
-    for d in dfs[1:]:
-        out = out.unionByName(d)
-    return out
+        done = settled if done is None else done.unionByName(settled)
+        if rounds % 16 == 0:  # the union is a list of table scans: keep it short
+            done = cut_lineage(done)
+    if done is None:
+        return cands.sparkSession.createDataFrame([], "unified_name string, l_item string, p_name string")
+    return done.select("unified_name", "l_item", "p_name")
 
 
 def enhanced_type(q: Column, a: Column) -> Column:
@@ -183,11 +183,11 @@ def employee_matches(le: DataFrame, pe: DataFrame, assigned: DataFrame) -> DataF
     return cut_lineage(out)
 
 
-# --- D7 / D8 / D10 (name-only, over caller-supplied candidate pairs) ----------------
+# --- D7 / D8 / D10 (name-only, over caller-supplied candidate pairs, within an optional group) ----------------
 
 def best_by_name(pairs: DataFrame, target: str = "target", choice: str = "choice",
-                 choice_order: str = "choice_ord") -> DataFrame:
-    """D7 over candidate pairs ``(target, choice, choice_ord)``: exact (CI) ->
+                 choice_order: str = "choice_ord", group: str | None = None) -> DataFrame:
+    """D7 over candidate pairs ``([group,] target, choice, choice_ord)``: exact (CI) ->
     normalised -> name components -> first two words -> best similarity >= 0.8
     -> >= 0.6; ties go to the first choice. The caller decides which choices a
     target is compared with (e.g. the employees of one linked client)."""
@@ -204,13 +204,14 @@ def best_by_name(pairs: DataFrame, target: str = "target", choice: str = "choice
             .when(F.col("ns") >= NAME_ONLY_LOW, F.lit(6)))
     p = p.withColumn("tier", tier).filter(F.col("tier").isNotNull())
     score_key = F.when(F.col("tier") >= 5, -F.col("ns")).otherwise(F.lit(0.0))
-    w = Window.partitionBy(target).orderBy("tier", score_key, choice_order, choice)
+    keys = [target] if group is None else [group, target]
+    w = Window.partitionBy(*keys).orderBy("tier", score_key, choice_order, choice)
     return (p.withColumn("rn", F.row_number().over(w)).filter("rn = 1")
-            .select(target, F.col(choice).alias("best_match"), "tier", "ns"))
+            .select(*keys, F.col(choice).alias("best_match"), "tier", "ns"))
 
 
 def extract_best_by_name(pairs: DataFrame, threshold: float = EXTRACT_THRESHOLD, target: str = "target",
-                         choice: str = "choice", choice_order: str = "choice_ord") -> DataFrame:
+                         choice: str = "choice", choice_order: str = "choice_ord", group: str | None = None) -> DataFrame:
     """D8 over candidate pairs: best similarity >= threshold with score and reason."""
     p = (pairs.withColumn("tn", normalize_employee(F.col(target)))
          .withColumn("cn", normalize_employee(F.col(choice)))
@@ -218,24 +219,18 @@ def extract_best_by_name(pairs: DataFrame, threshold: float = EXTRACT_THRESHOLD,
     p = (p.withColumn("score", name_similarity_from(F.col("tn"), F.col("cn"), F.col("sc")))
          .withColumn("reason", employee_match_reason_from(F.col("tn"), F.col("cn"), F.col("sc"))))
     ok = p.filter((F.col("score") >= threshold) & ~is_blank(F.col(target)))
-    w = Window.partitionBy(target).orderBy(F.col("score").desc(), choice_order, choice)
+    keys = [target] if group is None else [group, target]
+    w = Window.partitionBy(*keys).orderBy(F.col("score").desc(), choice_order, choice)
     best = ok.withColumn("rn", F.row_number().over(w)).filter("rn = 1").select(
-        target, F.col(choice).alias("best_match"), "score", "reason")
+        *keys, F.col(choice).alias("best_match"), "score", "reason")
     pct = int(round(threshold * 100))
-    t = pairs.select(target).distinct()
-    return t.join(best, target, "left").select(
-        target, "best_match", F.coalesce("score", F.lit(0.0)).alias("score"),
+    t = pairs.select(*keys).distinct()
+    return t.join(best, keys, "left").select(
+        *keys, "best_match", F.coalesce("score", F.lit(0.0)).alias("score"),
         F.when(is_blank(F.col(target)), F.lit("Empty target"))
         .otherwise(F.coalesce("reason", F.lit(f"No match above {pct}% threshold"))).alias("reason"))
 
 
-def zero_out_flags(df: DataFrame, qa: str = "ledger_amount", pa: str = "payroll_amount") -> DataFrame:
-    """Variance, significance and zero-out flags of employee matches."""
-    return (df.withColumn("variance", (F.col(qa) - F.col(pa)).cast("decimal(18,2)"))
-            .withColumn("significant", F.abs(F.col(qa) - F.col(pa)) > SIGNIFICANT)
-            .withColumn("zero_out", amounts_zero_out(F.col(qa), F.col(pa))))
-
-
 def name_only_matches(pairs: DataFrame, ledger_emps: DataFrame, payroll_emps: DataFrame,
                       group: str = "unified_name") -> DataFrame:
     """D10 over caller-supplied candidate pairs: every ledger employee with its
@@ -245,9 +240,7 @@ def name_only_matches(pairs: DataFrame, ledger_emps: DataFrame, payroll_emps: Da
 
     ``pairs``: (group, target, choice, choice_ord); ``ledger_emps``: (group,
     name, amount, ord); ``payroll_emps``: (group, name, amount)."""
-    best = best_by_name(pairs.withColumn("target", F.concat_ws("\u0001", group, "target")))
-    best = best.select(F.split("target", "\u0001").getItem(0).alias(group),
-                       F.split("target", "\u0001").getItem(1).alias("name"), "best_match")
+    best = best_by_name(pairs, group=group).select(group, F.col("target").alias("name"), "best_match")
     pa = payroll_emps.select(group, F.col("name").alias("best_match"), F.col("amount").alias("payroll_amount"))
     led = (ledger_emps.join(best, [group, "name"], "left").join(pa, [group, "best_match"], "left")
            .select(group, F.col("name").alias("employee_name"), F.col("name").alias("ledger_name"),
@@ -255,13 +248,15 @@ def name_only_matches(pairs: DataFrame, ledger_emps: DataFrame, payroll_emps: Da
                    F.coalesce("payroll_amount", F.lit(0)).alias("payroll_amount"),
                    F.when(F.col("best_match").isNull(), F.lit(LEDGER_ONLY))
                    .otherwise(employee_type(F.col("name"), F.col("best_match"))).alias("emp_match_type"),
-                   F.lit(0).alias("w_side"), F.col("ord").cast("string").alias("w_ord")))
+                   F.lit(0).alias("w_side"), F.col("ord").alias("w_ord"), F.lit(None).cast("string").alias("w_name")))
     used = best.filter(F.col("best_match").isNotNull()).select(group, F.lower("best_match").alias("k")).distinct()
     rest = (payroll_emps.withColumn("k", F.lower("name")).join(used, [group, "k"], "left_anti")
             .select(group, F.col("name").alias("employee_name"), F.lit(None).cast("string").alias("ledger_name"),
                     F.col("name").alias("payroll_name"), F.lit(0).alias("ledger_amount"),
                     F.col("amount").alias("payroll_amount"), F.lit(PAYROLL_ONLY).alias("emp_match_type"),
-                    F.lit(1).alias("w_side"), F.col("name").alias("w_ord")))
-    w = Window.partitionBy(group, F.lower("employee_name")).orderBy(F.col("w_side").desc(), F.col("w_ord").desc())
-    return (led.unionByName(rest, allowMissingColumns=True).withColumn("rn", F.row_number().over(w))
-            .filter("rn = 1").drop("rn", "w_side", "w_ord"))
+                    F.lit(1).alias("w_side"), F.lit(None).cast(ledger_emps.schema["ord"].dataType).alias("w_ord"),
+                    F.col("name").alias("w_name")))
+    w = Window.partitionBy(group, F.lower("employee_name")).orderBy(
+        F.col("w_side").desc(), F.col("w_ord").desc(), F.col("w_name").desc())
+    return (led.unionByName(rest).withColumn("rn", F.row_number().over(w))
+            .filter("rn = 1").drop("rn", "w_side", "w_ord", "w_name"))

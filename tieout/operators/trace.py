@@ -12,7 +12,6 @@ candidate section is linear in the client's payroll employees.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import composite_score, name_similarity, normalize_employee
@@ -67,8 +66,10 @@ def match_trace(cm: ClientMatch, ledger: DataFrame, payroll: DataFrame, search:
     c = (tgt.join(pe, tgt.av_name == pe.bill_to_name)
          .withColumn("ns", name_similarity(normalize_employee(F.col("target")), normalize_employee(F.col("name"))))
          .withColumn("score", composite_score(F.col("ns"), F.col("target_amount"), F.col("amount"))))
-    w = Window.partitionBy("unified_name").orderBy(F.col("score").desc(), F.col("ns").desc(), "name")
-    c = c.withColumn("rk", F.when(F.col("score") >= CONTEXT_THRESHOLD, F.row_number().over(w)))
+    # the best payroll employee of each client: one small aggregate joined back, no sort of a client's employees
+    best = c.filter(F.col("score") >= CONTEXT_THRESHOLD).groupBy("unified_name").agg(
+        F.min(F.struct(-F.col("score"), -F.col("ns"), "name"))["name"].alias("best"))
+    c = c.join(best, "unified_name", "left").withColumn("rk", F.when(F.col("name") == F.col("best"), 1))
     sec4 = _pad(c.select(F.lit("candidate").alias("section"), F.col("unified_name").alias("client_name"),
                          F.lit("payroll").alias("side"), F.col("name").alias("employee"), "amount", "target",
                          "target_amount", F.round("score", 6).alias("score"),

@@ -134,14 +134,14 @@ def b14(spark, sf):
     return recon.first_deposit_method(fixture_inputs(spark, sf).deposits)
 
 
-def _summary(spark, sf):
+def _summary(spark, sf, with_lists=False):
     i, cm = _match(spark, sf)
-    return recon.client_summary(cm, i.ledger, i.payroll, i.deposits)
+    return recon.client_summary(cm, i.ledger, i.payroll, i.deposits, with_lists=with_lists)
 
 
 @query("e1_client_summary")
 def e1(spark, sf):
-    s = _summary(spark, sf)
+    s = _summary(spark, sf, with_lists=True)
     return (s.withColumn("employees", F.array_join("employees", ", "))
             .withColumn("job_sites", F.array_join("job_sites", ", ")))
 
@@ -222,7 +222,7 @@ def b16f(spark, sf):
 @query("b15_dashboard_kpis")
 def b15(spark, sf):
     i, cm, emp, _, _ = _employee_level(spark, sf)
-    summ = recon.client_summary(cm, i.ledger, i.payroll, i.deposits)
+    summ = recon.client_summary(cm, i.ledger, i.payroll, i.deposits, with_lists=False)
     var = recon.variance_analysis(cm, i.ledger, i.payroll, emp)
     return recon.dashboard_kpis(i.ledger, i.payroll, summ, var)
 
@@ -276,7 +276,7 @@ def _variances(spark, sf):
 @query("f1_summary_filter")
 def f1(spark, sf):
     from .operators import views
-    s = _summary(spark, sf).drop("employees", "job_sites")
+    s = _summary(spark, sf)
     return views.filter_summary(s, client_name="an", variance_min=-1000)
 
 
@@ -297,14 +297,14 @@ def f3(spark, sf):
 def f7(spark, sf):
     from .operators import views
     i, cm = _match(spark, sf)
-    s = recon.client_summary(cm, i.ledger, i.payroll, i.deposits).drop("employees", "job_sites")
+    s = recon.client_summary(cm, i.ledger, i.payroll, i.deposits, with_lists=False)
     return views.with_display(views.annotate(s, i.annotations), money_cols=("variance",))
 
 
 @query("g5_summary_sorted")
 def g5(spark, sf):
     from .operators import views
-    return views.sort_summary(_summary(spark, sf).drop("employees", "job_sites"), "variance", ascending=False)
+    return views.sort_summary(_summary(spark, sf), "variance", ascending=False)
 
 
 @query("g6_variances_sorted")

@@ -41,10 +41,15 @@ DEPOSIT_SCHEMA = T.StructType([
 
 def _resolve(df: DataFrame, headers: dict[str, str], overrides: dict[str, str] | None) -> dict[str, str]:
     """Logical field -> physical column. Headers are matched after trimming;
-    a duplicated header keeps the last column (as a header dictionary would)."""
+    a duplicated header keeps the last column (as a header dictionary would).
+    Spark's CSV reader adds its position to each name of a duplicated header: that suffix is taken off again."""
     found: dict[str, str] = {}
-    for phys in df.columns:
+    stripped = {c.strip() for c in df.columns}
+    for at, phys in enumerate(df.columns):
         key = phys.strip()
+        plain = key.removesuffix(str(at)).strip()
+        if key not in headers and plain != key and plain in headers and plain not in stripped:
+            key = plain
         if key in headers:
             found[headers[key]] = phys
         elif key in headers.values():
@@ -128,6 +133,15 @@ def clean_payroll(raw: DataFrame, columns: dict[str, str] | None = None, *, week
     return out
 
 
+def payroll_rejects(raw: DataFrame, columns: dict[str, str] | None = None) -> DataFrame:
+    """A5 companion: raw payroll rows with a bill, pay or date cell that does not parse."""
+    m = _resolve(raw, PAYROLL_HEADERS, columns)
+    if any(k not in m for k in PAYROLL_HEADERS.values()):
+        return raw.limit(0)
+    return raw.filter(money(_c(m["item_bill"]), _t(raw, m["item_bill"])).isNull() | money(_c(m["item_pay"]), _t(raw, m["item_pay"])).isNull()
+                      | try_date(_c(m["week_worked"]), _t(raw, m["week_worked"])).isNull())
+
+
 def payroll_zero_rows(payroll: DataFrame) -> DataFrame:
     """A13 complement: cleaned payroll rows with a zero bill or pay amount."""
     return payroll.filter((F.col("item_bill") == 0) | (F.col("item_pay") == 0))
@@ -143,7 +157,8 @@ def clean_deposits(raw: DataFrame, columns: dict[str, str] | None = None, row_id
     """
     m = _resolve(raw, DEPOSIT_HEADERS, columns)
     if any(k not in m for k in ("type", "client_name", "amount", "deposit_date")) or row_idx not in raw.columns:
-        return _empty(raw.sparkSession, DEPOSIT_SCHEMA)
+        key = raw.schema[row_idx].dataType if row_idx in raw.columns else T.LongType()
+        return _empty(raw.sparkSession, T.StructType([*DEPOSIT_SCHEMA.fields[:-1], T.StructField("row_idx", key)]))
     typed = raw.filter(~is_blank(_c(m["type"]))).select(
         text_cell(_c(m["client_name"])).alias("client_name"),
         (text_cell(_c(m["num"])) if "num" in m else F.lit("")).alias("num"),
@@ -159,13 +174,27 @@ def clean_deposits(raw: DataFrame, columns: dict[str, str] | None = None, row_id
         "amount", "deposit_date", F.col("num").alias("check_number"), "row_idx")
 
 
+def deposit_rejects(raw: DataFrame, columns: dict[str, str] | None = None) -> DataFrame:
+    """A5/A6 companion: non-blank deposit rows whose amount or date does not convert (the first one ends the file)."""
+    m = _resolve(raw, DEPOSIT_HEADERS, columns)
+    if any(k not in m for k in ("type", "client_name", "amount", "deposit_date")):
+        return raw.limit(0)
+    return raw.filter(~is_blank(_c(m["type"])) & (money(_c(m["amount"]), _t(raw, m["amount"])).isNull()
+                                                  | try_date(_c(m["deposit_date"]), _t(raw, m["deposit_date"])).isNull()))
+
+
 # --- readers ------------------------------------------------------------------
 
 def _read(spark: SparkSession, path: str, fmt: str) -> DataFrame:
+    """An extract without even a header row raises."""
     if fmt == "csv":
         # every cell as text; cleaning does the typing
-        return spark.read.option("header", True).option("inferSchema", False).csv(path)
-    return spark.read.format(fmt).load(path)
+        raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    else:
+        raw = spark.read.format(fmt).load(path)
+    if not raw.columns:
+        raise ValueError(f"{path} is empty: no header row")
+    return raw
 
 
 def read_ledger(spark: SparkSession, path: str, fmt: str = "csv", **kw) -> DataFrame:
@@ -177,20 +206,15 @@ def read_payroll(spark: SparkSession, path: str, fmt: str = "csv", **kw) -> Data
 
 
 def read_deposits(spark: SparkSession, path: str, fmt: str = "csv", **kw) -> DataFrame:
-    """Row order = file order: parquet's ``_metadata.row_index`` per file
-    (files ordered by path); CSV has no row index, so the id of the ordered
-    file scan is used."""
+    """Row order = file order: ``row_idx`` is (file path, start of the scanned block, row), so files come in path order
+    and rows in file order however Spark packs files into tasks. Parquet numbers its rows itself; within one block of a CSV
+    file the running id only has to increase, which it does as a block is read by one task."""
     raw = _read(spark, path, fmt)
     if "row_idx" not in raw.columns:
+        file, block = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
         if fmt == "parquet":
-            # (file, row) orders rows across files without a global sort
-            raw = raw.select("*", F.struct(F.col("_metadata.file_path").alias("file"),
-                                           F.col("_metadata.row_index").alias("row")).alias("row_idx"))
+            key = F.struct(file.alias("file"), F.lit(0).cast("long").alias("block"), F.col("_metadata.row_index").alias("row"))
         else:
-            raw = raw.withColumn("row_idx", F.monotonically_increasing_id())
+            key = F.struct(file.alias("file"), block.alias("block"), F.monotonically_increasing_id().alias("row"))
+        raw = raw.select("*", key.alias("row_idx"))
     return clean_deposits(raw, **kw)
-
-
-def projection_preview(df: DataFrame) -> DataFrame:
-    """The entry projection shown on the preview page (all columns)."""
-    return df.select(*df.columns)
