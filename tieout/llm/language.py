@@ -232,7 +232,7 @@ class Labeller:
     def __init__(self, model: Model) -> None:
         self.model, self.row_of = model, {}
         self.table = np.empty((0, len(model.languages)), np.float32)
-        self.step = np.exp(model.transitions - model.transitions.max()).astype(np.float32)
+        self.step = np.exp(model.transitions - model.transitions.max(initial=-np.inf)).astype(np.float32)
 
     def potentials(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """exp of the emission scores of the tokens with a letter, scaled for each, and whether each token has one.
