@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tieout.operators import employees
+from tieout.operators import employees, pivots, views
 from tieout.operators.orders import constraint_violations
 from tieout.sources import readers
 
@@ -103,3 +103,16 @@ def test_scratch_needs_a_shared_folder(spark):
     with pytest.raises(Exception):
         spark.read.parquet(path)
     assert cut_lineage(spark.range(3)).count() == 3
+
+
+def test_default_and_chosen_orders(spark):
+    """The order of the rows, which a comparison of sorted values cannot see."""
+    s = spark.createDataFrame([("b", -5.0), ("c", 1.0), ("a", 3.0)], "client_name string, variance double")
+    assert [r[0] for r in views.sort_summary(s).collect()] == ["a", "b", "c"]
+    assert [r[0] for r in views.sort_summary(s, "variance", ascending=False).collect()] == ["a", "c", "b"]
+    v = spark.createDataFrame([("b", "y", 1.0), ("a", "z", -7.0), ("a", "x", 3.0)], "client_name string, employee_name string, variance double")
+    assert [r[1] for r in views.sort_variances(v).collect()] == ["x", "z", "y"]
+    assert [r[1] for r in views.sort_variances(v, "variance", ascending=False).collect()] == ["z", "x", "y"]
+    t = spark.createDataFrame([("g2", "item", "a"), ("g1", "item", "z"), ("g1", "group", "g1"), ("g2", "group", "g2"), ("g1", "item", "b")],
+                              "group_name string, level string, key string")
+    assert [r["key"] for r in pivots.sorted_tree(t).collect()] == ["g1", "b", "z", "g2", "a"]

@@ -110,9 +110,9 @@ def annotate(summary: DataFrame, annotations: DataFrame) -> DataFrame:
 
 
 def sort_summary(df: DataFrame, column: str | None = None, ascending: bool = True) -> DataFrame:
-    """Sort on one whitelisted column (signed variance); none -> as is."""
+    """Sort on one whitelisted column (signed variance); the default is the client name."""
     if not column:
-        return df
+        return df.orderBy("client_name")
     if column not in SUMMARY_SORTS:
         raise ValueError(f"cannot sort summary by {column!r}")
     c = F.col(column)

@@ -596,6 +596,39 @@ FROM ecand"""
             "SELECT name, bill_to_name, week_worked, CAST(week_worked - CAST(dayofweek(week_worked) AS INTEGER) "
             "AS DATE) AS week_start FROM o_payroll"),
         "a13_payroll_zero_rows": with_inputs() + "SELECT * FROM o_payroll WHERE item_bill = 0 OR item_pay = 0",
+        "a13_payroll_nonzero_rows": with_inputs() + "SELECT * FROM o_payroll WHERE item_bill <> 0 AND item_pay <> 0",
+        "a12_processing_week_rows": with_inputs() + (
+            "SELECT * FROM o_payroll WHERE week_worked >= DATE '1996-03-10' AND week_worked < DATE '1996-03-17'"),
+        "a11_payroll_rollup": with_inputs() + (
+            "SELECT name, bill_to_name, item_bill, item_pay, week_worked FROM (SELECT trim(first_name) || ' ' || trim(last_name) AS name, "
+            "CASE WHEN starts_with(lower(bill_to_name), 'dart entities') THEN 'Dart Entities' ELSE trim(bill_to_name) END AS bill_to_name, "
+            "TRY_CAST(item_bill AS DECIMAL(18,2)) AS item_bill, TRY_CAST(item_pay AS DECIMAL(18,2)) AS item_pay, "
+            "TRY_CAST(week_worked AS DATE) AS week_worked FROM f_payroll_text) x "
+            "WHERE item_bill IS NOT NULL AND item_pay IS NOT NULL AND week_worked IS NOT NULL"),
+        "a5_ledger_rejects": with_inputs() + (
+            "SELECT ok, ln, name, item, type, amount_text FROM f_ledger WHERE trim(coalesce(type, '')) <> '' "
+            "AND TRY_CAST(trim(amount_text) AS DECIMAL(18,2)) IS NULL"),
+        "a5_payroll_rejects": with_inputs() + (
+            "SELECT * FROM f_payroll_text WHERE TRY_CAST(item_bill AS DECIMAL(18,2)) IS NULL "
+            "OR TRY_CAST(item_pay AS DECIMAL(18,2)) IS NULL OR TRY_CAST(week_worked AS DATE) IS NULL"),
+        "a5_deposit_rejects": with_inputs() + (
+            "SELECT * FROM f_deposits WHERE trim(coalesce(type, '')) <> '' AND (TRY_CAST(trim(amount_text) AS DECIMAL(18,2)) IS NULL "
+            "OR deposit_date IS NULL)"),
+        "b16_rep_tree_kpis": with_inputs() + (
+            "SELECT count(DISTINCT rep) AS n_groups, count(DISTINCT struct_pack(a := rep, b := name)) AS n_children "
+            "FROM o_ledger WHERE rep <> ''"),
+        "b16_payroll_tree_kpis": with_inputs() + (
+            "SELECT count(DISTINCT bill_to_name) AS n_groups, count(DISTINCT struct_pack(a := bill_to_name, b := name)) AS n_children "
+            "FROM o_payroll"),
+        "k5_request_violations": with_inputs() + (
+            "SELECT order_id, line_no, rule FROM (SELECT order_id, line_no, unnest(["
+            "CASE WHEN trim(coalesce(email, '')) = '' THEN 'email required' END, "
+            "CASE WHEN trim(coalesce(name, '')) = '' THEN 'name required' END, "
+            "CASE WHEN trim(coalesce(department, '')) = '' THEN 'department required' END, "
+            "CASE WHEN trim(coalesce(product_link, '')) = '' THEN 'product_link required' END, "
+            "CASE WHEN trim(coalesce(ship_to, '')) = '' THEN 'ship_to required' END, "
+            "CASE WHEN quantity < 1 OR quantity > 1000 THEN 'quantity out of range' END]) AS rule FROM f_requests) x "
+            "WHERE rule IS NOT NULL"),
         "b9_expanded_view": with_inputs([tree, tree_rows]) + (
             "SELECT * FROM tree WHERE level = 'group' OR group_name IN "
             "('Harbor Mechanical', 'Summit Electric', 'Keystone Roofing')"),

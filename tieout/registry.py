@@ -198,6 +198,52 @@ def a13(spark, sf):
     return payroll_zero_rows(fixture_inputs(spark, sf).payroll)
 
 
+@query("a13_payroll_nonzero_rows")
+def a13_nonzero(spark, sf):
+    from .sources.readers import clean_payroll
+    fixture_inputs(spark, sf)
+    return clean_payroll(spark.table("f_payroll"), split_zero=True)
+
+
+PROCESSING_WEEK = "1996-03-13"
+
+
+@query("a12_processing_week_rows")
+def a12_rows(spark, sf):
+    from .sources.readers import clean_payroll
+    fixture_inputs(spark, sf)
+    return clean_payroll(spark.table("f_payroll"), week_of=PROCESSING_WEEK)
+
+
+@query("a11_payroll_rollup")
+def a11(spark, sf):
+    from .sources.readers import clean_payroll
+    fixture_inputs(spark, sf)
+    return clean_payroll(spark.table("f_payroll_text"))
+
+
+@query("a5_ledger_rejects")
+def a5_ledger(spark, sf):
+    from .sources.readers import ledger_rejects
+    fixture_inputs(spark, sf)
+    return ledger_rejects(spark.table("f_ledger"), columns={"amount": "amount_text"}).select(
+        "ok", "ln", "name", "item", "type", "amount_text")
+
+
+@query("a5_payroll_rejects")
+def a5_payroll(spark, sf):
+    from .sources.readers import payroll_rejects
+    fixture_inputs(spark, sf)
+    return payroll_rejects(spark.table("f_payroll_text"))
+
+
+@query("a5_deposit_rejects")
+def a5_deposits(spark, sf):
+    from .sources.readers import deposit_rejects
+    fixture_inputs(spark, sf)
+    return deposit_rejects(spark.table("f_deposits"), columns={"amount": "amount_text"})
+
+
 # --- pivot views and KPIs --------------------------------------------------------------
 
 EXPANDED = ["Harbor Mechanical", "Summit Electric", "Keystone Roofing"]
@@ -214,6 +260,16 @@ def b16(spark, sf):
     return pivots.tree_kpis(pivots.ledger_client_item_tree(fixture_inputs(spark, sf).ledger))
 
 
+@query("b16_rep_tree_kpis")
+def b16_rep(spark, sf):
+    return pivots.tree_kpis(pivots.ledger_rep_client_tree(fixture_inputs(spark, sf).ledger))
+
+
+@query("b16_payroll_tree_kpis")
+def b16_payroll(spark, sf):
+    return pivots.tree_kpis(pivots.payroll_bill_to_tree(fixture_inputs(spark, sf).payroll))
+
+
 @query("b16_flat_kpis")
 def b16f(spark, sf):
     return pivots.flat_kpis(pivots.ledger_employee_job_site(fixture_inputs(spark, sf).ledger))
@@ -353,6 +409,13 @@ def k5(spark, sf):
     return orders.constraint_violations(fixture_inputs(spark, sf).order_lines)
 
 
+@query("k5_request_violations")
+def k5_requests(spark, sf):
+    from .operators import orders
+    fixture_inputs(spark, sf)
+    return orders.constraint_violations(spark.table("f_requests"))
+
+
 # --- explicit views of operators that also live inside larger queries ------------------------
 
 @query("a8_a9_client_and_site")

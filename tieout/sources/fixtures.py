@@ -82,6 +82,23 @@ SELECT l_orderkey AS order_id, l_linenumber AS line_no,
 FROM (SELECT lineitem.*, 'B' || lpad(CAST(l_partkey % 4 AS VARCHAR(9)), 9, '0') AS pid FROM lineitem) l
 """
 
+# payroll as text cells: bill-to names with the roll-up prefix, bill and date cells that do not parse
+F_PAYROLL_TEXT = """
+SELECT ok, ln, first_name, last_name,
+  CASE WHEN ok % 5 = 0 THEN 'DART Entities ' || bill_to_name ELSE bill_to_name END AS bill_to_name,
+  CASE WHEN ok % 101 = 0 THEN 'n/a' ELSE CAST(item_bill AS VARCHAR(30)) END AS item_bill, CAST(item_pay AS VARCHAR(30)) AS item_pay,
+  CASE WHEN ok % 107 = 0 THEN 'unknown' ELSE CAST(week_worked AS VARCHAR(30)) END AS week_worked
+FROM f_payroll
+"""
+
+# order lines with their requester
+F_REQUESTS = """
+SELECT f.*, CASE WHEN order_id % 13 = 0 THEN ' ' ELSE 'desk' || CAST(order_id AS VARCHAR(20)) || '@example.com' END AS email,
+  CASE WHEN order_id % 17 = 0 THEN NULL ELSE 'Buyer ' || CAST(order_id AS VARCHAR(20)) END AS name,
+  CASE WHEN order_id % 19 = 0 THEN '' ELSE 'Facilities' END AS department
+FROM f_order_lines f
+"""
+
 FIXTURE_VIEWS = (
     ("f_clients", F_CLIENTS),
     ("f_base", F_BASE),
@@ -90,6 +107,8 @@ FIXTURE_VIEWS = (
     ("f_rules", F_RULES),
     ("f_deposits", F_DEPOSITS),
     ("f_order_lines", F_ORDER_LINES),
+    ("f_payroll_text", F_PAYROLL_TEXT),
+    ("f_requests", F_REQUESTS),
 )
 
 # Base tables each fixture needs; only these are scanned.
