@@ -117,4 +117,4 @@ def sorted_flat(flat: DataFrame) -> DataFrame:
 
 def sorted_tree(tree: DataFrame) -> DataFrame:
     """G4 for two-level pivots: groups by name, each followed by its children by key."""
-    return tree.orderBy("group_name", F.col("level").desc(), "key")
+    return tree.orderBy("group_name", "level", "key")
