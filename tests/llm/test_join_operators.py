@@ -104,6 +104,43 @@ def test_repeated_spans_equal_brute_force(docs_of, hot):
     assert suffix.repeated_spans(F.col("text"), docs.filter("false")).count() == 0
 
 
+def slow_cut(texts, n):
+    """Texts without the words in windows of ``n`` words that stand twice."""
+    from collections import Counter
+    words = [t.split() for t in texts]
+    plain_words = [[w.strip('".,') for w in t] for t in words]
+    seen = Counter(tuple(w[i:i + n]) for w in plain_words for i in range(len(w) - n + 1))
+    out = []
+    for w, p in zip(words, plain_words, strict=True):
+        gone = {j for i in range(len(w) - n + 1) if seen[tuple(p[i:i + n])] > 1 for j in range(i, i + n)}
+        out.append(" ".join(x for j, x in enumerate(w) if j not in gone))
+    return out
+
+
+def test_pipeline_cuts_passages_of_over_50_short_words(spark, docs_of):
+    import corpus_pipeline as c
+    rng = random.Random(17)
+    word = lambda low, high: "".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(low, high)))
+    line = lambda n, low=1, high=3: " ".join(word(low, high) for _ in range(n))
+    rows = []
+    for n in (*range(51, 61), 50, 45, 20):  # 60 words of up to 3 letters are fewer than 240 bytes
+        passage = line(n)
+        rows += [(len(rows), f"{line(80)} \"{passage}.\" {line(30)}"), (len(rows) + 1, f"{line(25)} {passage}, {line(90)}")]
+    both = [line(30), line(30)]  # two repeated passages of 30 words side by side are not one of 60
+    rows += [(100, f"{line(20)} {both[0]} {both[1]} {line(20)}"), (101, f"{line(20)} {both[0]} {line(20)}"), (102, f"{line(20)} {both[1]} {line(20)}")]
+    whole = line(51)
+    rows += [(103, whole), (104, f" {whole}\n"), (105, line(40, 11, 12)), (106, None), (None, f"{line(9)} {whole}")]
+    rows += [(107, "x" + "\u4e2d\u6587\u5b57" * 17 + "y"), (108, "z " + "\u4e2d\u6587\u5b57" * 17)]
+    got = {r["doc_id"]: r["text"] for r in c.passage_dedup(spark, docs_of(rows), SF).collect()}
+    spaced = [(d, t) for d, t in rows if d not in (107, 108)]
+    want = {d: t for (d, _), t in zip(spaced, slow_cut([t or "" for _, t in spaced], 51), strict=True)}
+    gone = {d for d, t in want.items() if not t and d != 106}
+    assert gone == {103, 104} and set(got) == {d for d, _ in rows} - gone and got[106] is None
+    assert {d: " ".join(t.split()) for d, t in got.items() if d not in (106, 107, 108)} == {d: t for d, t in want.items() if d not in gone | {106}}
+    assert all(len(got[i].split()) == len(rows[i][1].split()) - 51 - i // 2 for i in range(20))
+    assert (got[107], got[108]) == ("xy", "z ")
+
+
 # ---- decontamination -----------------------------------------------------------------------------------
 
 def slow_hits(text, items, window):
