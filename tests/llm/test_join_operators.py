@@ -104,6 +104,36 @@ def test_repeated_spans_equal_brute_force(docs_of, hot):
     assert suffix.repeated_spans(F.col("text"), docs.filter("false")).count() == 0
 
 
+def slow_near_dedup(rows):
+    """(id, text) of the row that stays of each component; texts without a word only lose repeated rows with an id."""
+    numbered = [(i, t) for i, (_, t) in enumerate(rows)]
+    best, out = {}, []
+    for (d, t), (_, size, g) in zip(rows, slow_groups(numbered, 5), strict=True):
+        if size:
+            best[g] = min(best.get(g, (2,)), (d is None, d or 0, hashlib.sha256(t.encode()).digest(), d, t))
+        elif d is None or (d, t) not in out:
+            out.append((d, t))
+    return out + [b[3:] for b in best.values()]
+
+
+def test_near_dedup_decides_rows_on_their_texts(spark, docs_of):
+    import corpus_pipeline as c
+    rng = random.Random(23)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60))
+    near = lambda t: " ".join([*t.split()[:-1], "changed"])
+    a, b, x, y, z, u, v, w = (text() for _ in range(8))
+    rows = [(3, a), (5, near(a)), (5, b)]  # b stands under the id of a near copy
+    rows += [(11, z), (13, x), (13, near(z)), (15, near(x))]  # x stands under the id of a near copy of z
+    rows += [(20, text()) for _ in range(30)]  # one id on many different texts
+    rows += [(30, y), (30, near(y)), (30, y)]  # near copies under one id
+    rows += [(None, u), (None, near(u)), (None, u), (None, v), (40, near(v)), (None, w)]
+    rows += [(50, ""), (50, ""), (50, " "), (None, ""), (None, ""), (51, "")]
+    docs = docs_of(rows)
+    got = c.near_dedup(spark, docs.repartition(5), SF)
+    assert got.columns == docs.columns
+    assert plain(got.select("doc_id", "text").collect()) == plain(slow_near_dedup(rows))
+
+
 def slow_cut(texts, n):
     """Texts without the words in windows of ``n`` words that stand twice."""
     from collections import Counter

@@ -19,7 +19,8 @@ probability (1 - 0.8^4)^32 = 5e-8; links are confirmed on full shingle sets. Com
 
 Defined results: a null or empty text has an empty set and is linked with nothing; fewer words than a shingle make one
 shingle of the whole sequence; a null id takes part, but is never the smallest id (a component of null ids has a null
-component_id); rows that repeat an id all carry the same component. An empty table gives an empty result.
+component_id); rows that repeat an id are decided each on its own text, so they can lie in different components. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -226,8 +227,9 @@ def _meet(k: int, threshold: int):
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, threshold: int = 80,
                     bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """id, n_shingles, component_id (smallest id reachable over links of similarity >= threshold percent), kept
-    (id = component_id): a row for each row of ``docs``."""
+    """id, key (`content_key` of the text), n_shingles, component_id (smallest id reachable over links of similarity >= threshold percent),
+    component (names the component also where all ids are null; null for an empty set), kept (id = component_id): a row for each row
+    of ``docs``."""
     d = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     d = d.withColumn("key", content_key(F.col("text")))
     profiles = cut_lineage(d.mapInArrow(_profiles(words, bands, rows), "id long, key binary, n long, node binary, bands array<long>"))
@@ -262,10 +264,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     more = more.unionByName(_block_links(many, words, threshold))
     if not more.isEmpty():  # else the components stand
         labels = cut_lineage(smallest_reachable(nodes, links.unionByName(more)))
-    group = labels.select("node", F.nullif(F.col("label.value"), last).alias("component"))
-    out = profiles.select("id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(group, "node", "left")
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
-    return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    group = labels.select("node", F.nullif(F.col("label.value"), last).alias("smallest"), F.col("label.node").alias("component"))
+    out = profiles.select("id", "key", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(group, "node", "left")
+    smallest = F.when(F.col("n") > 0, F.col("smallest")).otherwise(F.col("id"))
+    return out.select("id", "key", F.col("n").alias("n_shingles"), smallest.alias("component_id"), "component",
+                      F.col("id").eqNullSafe(smallest).alias("kept"))
 
 
 def _class_texts(d: DataFrame, wanted: DataFrame) -> DataFrame:
