@@ -206,6 +206,43 @@ def test_toxic_documents_are_found(spark):
     assert np.mean(clean) < 0.02 and np.mean(toxic) > 0.45  # about two fifths of the toxic labels have no trace in the text
 
 
+def test_held_out_recall_by_language(spark):
+    """Five folds; texts that share one of their 12 smallest 8-word shingles are in one fold, so no copy helps."""
+    import xxhash
+    from tieout.llm.minhash import WordHashes, shingle_set
+    docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    rows = docs.join(labels.select("doc_id", "quality", "toxic"), "doc_id").orderBy("doc_id").collect()
+    codes, hashes = toxicity.WordCodes(), WordHashes()
+    words = [np.array(sorted({codes[t] for t in (r["text"] or "").split()} - {-1}), np.int64) for r in rows]
+    dense = np.array([toxicity.shares(r["text"] or "") for r in rows])
+    y = np.array([[r["quality"] == 0, r["toxic"] == 1] for r in rows]).astype(int)
+    inner = np.array([xxhash.xxh3_64_intdigest((r["text"] or "").encode()) % toxicity.FOLDS for r in rows])
+    group, seen = list(range(len(rows))), {}
+
+    def find(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for i, r in enumerate(rows):
+        for h in np.sort(shingle_set(r["text"], 8, hashes) * np.uint64(0x9E3779B97F4A7C15))[:12].tolist():
+            group[find(i)] = find(seen.setdefault(h, i))
+    outer = np.array([xxhash.xxh3_64_intdigest(str(find(i)).encode()) % 5 for i in range(len(rows))])
+    p = np.zeros(len(rows))
+    for f in range(5):
+        use, rest = np.flatnonzero(outer != f), np.flatnonzero(outer == f)
+        inputs = dense[rest]
+        for m in toxicity.fit_chain([words[i] for i in use], dense[use], y[use], inner[use]):
+            p[rest] = toxicity._scores(m, [words[i] for i in rest], inputs)
+            inputs = np.column_stack([inputs, p[rest]])
+    found, toxic, english = p >= 0.5, y[:, 1] == 1, np.array([r["lang"] == "en" for r in rows])
+    for lang in sorted({r["lang"] for r in rows}):
+        its = np.array([r["lang"] == lang for r in rows])
+        print(lang, found[its & toxic].sum(), (its & toxic).sum(), found[its & ~toxic].sum(), (its & ~toxic).sum())
+    assert found[toxic & english].mean() > 0.9 and found[toxic & ~english].mean() > 0.82
+    assert found[~toxic & english].mean() < 0.005 and found[~toxic & ~english].mean() < 0.005
+
+
 def test_chain_uses_earlier_out_of_fold_probabilities():
     rng = np.random.default_rng(0)
     first = rng.random(600) < 0.5
