@@ -5,8 +5,12 @@ from __future__ import annotations
 import io
 import string
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +40,22 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: of texts in one batch that a Python worker holds at once
+BATCH_BYTES = 4 << 20
+
+
+def sliced(batches: Iterator[pa.RecordBatch], text: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``most`` bytes of the column ``text`` (one row at least), so what is made of a slice stays
+    bounded whatever the number of rows in a batch."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at, before = 0, 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+            yield batch.slice(at, end - at)
+            at, before = end, int(ends[end - 1])
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -10,8 +10,12 @@ from .common import content_key, ship_package, table
 from .decontam import contaminated, find_items, n_hit
 from .language import held_out, learn, predict
 from .minhash import near_duplicates
+from .oracles import OP11_SQL, OP12_SQL, OP13_SQL
+from .phrases import without_later_phrases
 from .pieces import decode, encode
 from .quality import quality
+from .repair import repair
+from .runs import periodic_runs
 from .suffix import kept_bytes, repeated_spans
 from .toxicity import learn_chain
 from .toxicity import predict as predict_toxicity
@@ -93,6 +97,52 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+def damaged_turns(rows: DataFrame) -> DataFrame:
+    """The contract's damage of op11, by a hash of conversation and turn."""
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(said("conv_id"), F.lit(":"), said("turn"))) % 20
+    rows = rows.select("conv_id", "turn", said("role").alias("role"), said("text").alias("text"), kind.alias("kind")).filter("kind <> 0")
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("kind") == 4, "user").otherwise(F.col("role"))
+    copies = F.explode(F.array_repeat(F.lit(1), F.when(F.col("kind") == 3, 2).otherwise(1)))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    report = repair(damaged_turns(rows)).report.withColumnRenamed("conv_id", "c")
+    every = rows.select("conv_id").distinct()
+    zero = [F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.join(report, every["conv_id"].eqNullSafe(report["c"]), "left").select(
+        "conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text; the contract's periodic tail of op12, by a hash of the id (texts without an id are left as they are)."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), h.alias("h")).withColumn("g", F.expr("h div 10"))
+    words = F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    rows = rows.withColumn("words", words).withColumn("n", F.size("words"))
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    rows = rows.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    tail = F.expr("array_join(transform(sequence(0, n - 1), i -> words[cast(if(i < a, i, a + (i - a) % p) as int)]), ' ')")
+    return rows.select("doc_id", F.when(F.col("n") > 0, tail).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs(planted_runs(table(spark, sf_dir, "documents")), keep=["doc_id"])
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    line = lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n"))
+    out = out.select("row.doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("longest"),
+                     F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return out.select("doc_id", "n_runs", (-F.col("longest.start")).alias("start"), F.col("longest.length").alias("length"),
+                      (-F.col("longest.period")).alias("period"), F.expr("1000 * longest.length div -longest.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op13_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_later_phrases(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 OP1_SQL = """
 WITH urls AS (
   SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
@@ -151,7 +201,8 @@ FROM d LEFT JOIN g ON d.digest = g.digest AND d.n = g.n
 
 _QUERIES = {"op1_url_filter": op1_url_filter, "op2_quality": op2_quality, "op3_language": op3_language, "op4_suffix": op4_suffix, "op5_pieces": op5_pieces, "op6_toxicity": op6_toxicity,
             "op7_decontamination": op7_decontamination, "op8_chat": op8_chat, "op9_warc": op9_warc,
-            "op10_minhash": op10_minhash}
+            "op10_minhash": op10_minhash, "op11_conversation_repair": op11_conversation_repair, "op12_periodic_runs": op12_periodic_runs,
+            "op13_phrase_dedup": op13_phrase_dedup}
 
 
 def _with_package(query):
@@ -163,4 +214,5 @@ def _with_package(query):
 
 
 QUERIES = {name: _with_package(query) for name, query in _QUERIES.items()}
-ORACLES = {"op1_url_filter": OP1_SQL, "op7_decontamination": OP7_SQL, "op8_chat": OP8_SQL, "op9_warc": OP9_SQL}
+ORACLES = {"op1_url_filter": OP1_SQL, "op7_decontamination": OP7_SQL, "op8_chat": OP8_SQL, "op9_warc": OP9_SQL,
+           "op11_conversation_repair": OP11_SQL, "op12_periodic_runs": OP12_SQL, "op13_phrase_dedup": OP13_SQL}
