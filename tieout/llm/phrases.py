@@ -7,11 +7,10 @@ A word is a run without the bytes 20 and 09 to 0D. Earlier is a smaller document
    partial sums before the shuffle; only segments whose anchor occurs twice or more can hold a recurring window.
 2. **Copies.** Segments equal in all words (128 bits of hash over anchor and words) are merged by a partial minimum: the earliest goes on, of all others every window
    started earlier, so all their words go. A passage that stands in a third of all documents is one row from here on.
-3. **Automata.** The earliest segments get their words and are dealt out by anchor into shards of about ``SHARD_WINDOWS`` windows. A shard confirms its recurring phrases (a
-   window that starts twice or more, words compared one by one), compiles them into one Aho-Corasick automaton over word numbers, and
-   streams its segments through it: every occurrence of every phrase is a hit, and of a phrase's hits all but the earliest are cut.
-   An anchor with more than ``HOT_SEGMENTS`` distinct segments is first cut into its windows, which are merged as in step 2 and dealt by their own
-   words, so a very common word sequence is no single shard.
+3. **Automata.** The earliest segments that share an anchor get their words and are dealt out by anchor into shards of about ``SHARD_WINDOWS`` windows. A shard confirms
+   its recurring phrases (windows that start in it twice or more), compiles them into one Aho-Corasick automaton over word numbers, and streams its
+   segments through it: every occurrence of every phrase is a hit, word by word, and of a phrase's hits all but the earliest are cut.
+   An anchor with more than ``HOT_SEGMENTS`` distinct segments is too much for one shard: its segments are cut into their windows, which are merged as in step 2.
 4. **Cutting.** The spans meet their documents by (doc_id, text hash) and the words in them are left out.
 
 Defined results: a null text is empty; texts with fewer words than ``size`` stay whole; rows that repeat (same id and text) are one document, each
@@ -37,43 +36,85 @@ from .suffix import window_minima
 
 SIZE, GRAM = 20, 8
 SHARD_WINDOWS, HOT_SEGMENTS = 30_000, 5_000
-_CACHE_WORDS = 400_000
-_B, _M = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+_BASE = 0x9E3779B97F4A7C15
+_B, _M = np.uint64(_BASE), np.uint64(0xBF58476D1CE4E5B9)
+_BLOCK = 1 << 20
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
-class _WordHashes(dict):
-    """64-bit hash of each word; forgets all when full, so memory is bounded."""
+_POWERS: dict[str, np.ndarray] = {}
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _CACHE_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash base and of its inverse modulo 2**64."""
+    if len(_POWERS.get("up", ())) < n:
+        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+            a = np.full(1 << (n - 1).bit_length(), base, np.uint64)
+            a[0] = 1
+            _POWERS[name] = np.multiply.accumulate(a)
+    return _POWERS["up"][:n], _POWERS["down"][:n]
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(29))
+    h *= _M
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def _sums(values: np.ndarray) -> np.ndarray:
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _powers(len(values))[1], out=sums[1:])
+    return sums
 
 
 def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
-    """64-bit hash of the k words from each place on."""
-    n = len(h) - k + 1
-    out = np.zeros(n, np.uint64)
-    for j in range(k):
-        out *= _B
-        out += h[j:j + n]
-    out ^= out >> np.uint64(29)
-    out *= _M
-    out ^= out >> np.uint64(32)
-    return out
+    """64-bit hash of the k words from each place on; it depends on these words only."""
+    sums = _sums(h)
+    return _mixed((sums[k:] - sums[:-k]) * _powers(len(h))[0][:len(h) - k + 1])
+
+
+def text_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of every word of the texts in order, and the text that each belongs to. Goes through the bytes in blocks."""
+    texts = texts.fill_null(b"").cast(pa.large_binary())
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    if offsets[-1] == offsets[0]:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    data = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]]
+    offsets = offsets - offsets[0]
+    inside = ~_SPACE[data]
+    step = np.diff(inside.view(np.int8), prepend=0, append=0)
+    breaks = offsets[1:-1]
+    breaks = breaks[(breaks > 0) & (breaks < len(data))]
+    breaks = np.unique(breaks[inside[breaks] & inside[breaks - 1]])  # one text's last word and the next one's first
+    start = np.sort(np.concatenate([np.flatnonzero(step == 1), breaks]))
+    end = np.sort(np.concatenate([np.flatnonzero(step == -1), breaks]))
+    h = np.empty(len(start), np.uint64)
+    at = 0
+    while at < len(start):  # words of about a block, from a word's start on
+        to = max(at + 1, int(np.searchsorted(end, start[at] + _BLOCK, side="right")))
+        base, top = start[at], end[to - 1]
+        sums = _sums(data[base:top].astype(np.uint64) + np.uint64(1))
+        h[at:to] = (sums[end[at:to] - base] - sums[start[at:to] - base]) * _powers(top - base)[0][start[at:to] - base]
+        at = to
+    return _mixed(h + (end - start).astype(np.uint64) * _M), np.searchsorted(offsets, start, side="right") - 1
 
 
 def text_key(text: bytes) -> int:
     return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
-def segments(h: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one anchor: its hash, the first window's start and the last one's."""
+def segments(h: np.ndarray, text: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with one anchor in one text: the anchor's hash, the first window's start and the last one's. h, text: of each word."""
     grams = window_hashes(h, gram)
     place = window_minima(grams, size - gram + 1)
-    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    whole = text[size - 1:] == text[:len(place)]  # the window is in one text
+    change = np.concatenate([[True], (place[1:] != place[:-1]) | ~whole[:-1] | ~whole[1:]])
+    first = np.flatnonzero(change)
     last = np.concatenate([first[1:] - 1, [len(place) - 1]])
+    there = whole[first]
+    first, last = first[there], last[there]
     return grams[place[first]], first, last
 
 
@@ -81,35 +122,22 @@ def _anchors(size: int, gram: int, full: bool):
     """Anchors of each text; if ``full`` with the segment's hash and place (first window << 8 | windows)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = _WordHashes()
         seeds = np.arange(1, size + 1, dtype=np.uint64) * _M
-        for batch in sliced(batches, "text"):
-            row, out = [], {k: [] for k in ("anchor", "segment", "key", "at")}
-            for i, text in enumerate(batch.column("text")):
-                text = text.as_py() or b""
-                words = text.split()
-                if len(words) < size:
-                    continue
-                h = np.fromiter(map(codes.__getitem__, words), np.uint64, len(words))
-                anchor, first, last = segments(h, size, gram)
-                out["anchor"].append(anchor.view(np.int64))
-                row.append((i, len(anchor)))
-                if full:
-                    n = last - first + 1
-                    whole = window_hashes(h, size)  # a segment's first and last window hold all its words; n their distance
-                    mixed = (whole[first] ^ (whole[last] * _B + seeds[n - 1])) * _M
-                    out["segment"].append((mixed ^ (mixed >> np.uint64(31))).view(np.int64))
-                    out["key"].append(np.full(len(n), text_key(text), np.int64))
-                    out["at"].append(first << 8 | n)
-            if not row:
+        for batch in sliced(batches, "text", _BLOCK):
+            h, owner = text_words(batch.column("text"))
+            if len(h) < size:
                 continue
-            made = {k: np.concatenate(v) for k, v in out.items() if v}
+            anchor, first, last = segments(h, owner, size, gram)
             if not full:
-                yield pa.RecordBatch.from_arrays([pa.array(made["anchor"])], names=["anchor"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64))], names=["anchor"])
                 continue
-            ids = batch.column("doc_id").take(pa.array(np.repeat([i for i, _ in row], [n for _, n in row])))
-            yield pa.RecordBatch.from_arrays([pa.array(made["anchor"]), pa.array(made["segment"]), ids, pa.array(made["key"]), pa.array(made["at"])],
-                                             names=["anchor", "segment", "doc_id", "key", "at"])
+            n, of = last - first + 1, owner[first]
+            whole = window_hashes(h, size)  # a segment's first and last window hold all its words; n is their distance
+            segment = _mixed(whole[first] ^ (whole[last] * _B + seeds[n - 1]))
+            keys = np.fromiter((text_key(t.as_py() or b"") for t in batch.column("text")), np.int64, batch.num_rows)
+            begins = np.searchsorted(owner, np.arange(batch.num_rows))  # each text's first word
+            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(segment.view(np.int64)), batch.column("doc_id").take(pa.array(of)),
+                                              pa.array(keys[of]), pa.array((first - begins[of]) << 8 | n)], names=["anchor", "segment", "doc_id", "key", "at"])
 
     return run
 
@@ -123,14 +151,13 @@ def _place() -> Column:
 
 
 def merged(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """found: anchor, segment, doc_id, key, at. (anchor, segment, earliest place, again: it starts elsewhere too) of each distinct segment, and the
-    rows of ``found`` that are not the earliest."""
+    """found: anchor, segment, doc_id, key, at. The earliest row of each distinct segment, and the places of all others."""
     groups = found.groupBy("anchor", "segment").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last"))
     groups = cut_lineage(groups.select("anchor", "segment", "first.doc_id", "first.key", "first.at", (F.col("first") != F.col("last")).alias("again")))
     repeated = groups.filter("again").select(F.col("anchor").alias("a"), F.col("segment").alias("s"), F.struct("doc_id", "key", "at").alias("first"))
     same = (found["anchor"] == repeated["a"]) & (found["segment"] == repeated["s"])
     later = found.join(repeated, same).filter(~F.struct("doc_id", "key", "at").eqNullSafe(F.col("first"))).select("doc_id", "key", "at")
-    return groups, later
+    return groups.drop("again"), later
 
 
 def _words_of(size: int):
@@ -143,13 +170,11 @@ def _words_of(size: int):
                 split = (text.as_py() or b"").split()
                 for s in listed:
                     start, n = s["at"] >> 8, s["at"] & 255
-                    out.append((s["anchor"], s["segment"], doc_id, key, s["at"], s["again"]))
+                    out.append((s["anchor"], s["segment"], doc_id, key, s["at"]))
                     words.append(b" ".join(split[start:start + n + size - 1]))
             if out:
-                anchor, segment, ids, keys, at, again = map(list, zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(segment, pa.int64()), pa.array(ids, pa.int64()), pa.array(keys, pa.int64()),
-                                                  pa.array(at, pa.int64()), pa.array(again, pa.bool_()), pa.array(words, pa.binary())],
-                                                 names=["anchor", "segment", "doc_id", "key", "at", "again", "words"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*out, strict=True)), pa.array(words, pa.binary())],
+                                                 names=["anchor", "segment", "doc_id", "key", "at", "words"])
 
     return run
 
@@ -159,33 +184,37 @@ def _single_windows(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "words"):
-            out = []
-            for row in batch.to_pylist():
-                words = row["words"].split()
-                for i in range(len(words) - size + 1):
-                    window = b" ".join(words[i:i + size])
-                    out.append({**row, "segment": text_key(window), "at": row["at"] + (i << 8) & ~255 | 1, "words": window})
-            yield pa.RecordBatch.from_pylist(out, batch.schema)
+            h, owner = text_words(batch.column("words"))
+            first = np.flatnonzero(owner[size - 1:] == owner[:len(h) - size + 1])
+            of = owner[first]
+            begins = np.searchsorted(owner, np.arange(batch.num_rows))
+            at = batch.column("at").to_numpy()[of] + (first - begins[of] << 8) & ~255 | 1
+            rows = pa.array(of)
+            yield pa.RecordBatch.from_arrays([batch.column("anchor").take(rows), pa.array(window_hashes(h, size)[first].view(np.int64)), batch.column("doc_id").take(rows),
+                                              batch.column("key").take(rows), pa.array(at)], names=["anchor", "segment", "doc_id", "key", "at"])
 
     return run
 
 
-def phrase_automaton(sequences: list[tuple[int, ...]], again: list[bool], size: int) -> ahocorasick.Automaton | None:
-    """Automaton of the phrases (windows of ``size`` words) that start twice or more in the sequences, a sequence ``again`` counting twice."""
-    seen = Counter()
-    for words, twice in zip(sequences, again, strict=True):
-        for i in range(len(words) - size + 1):
-            seen[words[i:i + size]] += 1 + twice
+def phrase_automaton(words: np.ndarray, start: np.ndarray, count: np.ndarray, size: int) -> tuple[ahocorasick.Automaton | None, np.ndarray]:
+    """Automaton of the phrases (windows of ``size`` words) that start twice or more in the sequences, and the sequences that may hold one.
+    words: of all sequences in a row; start, count: of each. Windows are found by hash; the automaton compares their words."""
+    owner = np.repeat(np.arange(len(start)), count)
+    mixed = _mixed((words.astype(np.uint64) + np.uint64(1)) * _B)
+    h = window_hashes(mixed, size)
+    inside = np.flatnonzero(owner[size - 1:] == owner[:len(h)])
+    order = inside[np.argsort(h[inside], kind="stable")]
+    same = h[order[1:]] == h[order[:-1]]
+    twice = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+    places = order[twice]
+    if not len(places):
+        return None, places
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    n = 0
-    for phrase, times in seen.items():
-        if times > 1:
-            automaton.add_word(phrase, n)
-            n += 1
-    if not n:
-        return None
+    listed = words.tolist()
+    for n, i in enumerate(places[np.concatenate([[True], h[places[1:]] != h[places[:-1]]])].tolist()):
+        automaton.add_word(tuple(listed[i:i + size]), n)
     automaton.make_automaton()
-    return automaton
+    return automaton, np.unique(owner[places])
 
 
 def _shard(size: int):
@@ -193,18 +222,22 @@ def _shard(size: int):
 
     def run(table: pa.Table) -> pa.Table:
         ids: dict[bytes, int] = {}
-        sequences = [tuple(ids.setdefault(w, len(ids)) for w in words.as_py().split()) for words in table.column("words")]
-        automaton = phrase_automaton(sequences, table.column("again").to_pylist(), size)
+        split = [words.as_py().split() for words in table.column("words")]
+        count = np.array([len(w) for w in split], np.int64)
+        words = np.fromiter((ids.setdefault(w, len(ids)) for s in split for w in s), np.int64, int(count.sum()))
+        start = np.cumsum(count) - count
+        automaton, held = phrase_automaton(words, start, count, size)
         spans = []
         if automaton is not None:
-            places = [(d is None, d or 0, k, at >> 8) for d, k, at in zip(*(table.column(c).to_pylist() for c in ("doc_id", "key", "at")), strict=True)]
+            rows = table.select(["doc_id", "key", "at"]).take(pa.array(held))
+            places = [(d is None, d or 0, k, at >> 8) for d, k, at in zip(*(rows.column(c).to_pylist() for c in ("doc_id", "key", "at")), strict=True)]
             earliest: dict[int, tuple] = {}
             hits = []
-            for (without, d, k, start), words in zip(places, sequences, strict=True):
-                own = [(start + end - size + 1, phrase) for end, phrase in automaton.iter(words)]
+            for (without, d, k, at), i in zip(places, held.tolist(), strict=True):
+                own = [(at + end - size + 1, phrase) for end, phrase in automaton.iter(tuple(words[start[i]:start[i] + count[i]].tolist()))]
                 hits.append(own)
-                for at, phrase in own:
-                    place = (without, d, k, at)
+                for begin, phrase in own:
+                    place = (without, d, k, begin)
                     if phrase not in earliest or place < earliest[phrase]:
                         earliest[phrase] = place
             for (without, d, k, _), own in zip(places, hits, strict=True):
@@ -245,27 +278,23 @@ def later_spans(rows: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFram
     found = cut_lineage(found.join(recurring, "anchor", "left_semi"))
     groups, later = merged(found)
 
-    listed = groups.groupBy(F.col("doc_id").alias("doc_id_"), F.col("key").alias("key_")).agg(F.collect_list(F.struct("anchor", "segment", "at", "again")).alias("listed"))
+    # only segments that share their anchor with another one can share a window with it
+    contested = cut_lineage(groups.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    groups = groups.join(contested.select("anchor"), "anchor", "left_semi")
+    listed = groups.groupBy(F.col("doc_id").alias("doc_id_"), F.col("key").alias("key_")).agg(F.collect_list(F.struct("anchor", "segment", "at")).alias("listed"))
     texts = rows.mapInArrow(_with_key, "doc_id long, text binary, key long")
     with_lists = texts.join(listed, _same_document(texts, listed)).select("doc_id", "key", "text", "listed")
-    schema = f"anchor long, segment long, {_PLACE}, again boolean, words binary"
+    schema = f"anchor long, segment long, {_PLACE}, words binary"
     worded = cut_lineage(with_lists.mapInArrow(_words_of(size), schema).dropDuplicates(["anchor", "segment"]))
 
-    hot = cut_lineage(worded.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_SEGMENTS).select("anchor"))
-    ways = worded.withColumn("deal", F.col("anchor"))
+    hot = contested.filter(F.col("n") > HOT_SEGMENTS).select("anchor")
     if not hot.isEmpty():  # changes the plan only
-        single = cut_lineage(worded.join(hot, "anchor", "left_semi").mapInArrow(_single_windows(size), schema))
-        of_copies = single.filter("again").select("anchor", "segment").distinct().withColumn("elsewhere", F.lit(True))
-        windows, later_windows = merged(single.select("anchor", "segment", "doc_id", "key", "at"))
-        later = later.unionByName(later_windows)
-        texts_of = single.groupBy("anchor", "segment").agg(F.min("words").alias("words"))
-        windows = windows.join(texts_of, ["anchor", "segment"]).join(of_copies, ["anchor", "segment"], "left")
-        windows = windows.withColumn("again", F.col("again") | F.coalesce("elsewhere", F.lit(False))).drop("elsewhere")
-        ways = worded.join(hot, "anchor", "left_anti").withColumn("deal", F.col("anchor")).unionByName(
-            windows.withColumn("deal", F.xxhash64("anchor", "segment")).select(*worded.columns, "deal"))
-    total = ways.agg(F.sum(F.col("at").bitwiseAND(255)).alias("n")).first()["n"] or 0
+        single = cut_lineage(worded.join(hot, "anchor", "left_semi").mapInArrow(_single_windows(size), f"anchor long, segment long, {_PLACE}"))
+        later = later.unionByName(merged(single)[1])
+        worded = worded.join(hot, "anchor", "left_anti")
+    total = worded.agg(F.sum(F.col("at").bitwiseAND(255)).alias("n")).first()["n"] or 0
     shards = max(1, -(-total // SHARD_WINDOWS))
-    located = ways.withColumn("shard", F.pmod("deal", F.lit(shards))).groupBy("shard").applyInArrow(_shard(size), _PLACE)
+    located = worded.withColumn("shard", F.pmod("anchor", F.lit(shards))).groupBy("shard").applyInArrow(_shard(size), _PLACE)
     return later.unionByName(located)
 
 
