@@ -56,6 +56,27 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str, most: int = BATCH_BYTES
             at, before = end, int(ends[end - 1])
 
 
+def carried(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
+    """The columns ``keep`` as the struct ``row``, and the column ``text`` beside it only if it is not one of them: a text crosses to Python once."""
+    row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")
+    if text in keep and dict(docs.dtypes)[text] == "string":
+        return docs.select(row)
+    return docs.select(row, F.col(f"`{text}`").cast("string").alias("text"))
+
+
+def beside(rows: DataFrame, text: str) -> Column:
+    """The text of rows made by `carried`."""
+    return (F.col("text") if "text" in rows.columns else F.col(f"row.`{text}`")).alias("text")
+
+
+def with_text(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    """Slices of rows made by `carried`, each with the column ``text``."""
+    for batch in batches:
+        if "text" not in batch.schema.names:
+            batch = pa.RecordBatch.from_arrays([*batch.columns, batch.column("row").field(text)], names=[*batch.schema.names, "text"])
+        yield from sliced([batch], "text")
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -27,6 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+from .common import beside, carried, sliced, with_text
+
 WINDOW, SHINGLE = 13, 5
 BLOCK_WINDOWS = 200_000
 WORDS_AT_ONCE = 400_000
@@ -123,7 +126,7 @@ def _counter(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
         wanted = {k: np.unique(np.concatenate([block.shingles(n).ravel() for n in block.by_size if block.k[n] == k])) for k in set(block.k.values())}
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             for _, texts in _documents_at_once(batch):
                 ids, _ = block.numbers(texts)
                 for k, codes in wanted.items():
@@ -186,10 +189,10 @@ def _runs(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _finder(shared):
+def _finder(shared, text: str, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        for batch in batches:
+        for batch in with_text(batches, text):
             n_words: list[int] = []
             spans = [[(s["start"], s["end"]) for s in x] for x in batch.column("spans").to_pylist()]
             items = [set(x) for x in batch.column("items").to_pylist()]
@@ -205,10 +208,9 @@ def _finder(shared):
                 for d, found in fresh.items():
                     a, b = np.array(spans[d] + found).T
                     spans[d] = _runs(a, b)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("text"), pa.array(n_words, pa.int64()),
-                 pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], _SPANS),
-                 pa.array([sorted(x) for x in items], pa.list_(pa.string()))], names=["row", "text", "n_words", "spans", "items"])
+            found = {"n_words": pa.array(n_words, pa.int64()), "spans": pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], _SPANS),
+                     "items": pa.array([sorted(x) for x in items], pa.list_(pa.string()))}
+            yield pa.RecordBatch.from_arrays([found.get(c, batch.column(c)) for c in names], names=names)
 
     return run
 
@@ -219,20 +221,20 @@ def find_items(docs: DataFrame, items: DataFrame, text: str = "text", keep: list
     words, word offsets, end excluded) and items (ids of the items with occurring windows, as sorted strings)."""
     spark = docs.sparkSession
     keep = docs.columns if keep is None else keep
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
+    rows = carried(docs, keep, text)
     out = rows.select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:long,end:long>>").alias("spans"),
                       F.array().cast("array<string>").alias("items"))
-    wins = item_windows(items, item_id, item_text, window)
+    wins = cut_lineage(item_windows(items, item_id, item_text, window))
     n_blocks = max(1, -(-wins.count() // BLOCK_WINDOWS))
     for b in range(n_blocks):
         # about BLOCK_WINDOWS rows: the bound of what is sent to the driver and to each executor
         block = Block(wins.filter(F.pmod(F.xxhash64("words"), F.lit(n_blocks)) == b).collect(), shingle)
         counts = {}
         if block.by_size:
-            seen = rows.select("text").mapInArrow(_counter(spark.sparkContext.broadcast(block)), "code long, k int, n long")
+            seen = rows.select(beside(rows, text)).mapInArrow(_counter(spark.sparkContext.broadcast(block)), "code long, k int, n long")
             counts = {(r["code"], r["k"]): r["n"] for r in seen.groupBy("code", "k").agg(F.sum("n").alias("n")).toLocalIterator()}
-        out = out.mapInArrow(_finder(spark.sparkContext.broadcast(Index(block, counts))), out.schema)
-    return out
+        out = out.mapInArrow(_finder(spark.sparkContext.broadcast(Index(block, counts)), text, out.columns), out.schema)
+    return out.select("row", beside(out, text), "n_words", "spans", "items")
 
 
 def n_hit(spans="spans"):

@@ -30,6 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import carried, with_text
+
 PASSAGES, PASSAGE_WORDS = 500, 60
 MAX_FEATURES = 60_000
 LEXICON_ROWS = FEATURE_ROWS = 3
@@ -320,7 +322,7 @@ def word_labels(model: Model, text: str) -> list[tuple[str, str]]:
     return [(w, model.languages[k]) for w, k in zip(words, Labeller(model).texts([tokens])[0].argmax(axis=1), strict=True)]
 
 
-def _predictor(shared):
+def _predictor(shared, text_column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         labeller = Labeller(model)
@@ -332,7 +334,7 @@ def _predictor(shared):
             k = int(mean.argmax())
             return model.languages[k], min(1.0, float(mean[k]))
 
-        for batch in batches:
+        for batch in with_text(batches, text_column):
             found: list[tuple[str, float]] = [("und", 0.0)] * batch.num_rows
             group: list[tuple[int, list[str]]] = []
             held = 0
@@ -357,9 +359,9 @@ def _predictor(shared):
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The ``keep`` columns (all by default) in the struct ``row``, then lang_pred and score (0 to 1)."""
     keep = docs.columns if keep is None else keep
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
+    rows = carried(docs, keep, text)
     kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(_predictor(docs.sparkSession.sparkContext.broadcast(model)), f"row {kind}, lang_pred string, score double")
+    return rows.mapInArrow(_predictor(docs.sparkSession.sparkContext.broadcast(model), text), f"row {kind}, lang_pred string, score double")
 
 
 def held_out(doc_id: str = "doc_id"):

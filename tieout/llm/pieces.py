@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .common import content_key
+from .common import beside, carried, content_key, sliced, with_text
 
 CHUNK = 1 << 15
 _CACHE_WORDS = 250_000
@@ -362,20 +362,23 @@ def _id_lists(values: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values) if values else np.empty(0, np.int32), pa.int32()))
 
 
-def _encoder(shared):
+def _encoder(shared, text: str, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(shared.value)
-        for batch in batches:
+        for batch in with_text(batches, text):
             ids = encode_texts(words, batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), _id_lists(ids)], names=["row", "text", "ids"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), _id_lists(ids)], names=[*names, "ids"])
 
     return run
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = [np.frombuffer(b"".join(parts), np.int32) for parts in batch.column("parts").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), _id_lists(ids)], names=["row", "text", "ids"])
+def _joined(names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [np.frombuffer(b"".join(parts), np.int32) for parts in batch.column("parts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), _id_lists(ids)], names=[*names, "ids"])
+
+    return run
 
 
 def default_model() -> str:
@@ -392,13 +395,16 @@ def encode(docs: DataFrame, text: str = "text", keep: list[str] | None = None, m
         raise ValueError("a chunk must be at least as long as the longest piece")
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     keep = docs.columns if keep is None else keep
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    schema = f"row {rows.schema['row'].dataType.simpleString()}, text string, ids array<int>"
-    short = rows.filter(F.length("text") <= chunk).mapInArrow(_encoder(shared), schema)
-    long = rows.filter(F.length("text") > chunk).withColumn("key", content_key(F.col("text")))
-    distinct = long.groupBy("key").agg(F.first("text").alias("text"))
+    rows = carried(docs, keep, text)
+    own = F.coalesce(beside(rows, text), F.lit(""))
+    names = rows.columns
+    schema = T.StructType([*rows.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    short = rows.filter(F.length(own) <= chunk).mapInArrow(_encoder(shared, text, names), schema)
+    long = rows.filter(F.length(own) > chunk).withColumn("key", content_key(own))
+    distinct = long.groupBy("key").agg(F.first(own).alias("text"))
     ids = _long_texts(distinct, shared, vocabulary.longest, chunk)
-    return short.unionByName(long.join(ids, "key").select("row", "text", "parts").mapInArrow(_joined, schema))
+    out = short.unionByName(long.join(ids, "key").select(*names, "parts").mapInArrow(_joined(names), schema))
+    return out.select("row", own.alias("text"), "ids")
 
 
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
@@ -407,7 +413,7 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             texts = [v.decode(ids.values.to_numpy().tolist()) for ids in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
