@@ -159,7 +159,7 @@ def test_parallel_scan_equals_one_search(vocabulary):
         for size in (16, 23, 40):
             parts = [pieces.Chunk(words, s[max(0, i - 1):i], s[i:i + size], s[i + size:i + size + vocabulary.longest - 1]) for i in range(0, len(s), size)]
             state = np.where(np.arange(vocabulary.longest) == 0, 0.0, float("-inf"))
-            matrices = [c.transfer() for c in parts]
+            matrices, middles = zip(*(c.transfer() for c in parts))
             scores = []
             for m in matrices:
                 scores.append(state.tolist())
@@ -171,7 +171,7 @@ def test_parallel_scan_equals_one_search(vocabulary):
             ends, x = [0] * len(parts), 0
             for i in range(len(parts) - 1, -1, -1):
                 ends[i], x = x, parts[i].entries(scores[i])[x]
-            assert b"".join(c.pieces(a, b) for c, a, b in zip(parts, scores, ends, strict=True)) == want
+            assert b"".join(c.pieces(a, b, m) for c, a, b, m in zip(parts, scores, ends, middles, strict=True)) == want
 
 
 def test_max_plus_is_associative():
@@ -180,6 +180,37 @@ def test_max_plus_is_associative():
     assert (pieces.max_plus(pieces.max_plus(a, b), c) == pieces.max_plus(a, pieces.max_plus(b, c))).all()
 
 
+def test_scan_over_many_groups_equals_one_search(docs_of, vocabulary, monkeypatch):
+    """Texts of up to 300 chunks in groups of 3: six levels of products."""
+    rng = random.Random(8)
+    texts = ["".join(random_text(rng) for _ in range(n)) for n in (1, 4, 30, 110)] + ["q" * 1500]
+    monkeypatch.setattr(pieces, "GROUP", 3)
+    got = pieces.encode(docs_of(list(enumerate(texts))), keep=["doc_id"], chunk=20).collect()
+    for r in got:
+        assert np.array(r["ids"], np.int32).tobytes() == vocabulary.best(" " + texts[r["row"]["doc_id"]])[1]
+
+
+def test_search_equals_a_unigram_encoder():
+    """A vocabulary written by hand, with scores that leave no ties, against the search of a public unigram encoder."""
+    from tokenizers import Tokenizer, models
+    rng = random.Random(9)
+    names = sorted({*"abcd", *("".join(rng.choices("abcd", k=rng.randint(2, 6))) for _ in range(120))})
+    scores = {p: -float(rng.randrange(1 << 20)) / 1024 - 1 for p in names}
+    v = pieces.Vocabulary({p: i for i, p in enumerate(names)}, scores, [p.encode() for p in names], [0] * 256, 6, -1e6)
+    encoder = Tokenizer(models.Unigram(list(scores.items()), unk_id=None, byte_fallback=False))
+    words = pieces.Words(v)
+    for _ in range(300):
+        t = "".join(rng.choices("abcd", k=rng.randint(1, 90)))
+        want = encoder.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(v.best(t)[1], np.int32).tolist() == want
+        assert np.frombuffer(v.best_of_many([t])[0][1], np.int32).tolist() == want
+        chunks = [pieces.Chunk(words, "", t[i:i + 7], t[i + 7:i + 12]) for i in range(0, len(t), 7)]
+        whole = chunks[0].transfer()[0]
+        for c in chunks[1:]:
+            whole = pieces.max_plus(whole, c.transfer()[0])
+        assert whole[0, 0] == v.best(t)[0]
+
+
 def test_encode_decode_round_trip(docs_of, vocabulary):
     import sentencepiece
     long = "thandedble " * 40 + "x" * 700 + "\n  é中文 ▁ \U0001f600 " * 30

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import io
 import string
+import sys
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -40,20 +42,34 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
 #: of texts in one batch that a Python worker holds at once
 BATCH_BYTES = 4 << 20
 
 
+def _slices(batch: pa.RecordBatch, text: str, most: int) -> Iterator[pa.RecordBatch]:
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at, before = 0, 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(at, end - at)
+        at, before = end, int(ends[end - 1])
+
+
 def sliced(batches: Iterator[pa.RecordBatch], text: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about ``most`` bytes of the column ``text`` (one row at least), so what is made of a slice stays
     bounded whatever the number of rows in a batch."""
+    give_back()  # what the task before left behind
     for batch in batches:
-        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        at, before = 0, 0
-        while at < batch.num_rows:
-            end = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
-            yield batch.slice(at, end - at)
-            at, before = end, int(ends[end - 1])
+        yield from _slices(batch, text, most)
+    give_back()
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system: worker processes live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
 
 
 def carried(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
@@ -71,10 +87,12 @@ def beside(rows: DataFrame, text: str) -> Column:
 
 def with_text(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
     """Slices of rows made by `carried`, each with the column ``text``."""
+    give_back()
     for batch in batches:
         if "text" not in batch.schema.names:
             batch = pa.RecordBatch.from_arrays([*batch.columns, batch.column("row").field(text)], names=[*batch.schema.names, "text"])
-        yield from sliced([batch], "text")
+        yield from _slices(batch, "text", BATCH_BYTES)
+    give_back()
 
 
 _SHIPPED: set[str] = set()

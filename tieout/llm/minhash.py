@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import content_key
+from .common import content_key, sliced
 from .components import smallest_reachable
 
 BANDS, ROWS = 32, 4
@@ -107,7 +107,7 @@ def signature(shingles: np.ndarray, size: int = BANDS * ROWS) -> np.ndarray:
 def _profiles(k: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             sizes, keys, found = [], [], []
             for t in batch.column("text"):
                 s = shingle_set(t.as_py(), k, hashes)
@@ -133,7 +133,7 @@ def _verify(k: int, threshold: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, last, left = WordHashes(), None, None
-        for batch in batches:
+        for batch in sliced(batches, "text_a"):
             a_, b_ = [], []
             for a, b, ta, tb in zip(*[batch.column(c) for c in ("a", "b", "text_a", "text_b")], strict=True):
                 a = a.as_py()
@@ -213,7 +213,7 @@ def _meet(k: int, threshold: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, rows = WordHashes(), []
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if rows and row[:3] != rows[0][:3]:
                     yield from compare(rows, hashes)

@@ -10,9 +10,11 @@ parts are words that repeat and are remembered.
 Texts beyond ``CHUNK`` characters are split into chunks of that size, wherever that falls, and go over the cluster:
 
 1. Each chunk yields its transfer matrix: M[a, b] is the best score of the chunk if its first a characters belong to a piece
-   begun before, and its last piece goes on b characters beyond it.
-2. Matrices are combined in max-plus algebra along the text; each chunk gets the best score of every state at its start.
-3. With these scores a chunk knows, for each state at its end, the state at its start; a scan from the end fixes the states.
+   begun before, and its last piece goes on b characters beyond it. The pieces between its cuts are kept, they are final.
+2. Matrices are multiplied in max-plus algebra in groups of ``GROUP`` neighbours, the products again, and so on; from the top the best score of
+   every state is carried down to the start of each group, and of each chunk. No task goes through a whole text.
+3. With these scores a chunk knows, for each state at its end, the state at its start. These maps are composed from the end by the
+   same scan, which fixes the states.
 4. Each chunk traces its own pieces back, independently. Scores are whole numbers, so the result equals the one-pass search.
 
 A chunk with a cut has a matrix of rank one; one without (a long run without blanks) has a full one.
@@ -38,6 +40,8 @@ from ..session import cut_lineage
 from .common import beside, carried, content_key, sliced, with_text
 
 CHUNK = 1 << 15
+#: neighbouring chunks whose matrices are combined at once
+GROUP = 32
 _CACHE_WORDS = 250_000
 _SHORT = 32
 _PARTS_AT_ONCE = 100_000
@@ -245,15 +249,16 @@ class Chunk:
         out = best[n:n + self.v.longest]
         return out + [_NEVER] * (self.v.longest - len(out))
 
-    def transfer(self) -> np.ndarray:
-        """The matrix M[a, b]."""
+    def transfer(self) -> tuple[np.ndarray, bytes]:
+        """The matrix M[a, b], and the ids of the pieces between the first cut and the last: they depend on nothing else."""
         size, n = self.v.longest, len(self.body)
         unit = [[0.0 if x == a else _NEVER for x in range(size)] for a in range(size)]
         if self.first_cut is None:
-            return np.array([self._exits(self.v.search(self.text, unit[a], n)[0], n) for a in range(size)])
+            return np.array([self._exits(self.v.search(self.text, unit[a], n)[0], n) for a in range(size)]), b""
         head = [self.v.search(self.text[:self.first_cut], unit[a], self.first_cut)[0][-1] if a <= self.first_cut else _NEVER for a in range(size)]
         tail = self._exits(self.v.search(self.text[self.last_cut:], [0.0], n - self.last_cut)[0], n - self.last_cut)
-        return np.add.outer(np.array(head), np.array(tail)) + sum(s for s, _ in self._middle())
+        middle = self._middle()
+        return np.add.outer(np.array(head), np.array(tail)) + sum(s for s, _ in middle), b"".join(ids for _, ids in middle)
 
     def entries(self, scores: list[float]) -> list[int]:
         """For each state at the end the state at the start that its best path comes from."""
@@ -263,10 +268,10 @@ class Chunk:
         else:
             text, end, ends = self.text, n, [min(n + b, len(self.text)) for b in range(size)]
         _, origin = self.v.search(text, scores, end)
-        return [self.v.trace(text, origin, e)[1] for e in ends]
+        return [min(self.v.trace(text, origin, e)[1], size - 1) for e in ends]  # states that no path reaches lead anywhere
 
-    def pieces(self, scores: list[float], state: int) -> bytes:
-        """Ids of the pieces that start in the chunk, given the scores at its start and the state at its end."""
+    def pieces(self, scores: list[float], state: int, middle: bytes) -> bytes:
+        """Ids of the pieces that start in the chunk, given the scores at its start, the state at its end and the ids between its cuts."""
         n = len(self.body)
         if self.first_cut is None:
             _, origin = self.v.search(self.text, scores, n)
@@ -277,7 +282,7 @@ class Chunk:
         tail = self.text[self.last_cut:]
         _, origin = self.v.search(tail, [0.0], n - self.last_cut)
         after = np.array(self.v.trace(tail, origin, n - self.last_cut + state)[0], np.int32).tobytes()
-        return b"".join([before, *[ids for _, ids in self._middle()], after])
+        return before + middle + after
 
 
 def max_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -302,56 +307,108 @@ def _chunks(size: int, longest: int):
     return run
 
 
-def _each_chunk(shared, work, kind: pa.DataType, name: str):
+def _each_chunk(shared, work, kinds: dict[str, pa.DataType]):
+    """``work`` on each chunk -> key, no and the columns ``kinds``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(shared.value)
-        for batch in batches:
-            out = [work(Chunk(words, r["before"], r["body"], r["ahead"]), r) for r in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("no"), pa.array(out, kind)], names=["key", "no", name])
+        for batch in sliced(batches, "body"):
+            made = list(zip(*(work(Chunk(words, r["before"], r["body"], r["ahead"]), r) for r in batch.to_pylist()), strict=True))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("no"), *(pa.array(c, k) for c, k in zip(made, kinds.values(), strict=True))],
+                                             names=["key", "no", *kinds])
 
     return run
 
 
-def _forward(longest: int):
-    """Rows (key, no, m) sorted -> scores of the states at the start of each chunk."""
+def _grouped(table: pa.Table) -> list[tuple[int, np.ndarray]]:
+    rows = zip(table.column("no").to_pylist(), table.column("value"), strict=True)
+    return sorted(((no, v.values.to_numpy(zero_copy_only=False)) for no, v in rows), key=lambda r: r[0])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, v = None, None
-        for batch in batches:
-            out = []
-            for key, m in zip(batch.column("key").to_pylist(), batch.column("m").to_pylist(), strict=True):
-                if key != last:
-                    last, v = key, np.where(np.arange(longest) == 0, 0.0, _NEVER)
-                out.append(v.tolist())
-                v = max_plus(v, np.array(m).reshape(longest, longest))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("no"), pa.array(out, pa.list_(pa.float64()))], names=["key", "no", "scores"])
+
+def _product(multiply):
+    """The rows of one group -> their product."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = _grouped(table)
+        out = rows[0][1]
+        for _, v in rows[1:]:
+            out = multiply(out, v)
+        return pa.table([table.column("key").slice(0, 1), pa.array([rows[0][0] // table.column("width")[0].as_py()], pa.int32()), pa.array([out], pa.list_(pa.float64()))],
+                        names=["key", "no", "value"])
 
     return run
 
 
-def _backward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, no, entries) sorted by falling number -> state at the end of each chunk."""
-    last, state = None, 0
-    for batch in batches:
-        out = []
-        for key, entries in zip(batch.column("key").to_pylist(), batch.column("entries").to_pylist(), strict=True):
-            if key != last:
-                last, state = key, 0
+def _expansion(act):
+    """The rows of one group and the state before it -> the state before each row."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows, out = _grouped(table), []
+        state = table.column("state")[0].values.to_numpy(zero_copy_only=False)
+        for _, v in rows:
             out.append(state)
-            state = entries[state]
-        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("no"), pa.array(out, pa.int32())], names=["key", "no", "state"])
+            state = act(state, v)
+        key = pa.array([table.column("key")[0].as_py()] * len(rows), pa.binary())
+        return pa.table([key, pa.array([no for no, _ in rows], pa.int32()), pa.array(out, pa.list_(pa.float64()))], names=["key", "no", "state"])
+
+    return run
+
+
+def parallel_scan(rows: DataFrame, multiply, act, start: list[float], width: int) -> DataFrame:
+    """State before each row of every sequence, by an associative scan. rows: key, no (from 0), value. Values are combined by ``multiply`` in
+    groups of ``width`` neighbours, these again, until one group is left of each sequence; from there ``act`` carries the state ``start``
+    into the groups, level by level. No task sees more than ``width`` values of a sequence at once."""
+    group = (F.col("no") / width).cast("int")
+    levels = [rows.select("key", "no", "value")]
+    while not levels[-1].filter(F.col("no") >= width).isEmpty():
+        level = levels[-1].withColumn("width", F.lit(width)).groupBy("key", group.alias("group")).applyInArrow(_product(multiply), "key binary, no int, value array<double>")
+        levels.append(cut_lineage(level))
+    above = None
+    for level in reversed(levels):
+        if above is None:
+            told = level.withColumn("state", F.array(*map(F.lit, start)).cast("array<double>"))
+        else:
+            above = above.select("key", F.col("no").alias("group"), "state")
+            told = level.withColumn("group", group).join(above, ["key", "group"])
+        above = told.groupBy("key", group.alias("part")).applyInArrow(_expansion(act), "key binary, no int, state array<double>")
+    return above
+
+
+def _times(longest: int):
+    def multiply(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return max_plus(a.reshape(longest, longest), b.reshape(longest, longest)).ravel()
+
+    def act(v: np.ndarray, m: np.ndarray) -> np.ndarray:
+        return max_plus(v, m.reshape(longest, longest))
+
+    return multiply, act
+
+
+def _then(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The map (or state) a, then the map b."""
+    return b[a.astype(np.int64)]
 
 
 def _long_texts(texts: DataFrame, shared, longest: int, size: int) -> DataFrame:
     """key, parts (ids of the chunks in order, 4 bytes each) of the distinct very long texts (key, text)."""
     chunks = cut_lineage(texts.mapInArrow(_chunks(size, longest), _CHUNK).repartition("key", "no"))
-    matrices = chunks.mapInArrow(_each_chunk(shared, lambda c, r: c.transfer().ravel().tolist(), pa.list_(pa.float64()), "m"), "key binary, no int, m array<double>")
-    scores = cut_lineage(matrices.repartition("key").sortWithinPartitions("key", "no").mapInArrow(_forward(longest), "key binary, no int, scores array<double>"))
+
+    def transfer(c: Chunk, r: dict) -> tuple:
+        m, middle = c.transfer()
+        return m.ravel().tolist(), middle
+
+    searched = cut_lineage(chunks.mapInArrow(_each_chunk(shared, transfer, {"value": pa.list_(pa.float64()), "middle": pa.binary()}),
+                                             "key binary, no int, value array<double>, middle binary"))
+    start = [0.0] + [_NEVER] * (longest - 1)
+    scores = cut_lineage(parallel_scan(searched, *_times(longest), start, GROUP).withColumnRenamed("state", "scores"))
     entries = chunks.join(scores, ["key", "no"]).mapInArrow(
-        _each_chunk(shared, lambda c, r: c.entries(r["scores"]), pa.list_(pa.int32()), "entries"), "key binary, no int, entries array<int>")
-    states = entries.repartition("key").sortWithinPartitions("key", F.desc("no")).mapInArrow(_backward, "key binary, no int, state int")
-    ids = chunks.join(scores, ["key", "no"]).join(states, ["key", "no"]).mapInArrow(
-        _each_chunk(shared, lambda c, r: c.pieces(r["scores"], r["state"]), pa.binary(), "data"), "key binary, no int, data binary")
+        _each_chunk(shared, lambda c, r: (c.entries(r["scores"]),), {"value": pa.list_(pa.float64())}), "key binary, no int, value array<double>")
+    last = chunks.groupBy("key").agg(F.max("no").alias("last"))
+    turned = cut_lineage(entries.join(last, "key").select("key", (F.col("last") - F.col("no")).alias("no"), "value", "last"))
+    states = parallel_scan(turned, _then, _then, [0.0], GROUP).join(last, "key")
+    states = states.select("key", (F.col("last") - F.col("no")).alias("no"), F.col("state")[0].cast("int").alias("state"))
+    told = chunks.join(scores, ["key", "no"]).join(states, ["key", "no"]).join(searched.select("key", "no", "middle"), ["key", "no"])
+    ids = told.mapInArrow(_each_chunk(shared, lambda c, r: (c.pieces(r["scores"], r["state"], r["middle"]),), {"data": pa.binary()}), "key binary, no int, data binary")
     # one text's ids make one row of the result, as its text is one row of the input
     listed = ids.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("no", "data"))).alias("parts"))
     return listed.select("key", F.col("parts.data").alias("parts"))

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import content_key
+from .common import content_key, sliced
 
 MIN_BYTES, ANCHOR_BYTES = 400, 200
 BLOCK_BYTES, HOT_BYTES = 3 << 19, 3 << 20
@@ -212,7 +212,7 @@ def _true_runs(flags: np.ndarray) -> list[tuple[int, int]]:
 
 def _segments(size: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             for key, data in zip(batch.column("key"), batch.column("text"), strict=True):
                 data = data.as_py()
                 anchors, first, last = segments(data, size, gram)
@@ -227,7 +227,7 @@ def _segments(size: int, gram: int):
 
 def _parts(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             for data, chosen in zip(batch.column("text"), batch.column("chosen"), strict=True):
                 rows = chosen.as_py()
                 if rows:
@@ -300,7 +300,7 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches, "text"):
         out = []
         for spans in batch.column("spans").to_pylist():
             runs: list[list[int]] = []
@@ -359,7 +359,7 @@ def cut(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches, "text"):
         pairs = zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True)
         left = [cut(d.as_py(), [(s["start"], s["end"]) for s in spans]) for d, spans in pairs]
         yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(left, pa.binary()), batch.column("spans")], names=["key", "kept", "spans"])
