@@ -1,10 +1,12 @@
 """Blocked candidate generation is lossless: compared with scoring every pair."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from tieout.functions.similarity import client_similarity, normalize_client
-from tieout.operators.blocking import client_candidates, contains_candidates
+from tieout.operators.blocking import best_similar, client_candidates, contains_candidates
 from tieout.operators.clients import ledger_clients, payroll_clients
 from tieout.plans.inputs import fixture_inputs
 
@@ -33,6 +35,42 @@ def test_client_candidates_lossless(spark, names, threshold):
     assert len(got) < left.count() * right.count()
 
 
+def slow_best(left, right, floor):
+    """(l, r) with the best score of each left name, by scoring every pair."""
+    pairs = (left.alias("x").crossJoin(right.alias("y")).withColumn("score", client_similarity(F.col("x.s"), F.col("y.s")))
+             .filter(F.col("score") >= floor).select(F.col("x.id").alias("l"), F.col("y.id").alias("r"), "score").collect())
+    top = {}
+    for p in pairs:
+        top[p.l] = max(top.get(p.l, 0.0), p.score)
+    return {(p.l, p.r, round(p.score, 9)) for p in pairs if p.score == top[p.l]}
+
+
+def best_of(df):
+    rows = df.collect()
+    top = {}
+    for p in rows:
+        top[p.l] = max(top.get(p.l, 0.0), p.score)
+    return {(p.l, p.r, round(p.score, 9)) for p in rows if p.score == top[p.l]}
+
+
+@pytest.mark.parametrize("floor", [0.5, 0.7, 0.75, 0.8, 0.9])
+def test_staged_join_finds_every_best_pair(spark, names, floor):
+    left, right = names
+    report = []
+    assert best_of(best_similar(left, right, floor, report)) == slow_best(left, right, floor)
+    assert [r["threshold"] for r in report][-1] >= floor and all(a["asked"] >= b["asked"] for a, b in zip(report, report[1:]))
+
+
+def test_staged_join_on_random_names(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(1, 7)))
+    some = lambda n: [(x, x) for x in sorted({" ".join(word() for _ in range(rng.randint(1, 3))) for _ in range(n)} | {"", "A", "É a", "aaaa aaaa"})]
+    left, right = (spark.createDataFrame(some(n), "id string, s string") for n in (90, 130))
+    for floor in (0.5, 0.75):
+        assert best_of(best_similar(left, right, floor)) == slow_best(left, right, floor)
+    assert best_similar(left.limit(0), right, 0.5).count() == 0 and best_similar(left, right.limit(0), 0.5).count() == 0
+
+
 def test_contains_candidates_short_strings(spark):
     left = spark.createDataFrame([("a", "a"), ("bc", "bc"), ("xyz", "xyz")], "id string, s string")
     right = spark.createDataFrame([("abc", "abc"), ("qq", "qq")], "id string, s string")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import (amounts_zero_out, client_match_reason, client_similarity, first_n_words,
                                     normalize_client)
-from .blocking import client_candidates
+from .blocking import best_similar
 from ..functions.text import is_blank
 from ..session import cut_lineage
 from .sizing import broadcast_if_small
@@ -113,12 +113,12 @@ def _scored(pairs: DataFrame, tier: int, score: Column) -> DataFrame:
     return pairs.select("qb_name", "av_name", F.lit(tier).alias("tier"), score.alias("score"))
 
 
-def _fuzzy_pairs(lnames: DataFrame, lstr: str, pnames: DataFrame, pstr: str, threshold: float) -> DataFrame:
-    """Blocked candidates between distinct strings, joined back to names."""
+def _fuzzy_best(lnames: DataFrame, lstr: str, pnames: DataFrame, pstr: str, floor: float) -> DataFrame:
+    """The best pairs of each left name at or above ``floor`` (staged join over distinct strings), joined back to the names, with ``score``."""
     ls = lnames.select(F.col(lstr).alias("s")).distinct().select(F.col("s").alias("id"), "s")
     ps = pnames.select(F.col(pstr).alias("s")).distinct().select(F.col("s").alias("id"), "s")
-    cand = cut_lineage(client_candidates(ls, ps, threshold))
-    return (cand.join(lnames, cand.l == lnames[lstr]).join(pnames, cand.r == pnames[pstr])
+    best = best_similar(ls, ps, floor)
+    return (best.join(lnames, best.l == lnames[lstr]).join(pnames, best.r == pnames[pstr])
             .drop("l", "r"))
 
 
@@ -134,9 +134,7 @@ def best_payroll_client(lc: DataFrame, pc: DataFrame, rules: DataFrame) -> DataF
     if ruled_left.isEmpty():   # nothing left for the rule-fuzzy tier: skip its blocking joins
         t2 = t1.limit(0)
     else:
-        fz = _fuzzy_pairs(ruled_left, "mapped", pcs, "av_name", RULE_FUZZY_THRESHOLD)
-        t2 = _scored(fz, 2, client_similarity(F.col("mapped"), F.col("av_name")))
-        t2 = t2.filter(F.col("score") >= RULE_FUZZY_THRESHOLD)
+        t2 = _scored(_fuzzy_best(ruled_left, "mapped", pcs, "av_name", RULE_FUZZY_THRESHOLD), 2, F.col("score"))
     t3 = _scored(lc.join(pcs, F.lower(lc.qb_name) == pcs.av_low), 3, F.lit(1.0))
     early = cut_lineage(t1.unionByName(t2).unionByName(t3))
 
@@ -150,9 +148,7 @@ def best_payroll_client(lc: DataFrame, pc: DataFrame, rules: DataFrame) -> DataF
     if rest5.isEmpty():
         t5 = t4.limit(0)
     else:
-        fz5 = _fuzzy_pairs(rest5, "qb_norm", pcs, "av_norm", FUZZY_THRESHOLD)
-        t5 = _scored(fz5, 5, client_similarity(F.col("qb_norm"), F.col("av_norm")))
-        t5 = cut_lineage(t5.filter(F.col("score") >= FUZZY_THRESHOLD))
+        t5 = cut_lineage(_scored(_fuzzy_best(rest5, "qb_norm", pcs, "av_norm", FUZZY_THRESHOLD), 5, F.col("score")))
 
     cand = early.unionByName(t4).unionByName(t5).join(pc.select("av_name", "av_o1"), "av_name")
     w = Window.partitionBy("qb_name").orderBy("tier", F.col("score").desc(), "av_o1", "av_name")
@@ -253,11 +249,9 @@ def best_ledger_client(lc: DataFrame, pc: DataFrame, rules: DataFrame) -> DataFr
     ruled = pcx.join(rb, F.lower(pcx.av_name) == rb.rule_key).select("av_name", "mapped")
     t1 = ruled.join(lcs, F.lower(ruled.mapped) == F.lower(lcs.qb_name)).select(
         "av_name", "qb_name", F.lit(1).alias("tier"), F.lit(1.0).alias("score"))
-    fz = _fuzzy_pairs(ruled.join(t1.select("av_name"), "av_name", "left_anti"), "mapped",
-                      lcs, "qb_name", RULE_FUZZY_THRESHOLD)
-    t2 = fz.select("av_name", "qb_name", F.lit(2).alias("tier"),
-                   client_similarity(F.col("mapped"), F.col("qb_name")).alias("score")).filter(
-        F.col("score") >= RULE_FUZZY_THRESHOLD)
+    fz = _fuzzy_best(ruled.join(t1.select("av_name"), "av_name", "left_anti"), "mapped",
+                     lcs, "qb_name", RULE_FUZZY_THRESHOLD)
+    t2 = fz.select("av_name", "qb_name", F.lit(2).alias("tier"), "score")
     t3 = pcx.join(lcs, F.lower(pcx.av_name) == F.lower(lcs.qb_name)).select(
         "av_name", "qb_name", F.lit(3).alias("tier"), F.lit(1.0).alias("score"))
     t4 = pcx.join(lcs, F.lower(pcx.av_norm) == F.lower(lcs.qb_norm)).select(
@@ -302,11 +296,9 @@ def extract_best_client(targets: DataFrame, choices: DataFrame, threshold: float
     t = targets.select(F.col(target_col).alias("target")).distinct().withColumn("t_norm", normalize_client("target"))
     c = choices.select(F.col(choice_col).alias("choice"), *order_cols).withColumn("c_norm", normalize_client("choice"))
     tl = t.filter(~is_blank(F.col("target")))
-    pairs = _fuzzy_pairs(tl, "t_norm", c, "c_norm", threshold)
-    scored = pairs.select("target", "choice", *order_cols,
-                          client_similarity(F.col("t_norm"), F.col("c_norm")).alias("score"),
-                          client_match_reason(F.col("t_norm"), F.col("c_norm")).alias("reason")).filter(
-        F.col("score") >= threshold)
+    pairs = _fuzzy_best(tl, "t_norm", c, "c_norm", threshold)
+    scored = pairs.select("target", "choice", *order_cols, "score",
+                          client_match_reason(F.col("t_norm"), F.col("c_norm")).alias("reason"))
     w = Window.partitionBy("target").orderBy(F.col("score").desc(), *order_cols, "choice")
     best = scored.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn", *order_cols)
     pct = int(round(threshold * 100))
