@@ -185,6 +185,13 @@ def employee_matches(le: DataFrame, pe: DataFrame, assigned: DataFrame) -> DataF
 
 # --- D7 / D8 / D10 (name-only, over caller-supplied candidate pairs, within an optional group) ----------------
 
+def _with_scores(pairs: DataFrame) -> DataFrame:
+    """Adds sc (the five measures) and ns of the normalised names tn, cn; each distinct pair of names is scored once."""
+    names = pairs.select("tn", "cn").distinct().withColumn("sc", employee_scores(F.col("tn"), F.col("cn")))
+    names = names.withColumn("ns", name_similarity_from(F.col("tn"), F.col("cn"), F.col("sc")))
+    return pairs.join(names, ["tn", "cn"])
+
+
 def best_by_name(pairs: DataFrame, target: str = "target", choice: str = "choice",
                  choice_order: str = "choice_ord", group: str | None = None) -> DataFrame:
     """D7 over candidate pairs ``([group,] target, choice, choice_ord)``: exact (CI) ->
@@ -194,8 +201,7 @@ def best_by_name(pairs: DataFrame, target: str = "target", choice: str = "choice
     p = (pairs.filter(~is_blank(F.col(target)))
          .withColumn("tn", normalize_employee(F.col(target))).withColumn("cn", normalize_employee(F.col(choice))))
     tc, cc = name_components(F.col("tn")), name_components(F.col("cn"))
-    p = p.withColumn("sc", employee_scores(F.col("tn"), F.col("cn")))
-    p = p.withColumn("ns", name_similarity_from(F.col("tn"), F.col("cn"), F.col("sc")))
+    p = _with_scores(p)
     tier = (F.when(F.lower(F.col(target)) == F.lower(F.col(choice)), F.lit(1))
             .when(F.lower("tn") == F.lower("cn"), F.lit(2))
             .when(tc["valid"] & cc["valid"] & components_similar(F.col("tn"), F.col("cn")), F.lit(3))
@@ -211,36 +217,35 @@ def best_by_name(pairs: DataFrame, target: str = "target", choice: str = "choice
 
 
 def extract_best_by_name(pairs: DataFrame, threshold: float = EXTRACT_THRESHOLD, target: str = "target",
-                         choice: str = "choice", choice_order: str = "choice_ord", group: str | None = None) -> DataFrame:
-    """D8 over candidate pairs: best similarity >= threshold with score and reason."""
-    p = (pairs.withColumn("tn", normalize_employee(F.col(target)))
-         .withColumn("cn", normalize_employee(F.col(choice)))
-         .withColumn("sc", employee_scores(F.col("tn"), F.col("cn"))))
-    p = (p.withColumn("score", name_similarity_from(F.col("tn"), F.col("cn"), F.col("sc")))
-         .withColumn("reason", employee_match_reason_from(F.col("tn"), F.col("cn"), F.col("sc"))))
-    ok = p.filter((F.col("score") >= threshold) & ~is_blank(F.col(target)))
+                         choice: str = "choice", choice_order: str = "choice_ord", group: str | None = None, targets: DataFrame | None = None) -> DataFrame:
+    """D8 over candidate pairs: best similarity >= threshold with score and reason, for every target of ``targets``
+    ([group,] target; by default those of the pairs)."""
+    p = _with_scores(pairs.withColumn("tn", normalize_employee(F.col(target))).withColumn("cn", normalize_employee(F.col(choice))))
+    ok = p.withColumnRenamed("ns", "score").filter((F.col("score") >= threshold) & ~is_blank(F.col(target)))
+    ok = ok.withColumn("reason", employee_match_reason_from(F.col("tn"), F.col("cn"), F.col("sc")))
     keys = [target] if group is None else [group, target]
     w = Window.partitionBy(*keys).orderBy(F.col("score").desc(), choice_order, choice)
     best = ok.withColumn("rn", F.row_number().over(w)).filter("rn = 1").select(
         *keys, F.col(choice).alias("best_match"), "score", "reason")
     pct = int(round(threshold * 100))
-    t = pairs.select(*keys).distinct()
+    t = pairs.select(*keys).distinct() if targets is None else targets
     return t.join(best, keys, "left").select(
         *keys, "best_match", F.coalesce("score", F.lit(0.0)).alias("score"),
         F.when(is_blank(F.col(target)), F.lit("Empty target"))
         .otherwise(F.coalesce("reason", F.lit(f"No match above {pct}% threshold"))).alias("reason"))
 
 
-def name_only_matches(pairs: DataFrame, ledger_emps: DataFrame, payroll_emps: DataFrame,
-                      group: str = "unified_name") -> DataFrame:
-    """D10 over caller-supplied candidate pairs: every ledger employee with its
+def name_only_matches(pairs: DataFrame | None, ledger_emps: DataFrame, payroll_emps: DataFrame,
+                      group: str = "unified_name", best: DataFrame | None = None) -> DataFrame:
+    """D10 over caller-supplied candidate pairs (or a D7 result, ``best``): every ledger employee with its
     D7 best match (no consumption) and D11 label, then payroll employees nobody
     matched (case-insensitive) as payroll-only; later case-insensitive writes
     replace earlier ones.
 
     ``pairs``: (group, target, choice, choice_ord); ``ledger_emps``: (group,
     name, amount, ord); ``payroll_emps``: (group, name, amount)."""
-    best = best_by_name(pairs, group=group).select(group, F.col("target").alias("name"), "best_match")
+    best = best_by_name(pairs, group=group) if best is None else best
+    best = best.select(group, F.col("target").alias("name"), "best_match")
     pa = payroll_emps.select(group, F.col("name").alias("best_match"), F.col("amount").alias("payroll_amount"))
     led = (ledger_emps.join(best, [group, "name"], "left").join(pa, [group, "best_match"], "left")
            .select(group, F.col("name").alias("employee_name"), F.col("name").alias("ledger_name"),

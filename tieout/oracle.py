@@ -473,6 +473,47 @@ def employee_sql() -> dict[str, str]:
     }
 
 
+# --- name-only employee matching (D7, D8, D10) -----------------------------------------------
+
+def name_only_sql() -> dict[str, str]:
+    """Every pair of a linked client scored and labelled, the best one by a window."""
+    wt, wc = words_sql("lower(l_norm)"), words_sql("lower(p_norm)")
+    valid = f"len({wt}) >= 2 AND len({wc}) >= 2"
+    tier = (f"CASE WHEN lower(l_item) = lower(p_name) THEN 1 WHEN lower(l_norm) = lower(p_norm) THEN 2 "
+            f"WHEN {valid} AND {comp_similar_sql('l_norm', 'p_norm')} THEN 3 WHEN {valid} AND {wt}[1:2] = {wc}[1:2] THEN 4 "
+            "WHEN ns >= 0.8 THEN 5 WHEN ns >= 0.6 THEN 6 END")
+    extra = [
+        ("ntier!", f"SELECT unified_name, l_item, l_o1, l_norm, qa, p_name, p_norm, pa, ns, {tier} AS tier FROM epairs"),
+        ("nbest!", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY unified_name, l_item ORDER BY tier, "
+                   "CASE WHEN tier >= 5 THEN -ns ELSE 0 END, p_name) AS rn FROM ntier WHERE tier IS NOT NULL) x WHERE rn = 1"),
+        ("nextract!", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY unified_name, l_item ORDER BY ns DESC, p_name) AS rn "
+                      "FROM ntier WHERE ns >= 0.8) x WHERE rn = 1"),
+        ("ntable", f"""
+SELECT le.unified_name, le.l_item AS employee_name, le.l_item AS ledger_name, b.p_name AS payroll_name, le.qa AS ledger_amount,
+  coalesce(b.pa, 0) AS payroll_amount, CASE WHEN b.p_name IS NULL THEN 'LedgerOnly' WHEN lower(le.l_item) = lower(b.p_name) THEN 'Exact'
+    WHEN lower(b.l_norm) = lower(b.p_norm) THEN 'Normalized'
+    WHEN len({words_sql("b.l_norm")}) >= 2 AND len({words_sql("b.p_norm")}) >= 2 AND {comp_similar_sql("b.l_norm", "b.p_norm")} THEN 'NameComponents'
+    ELSE 'Fuzzy' END AS emp_match_type, 0 AS side, le.l_o1 AS o1, le.l_item AS o2
+FROM le LEFT JOIN nbest b ON b.unified_name = le.unified_name AND b.l_item = le.l_item
+UNION ALL
+SELECT pe.unified_name, pe.p_name, NULL, pe.p_name, 0, pe.pa, 'PayrollOnly', 1, NULL, pe.p_name FROM pe
+WHERE NOT EXISTS (SELECT 1 FROM nbest b WHERE b.unified_name = pe.unified_name AND lower(b.p_name) = lower(pe.p_name))"""),
+    ]
+    w = lambda q: with_inputs(employee_ctes() + extra, recursive=True) + q
+    return {
+        "d7_best_employee": w("SELECT unified_name, l_item, p_name AS best_match, tier, round(ns, 6) AS name_sim FROM nbest"),
+        "d8_extract_best_employee": w(
+            "SELECT le.unified_name, le.l_item, x.p_name AS best_match, round(coalesce(x.ns, 0.0), 6) AS score, "
+            "CASE WHEN trim(le.l_item) = '' THEN 'Empty target' WHEN x.p_name IS NULL THEN 'No match above 80% threshold' "
+            f"ELSE {emp_reason_sql('x.l_norm', 'x.p_norm')} END AS reason "
+            "FROM le LEFT JOIN nextract x ON x.unified_name = le.unified_name AND x.l_item = le.l_item"),
+        "d10_employee_match_table": w(
+            "SELECT unified_name, employee_name, ledger_name, payroll_name, CAST(ledger_amount AS DECIMAL(18,2)) AS ledger_amount, "
+            "CAST(payroll_amount AS DECIMAL(18,2)) AS payroll_amount, emp_match_type FROM (SELECT *, row_number() OVER (PARTITION BY "
+            "unified_name, lower(employee_name) ORDER BY side DESC, o1 DESC NULLS LAST, o2 DESC) AS rn FROM ntable) x WHERE rn = 1"),
+    }
+
+
 # --- remaining operators -------------------------------------------------------------------
 
 def _dedupe(ctes: list[tuple[str, str]]) -> list[tuple[str, str]]:

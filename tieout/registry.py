@@ -164,6 +164,37 @@ def d9(spark, sf):
                       F.round("name_sim", 6).alias("name_sim"))
 
 
+def _linked_employees(spark, sf):
+    """(ledger employees, payroll employees) of the linked clients: unified_name, name, amount and, on the ledger side, ord."""
+    from .operators import employees
+    i, cm = _match(spark, sf)
+    le, pe = employees.employee_totals(i.ledger, i.payroll, cm.matches)
+    return (le.select("unified_name", F.col("l_item").alias("name"), F.col("qa").alias("amount"), F.struct("l_o1", "l_item").alias("ord")),
+            pe.select("unified_name", F.col("p_name").alias("name"), F.col("pa").alias("amount")))
+
+
+@query("d7_best_employee")
+def d7(spark, sf):
+    from .operators import name_index
+    best = name_index.best_employee(*_linked_employees(spark, sf))
+    return best.select("unified_name", F.col("target").alias("l_item"), "best_match", "tier", F.round("ns", 6).alias("name_sim"))
+
+
+@query("d8_extract_best_employee")
+def d8(spark, sf):
+    from .operators import name_index
+    best = name_index.extract_best_employee(*_linked_employees(spark, sf))
+    return best.select("unified_name", F.col("target").alias("l_item"), "best_match", F.round("score", 6).alias("score"), "reason")
+
+
+@query("d10_employee_match_table")
+def d10(spark, sf):
+    from .operators import name_index
+    m = name_index.employee_match_table(*_linked_employees(spark, sf))
+    return m.select("unified_name", "employee_name", "ledger_name", "payroll_name", F.col("ledger_amount").cast("decimal(18,2)").alias("ledger_amount"),
+                    F.col("payroll_amount").cast("decimal(18,2)").alias("payroll_amount"), "emp_match_type")
+
+
 @query("d13_greedy_assignment")
 def d13(spark, sf):
     return _employee_level(spark, sf)[4]
@@ -485,6 +516,7 @@ def oracle_sql() -> dict[str, str]:
     out.update(oracle.pivot_sql())
     out.update(oracle.client_sql())
     out.update(oracle.employee_sql())
+    out.update(oracle.name_only_sql())
     out.update(oracle.misc_sql())
     out.update(oracle.explicit_sql())
     return {k: v for k, v in out.items() if k in QUERIES}
