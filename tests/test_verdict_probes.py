@@ -14,10 +14,10 @@ def test_greedy_guard_raises_and_chains_end(spark):
     for i in range(5):
         rows += [("c", f"l{i}", float(i), f"p{j}", r + 1) for r, j in enumerate(range(min(i + 1, 5)))]
     cands = spark.createDataFrame(rows, "unified_name string, l_item string, l_o1 double, p_name string, rank int")
-    got = {(r["l_item"], r["p_name"]) for r in employees.greedy_assignment(cands).collect()}
+    got = {(r["l_item"], r["p_name"]) for r in employees.greedy_assignment(cands, fold_edges=0).collect()}
     assert got == {(f"l{i}", f"p{i}") for i in range(5)}
     with pytest.raises(RuntimeError):
-        employees.greedy_assignment(cands, max_rounds=2)
+        employees.greedy_assignment(cands, fold_edges=0, max_rounds=2)
 
 
 def _name_only(spark, client, ledger, payroll):

@@ -8,18 +8,20 @@ amounts (equi-join on the cents amount) or the same sign with
 Names are scored only on those pairs.
 
 The greedy one-to-one assignment (D13) is order dependent: ledger employees,
-in entry order, each take their best still-unused payroll employee. It runs
-as rounds of ordinary joins and aggregations: in a round, a ledger employee
-settles on its best remaining candidate when no earlier unsettled ledger
-employee of the same client still lists that candidate. Its choice can then
-no longer change, so the result equals the sequential fold, yet no client's
-employees are ever collected into one task. Each round is checkpointed.
+in entry order, each take their best still-unused payroll employee. Clients
+are folded in that order, one pass for each; a client with too many candidates
+is first split into contention components, found in a number of rounds that
+grows with the logarithm of the longest chain. A component too large for one
+task runs as rounds of joins: a ledger employee settles on its best remaining
+candidate when no earlier unsettled ledger employee still lists it. Its choice
+can then no longer change, so all three ways equal the sequential fold.
 """
 
 from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -41,6 +43,8 @@ LEDGER_ONLY, PAYROLL_ONLY = "LedgerOnly", "PayrollOnly"
 # ------------------------------------------------------------------------------
 
 _BAND = math.log(7.0 / 3.0)
+#: candidates that one task folds at once
+FOLD_EDGES = 200_000
 
 
 # --- per-client employee totals ------------------------------------------------------
@@ -84,12 +88,8 @@ def context_candidates(le: DataFrame, pe: DataFrame) -> DataFrame:
     pairs = zero.unionByName(band).filter(~is_blank(F.col("l_item")))
     # the name score depends only on the two normalised names: score each distinct
     # name pair once (names recur across clients), then join the score back
-    names = pairs.select("l_norm", "p_norm").distinct()
-    sc = employee_scores(F.col("l_norm"), F.col("p_norm"))
-    name_scores = (names.withColumn("sc", sc)
-                   .select("l_norm", "p_norm",
-                           name_similarity_from(F.col("l_norm"), F.col("p_norm"), F.col("sc")).alias("name_sim")))
-    scored = (pairs.join(name_scores, ["l_norm", "p_norm"])
+    scored = (with_name_scores(pairs.withColumnRenamed("l_norm", "tn").withColumnRenamed("p_norm", "cn")).drop("sc")
+              .withColumnRenamed("tn", "l_norm").withColumnRenamed("cn", "p_norm").withColumnRenamed("ns", "name_sim")
               .withColumn("composite", composite_score(F.col("name_sim"), F.col("qa"), F.col("pa")))
               .filter(F.col("composite") >= CONTEXT_THRESHOLD))
     w = Window.partitionBy("unified_name", "l_item").orderBy(
@@ -104,14 +104,76 @@ def best_context_match(cands: DataFrame) -> DataFrame:
 
 # --- D13 -----------------------------------------------------------------------
 
-def greedy_assignment(cands: DataFrame, max_rounds: int | None = None) -> DataFrame:
-    """One-to-one assignment ``(unified_name, l_item, p_name)``.
+_ASSIGNED = "unified_name string, l_item string, p_name string"
+
+
+def _fold(table: pa.Table) -> pa.Table:
+    """The sequential pass over one bounded group: ledger employees in entry order take their best payroll employee that is left."""
+    listed: dict[tuple, list[tuple]] = {}
+    columns = (table.column(c).to_pylist() for c in ("unified_name", "l_o1", "l_item", "rank", "p_key", "p_name"))
+    for client, o1, item, rank, key, name in zip(*columns, strict=True):
+        listed.setdefault((o1 is not None, o1 or 0, item.encode("utf-8", "surrogatepass"), client, item), []).append((rank, key, name))
+    used: set[str] = set()
+    out = []
+    for who in sorted(listed):
+        for _, key, name in sorted(listed[who]):
+            if key not in used:
+                used.add(key)
+                out.append({"unified_name": who[3], "l_item": who[4], "p_name": name})
+                break
+    return pa.Table.from_pylist(out, pa.schema([(c, pa.string()) for c in ("unified_name", "l_item", "p_name")]))
+
+
+def connected_parts(edges: DataFrame) -> DataFrame:
+    """(node, part) of an undirected graph of edges (u, v), two longs: part is the smallest node of the component. Nodes hang themselves under the smallest
+    neighbour of their neighbours, then under the smallest of their own, until nothing changes; the number of rounds grows with the logarithm of the
+    longest path, not with its length."""
+    def settle(e: DataFrame) -> DataFrame:
+        return cut_lineage(e.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+
+    def state(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+
+    e = settle(edges)
+    before = None
+    while (now := state(e)) != before:
+        before = now
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        e = settle(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        least = e.groupBy("u").agg(F.min("v").alias("m"))
+        e = settle(e.join(least, "u").select("v", F.col("m")).toDF("u", "v").unionByName(least.toDF("u", "v")))
+    return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("part"))
+
+
+def greedy_assignment(cands: DataFrame, fold_edges: int = FOLD_EDGES, max_rounds: int | None = None) -> DataFrame:
+    """One-to-one assignment ``(unified_name, l_item, p_name)``. Consumption is case-insensitive on the payroll name (``p_key``).
+
+    Employees of different clients never compete, nor do those of different contention components (ledger and payroll employees
+    joined by candidates) of one client. A client of at most ``fold_edges`` candidates is folded in entry order in one pass; of a larger one each
+    component; only a component beyond that bound goes through the distributed rounds. ``max_rounds`` bounds those."""
+    edges = cut_lineage(cands.select("unified_name", "l_item", "l_o1", "p_name", F.lower("p_name").alias("p_key"), "rank"))
+    large = edges.groupBy("unified_name").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > fold_edges).select("unified_name")
+    large = cut_lineage(large)
+    out = edges.join(large, "unified_name", "left_anti").groupBy("unified_name").applyInArrow(_fold, _ASSIGNED)
+    if not large.isEmpty():
+        hard = edges.join(large, "unified_name", "left_semi")
+        hard = cut_lineage(hard.withColumn("u", F.xxhash64(F.lit("l"), "unified_name", "l_item")).withColumn("v", F.xxhash64(F.lit("p"), "unified_name", "p_key")))
+        parts = connected_parts(hard.select("u", "v"))
+        # every ledger node hangs under its part, or is the part
+        hard = hard.join(parts, F.col("u") == F.col("node"), "left").withColumn("part", F.coalesce("part", "u")).drop("node", "u", "v")
+        hard = cut_lineage(hard)
+        giant = cut_lineage(hard.groupBy("part").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > fold_edges).select("part"))
+        out = out.unionByName(hard.join(giant, "part", "left_anti").groupBy("part").applyInArrow(_fold, _ASSIGNED))
+        rest = hard.join(giant, "part", "left_semi").drop("part")
+        out = out.unionByName(_assignment_rounds(rest, max_rounds))
+    return cut_lineage(out)
+
 
-    Consumption is case-insensitive on the payroll name (``p_key``). Rounds go on until no candidate is left;
-    each writes what it settled once. ``max_rounds`` is a guard, not a limit: if candidates are left after so many
-    rounds this raises, it never returns a partial assignment."""
-    edges = cut_lineage(cands.select("unified_name", "l_item", "l_o1", "p_name",
-                                     F.lower("p_name").alias("p_key"), "rank"))
+def _assignment_rounds(edges: DataFrame, max_rounds: int | None) -> DataFrame:
+    """The assignment as rounds of joins, for components no task should hold. Rounds go on until no candidate is left; each writes
+    what it settled once. If candidates are left after ``max_rounds`` this raises, it never returns a partial assignment."""
+    edges = cut_lineage(edges)
     done = None
     rounds = 0
     while not edges.isEmpty():
@@ -134,7 +196,7 @@ def greedy_assignment(cands: DataFrame, max_rounds: int | None = None) -> DataFr
         if rounds % 16 == 0:  # the union is a list of table scans: keep it short
             done = cut_lineage(done)
     if done is None:
-        return cands.sparkSession.createDataFrame([], "unified_name string, l_item string, p_name string")
+        return edges.sparkSession.createDataFrame([], _ASSIGNED)
     return done.select("unified_name", "l_item", "p_name")
 
 
@@ -185,7 +247,7 @@ def employee_matches(le: DataFrame, pe: DataFrame, assigned: DataFrame) -> DataF
 
 # --- D7 / D8 / D10 (name-only, over caller-supplied candidate pairs, within an optional group) ----------------
 
-def _with_scores(pairs: DataFrame) -> DataFrame:
+def with_name_scores(pairs: DataFrame) -> DataFrame:
     """Adds sc (the five measures) and ns of the normalised names tn, cn; each distinct pair of names is scored once."""
     names = pairs.select("tn", "cn").distinct().withColumn("sc", employee_scores(F.col("tn"), F.col("cn")))
     names = names.withColumn("ns", name_similarity_from(F.col("tn"), F.col("cn"), F.col("sc")))
@@ -201,7 +263,7 @@ def best_by_name(pairs: DataFrame, target: str = "target", choice: str = "choice
     p = (pairs.filter(~is_blank(F.col(target)))
          .withColumn("tn", normalize_employee(F.col(target))).withColumn("cn", normalize_employee(F.col(choice))))
     tc, cc = name_components(F.col("tn")), name_components(F.col("cn"))
-    p = _with_scores(p)
+    p = with_name_scores(p)
     tier = (F.when(F.lower(F.col(target)) == F.lower(F.col(choice)), F.lit(1))
             .when(F.lower("tn") == F.lower("cn"), F.lit(2))
             .when(tc["valid"] & cc["valid"] & components_similar(F.col("tn"), F.col("cn")), F.lit(3))
@@ -220,7 +282,7 @@ def extract_best_by_name(pairs: DataFrame, threshold: float = EXTRACT_THRESHOLD,
                          choice: str = "choice", choice_order: str = "choice_ord", group: str | None = None, targets: DataFrame | None = None) -> DataFrame:
     """D8 over candidate pairs: best similarity >= threshold with score and reason, for every target of ``targets``
     ([group,] target; by default those of the pairs)."""
-    p = _with_scores(pairs.withColumn("tn", normalize_employee(F.col(target))).withColumn("cn", normalize_employee(F.col(choice))))
+    p = with_name_scores(pairs.withColumn("tn", normalize_employee(F.col(target))).withColumn("cn", normalize_employee(F.col(choice))))
     ok = p.withColumnRenamed("ns", "score").filter((F.col("score") >= threshold) & ~is_blank(F.col(target)))
     ok = ok.withColumn("reason", employee_match_reason_from(F.col("tn"), F.col("cn"), F.col("sc")))
     keys = [target] if group is None else [group, target]

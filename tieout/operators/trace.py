@@ -14,9 +14,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.similarity import composite_score, name_similarity, normalize_employee
+from ..functions.similarity import composite_score, normalize_employee
+from ..session import cut_lineage
 from .clients import ClientMatch, with_flags
-from .employees import CONTEXT_THRESHOLD
+from .employees import CONTEXT_THRESHOLD, with_name_scores
 
 COLUMNS = ["section", "client_name", "side", "employee", "amount", "ledger_name", "payroll_name", "is_linked",
            "ledger_has", "payroll_has", "target", "target_amount", "score", "is_match", "amount_diff"]
@@ -64,8 +65,8 @@ def match_trace(cm: ClientMatch, ledger: DataFrame, payroll: DataFrame, search:
     tgt = first.join(tot, ["qb_name", "target"])
     pe = payroll.groupBy("bill_to_name", "name").agg(F.sum("item_bill").alias("amount"))
     c = (tgt.join(pe, tgt.av_name == pe.bill_to_name)
-         .withColumn("ns", name_similarity(normalize_employee(F.col("target")), normalize_employee(F.col("name"))))
-         .withColumn("score", composite_score(F.col("ns"), F.col("target_amount"), F.col("amount"))))
+         .withColumn("tn", normalize_employee(F.col("target"))).withColumn("cn", normalize_employee(F.col("name"))))
+    c = cut_lineage(with_name_scores(c).drop("sc").withColumn("score", composite_score(F.col("ns"), F.col("target_amount"), F.col("amount"))))
     # the best payroll employee of each client: one small aggregate joined back, no sort of a client's employees
     best = c.filter(F.col("score") >= CONTEXT_THRESHOLD).groupBy("unified_name").agg(
         F.min(F.struct(-F.col("score"), -F.col("ns"), "name"))["name"].alias("best"))
