@@ -112,8 +112,8 @@ def _may_reach(k: Column) -> Column:
 
 
 def ratio_pairs(index: RatioIndex, threshold: float, only: DataFrame | None = None, told: dict | None = None) -> DataFrame:
-    """Pairs (l, r) with ``1 - lev(lower)/maxlen >= threshold``. ``only``: ids of the left side that are asked for. ``told``
-    gets the number of pairs that were scored."""
+    """Pairs (l, r) with ``1 - lev(lower)/maxlen >= threshold``, and their names l_s, r_s. ``only``: ids of the left side that are asked
+    for. ``told`` gets the number of pairs that were scored."""
     pre = index.tokens.filter(F.col("rk") <= _prefix(F.col("m"), threshold))
     side = lambda name: pre.filter(F.col("side") == name).select(F.col("id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in _SHOWN], "token")
     lt, rt = side("l"), side("r")
@@ -123,13 +123,13 @@ def ratio_pairs(index: RatioIndex, threshold: float, only: DataFrame | None = No
     near = F.least("l_n", "r_n") >= F.greatest("l_n", "r_n") * threshold - _EPS
     # tested where the names meet: only pairs that pass are ever written or shuffled
     met = lt.join(rt, "token").filter(near & _may_reach(k)).select("l", "r").distinct()
-    names = lambda p, x: p.select(F.col("id").alias(x), F.col("low").alias(f"{x}_low"), F.col("n").alias(f"{x}_n"))
+    names = lambda p, x: p.select(F.col("id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("s", "low", "n")])
     pairs = met.join(names(index.left, "l"), "l").join(names(index.right, "r"), "r")
     if told is not None:
         pairs = cut_lineage(pairs)
         told["scored"] = pairs.count()
     d = _within(F.col("l_low"), F.col("r_low"), k)
-    return pairs.withColumn("d", d).filter((F.col("d") >= 0) & (F.col("d") <= k)).select("l", "r")
+    return pairs.withColumn("d", d).filter((F.col("d") >= 0) & (F.col("d") <= k)).select("l", "r", "l_s", "r_s")
 
 
 def first_words_candidates(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -177,7 +177,7 @@ def client_candidates(left: DataFrame, right: DataFrame, threshold: float) -> Da
     """All pairs that can reach ``client_similarity >= threshold`` (distinct ``l``, ``r``)."""
     left = left.filter(F.col("s") != "")
     right = right.filter(F.col("s") != "")
-    out = ratio_pairs(ratio_index(left, right), threshold)
+    out = ratio_pairs(ratio_index(left, right), threshold).select("l", "r")
     if FIRST_WORDS_SCORE >= threshold:
         out = out.unionByName(first_words_candidates(left, right))
     if CONTAINS_SCORE >= threshold:
@@ -198,19 +198,18 @@ def best_similar(left: DataFrame, right: DataFrame, floor: float, report: list[d
         told = None if report is None else {"threshold": t, "asked": todo.count()}
         pairs = ratio_pairs(index, t, todo, told)
         # the constant scores count at the first stage that reaches them: whoever has them goes no further
-        if t <= FIRST_WORDS_SCORE < above:
-            pairs = pairs.unionByName(first_words_candidates(todo, right))
-        if t <= CONTAINS_SCORE < above:
-            pairs = pairs.unionByName(contains_candidates(todo, right))
+        others = [join(todo, right) for score, join in ((FIRST_WORDS_SCORE, first_words_candidates), (CONTAINS_SCORE, contains_candidates)) if t <= score < above]
         above = t
-        texts = lambda p, x: p.select(F.col("id").alias(x), F.col("s").alias(f"{x}_s"))
-        scored = pairs.distinct().join(texts(index.left, "l"), "l").join(texts(index.right, "r"), "r")
-        scored = scored.select("l", "r", client_similarity(F.col("l_s"), F.col("r_s")).alias("score")).filter(F.col("score") >= t)
+        if others:
+            texts = lambda p, x: p.select(F.col("id").alias(x), F.col("s").alias(f"{x}_s"))
+            more = reduce(DataFrame.unionByName, others).distinct().join(texts(todo, "l"), "l").join(texts(right, "r"), "r")
+            pairs = pairs.unionByName(more).distinct()
+        scored = pairs.select("l", "r", client_similarity(F.col("l_s"), F.col("r_s")).alias("score")).filter(F.col("score") >= t)
         found = cut_lineage(scored)
         if report is not None:
             report.append({**told, "found": found.count()})
         out = found if out is None else out.unionByName(found)
-        todo = todo.join(found.select(F.col("l").alias("id")), "id", "left_anti")
+        todo = index.left.select("id", "s").join(out.select(F.col("l").alias("id")), "id", "left_anti")
         if t != floor and todo.isEmpty():
             break
     return out
