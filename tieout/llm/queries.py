@@ -51,7 +51,8 @@ def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs.select("doc_id", content_key(F.col("text")).alias("key"), F.octet_length(data).cast("long").alias("n_bytes"), F.sha2(data, 256).alias("sha"))
     zero = F.lit(0).cast("long")
     return rows.join(found, "key", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"),
-                                                  F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+                                                  F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"),
+                                                  (F.col("n_bytes") - F.coalesce("n_removed", zero)).alias("n_left"))
 
 
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
