@@ -1,11 +1,10 @@
 """Employee matching inside linked clients.
 
 Work is on per-(client, employee) totals, never on rows. Candidate pairs for
-the amount-aware match (D9) are generated by *lossless* amount blocking
-(SURVEY section 4, pruning 1): a composite score >= 0.6 needs either equal
-amounts (equi-join on the cents amount) or the same sign with
-``min/max >= 3/7`` (a band join on ``floor(ln|x| / ln(7/3))`` +- 2 buckets).
-Names are scored only on those pairs.
+the amount-aware match (D9) are generated by *lossless* amount blocking and
+name bounds (``amount_join``): a composite score >= 0.6 needs either equal
+amounts or the same sign with ``min/max >= 3/7``, and the further apart the
+amounts, the closer the names. Names are scored only on pairs that allow it.
 
 The greedy one-to-one assignment (D13) is order dependent: ledger employees,
 in entry order, each take their best still-unused payroll employee. Clients
@@ -19,8 +18,6 @@ can then no longer change, so all three ways equal the sequential fold.
 
 from __future__ import annotations
 
-import math
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
@@ -31,6 +28,7 @@ from ..functions.similarity import (amounts_zero_out, components_similar, compos
                                     name_similarity_from, normalize_employee)
 from ..functions.text import is_blank
 from ..session import cut_lineage
+from .amount_join import PAIRS_PER_CELL, may_reach, meet, profile, with_bounded_scores
 from .clients import with_flags
 
 # Fixed values (must equal the reference for identical results) -----------------
@@ -42,7 +40,6 @@ EXACT, NORMALIZED, COMPONENTS, FUZZY = "Exact", "Normalized", "NameComponents",
 LEDGER_ONLY, PAYROLL_ONLY = "LedgerOnly", "PayrollOnly"
 # ------------------------------------------------------------------------------
 
-_BAND = math.log(7.0 / 3.0)
 #: candidates that one task folds at once
 FOLD_EDGES = 200_000
 
@@ -66,32 +63,15 @@ def employee_totals(ledger: DataFrame, payroll: DataFrame, matches: DataFrame) -
     return cut_lineage(le), cut_lineage(pe)
 
 
-def _bucket(x: Column) -> Column:
-    # a hair wider than the band, so rounding in the logarithm cannot put a pair two buckets apart
-    return F.floor(F.log(F.abs(x).cast("double")) / F.lit(_BAND * 1.001)).cast("long")
-
-
-def context_candidates(le: DataFrame, pe: DataFrame) -> DataFrame:
-    """D9 pairs with composite >= 0.6 (lossless amount blocking, then exact scores).
-
-    Two zero amounts meet on the client alone; other amounts on (client, sign, neighbouring log bucket), where pairs
-    further apart than a composite of 0.6 allows (smaller / larger below 3/7) are dropped before any name is scored."""
-    names = ["unified_name", "l_item", "l_o1", "l_norm", "qa", "p_name", "p_norm", "pa"]
-    zero = le.filter("qa = 0").join(pe.filter("pa = 0"), "unified_name").select(names)
-    lb = (le.filter("qa <> 0")
-          .withColumn("sg", F.signum("qa"))
-          .withColumn("bk", F.explode(F.sequence(_bucket(F.col("qa")) - 1, _bucket(F.col("qa")) + 1))))
-    pb = pe.filter("pa <> 0").withColumn("sg", F.signum("pa")).withColumn("bk", _bucket(F.col("pa")))
-    size = lambda c: F.abs(F.col(c).cast("double"))
-    near = F.least(size("qa"), size("pa")) >= 0.42 * F.greatest(size("qa"), size("pa"))
-    band = lb.join(pb, ["unified_name", "sg", "bk"]).filter(near).select(names)
-    pairs = zero.unionByName(band).filter(~is_blank(F.col("l_item")))
-    # the name score depends only on the two normalised names: score each distinct
-    # name pair once (names recur across clients), then join the score back
-    scored = (with_name_scores(pairs.withColumnRenamed("l_norm", "tn").withColumnRenamed("p_norm", "cn")).drop("sc")
-              .withColumnRenamed("tn", "l_norm").withColumnRenamed("cn", "p_norm").withColumnRenamed("ns", "name_sim")
+def context_candidates(le: DataFrame, pe: DataFrame, pairs_per_cell: int = PAIRS_PER_CELL) -> DataFrame:
+    """D9 pairs with composite >= 0.6: pairs meet by client, sign and amount, and are tested there by lossless bounds of the
+    names and the amounts (``amount_join``); what passes is scored exactly."""
+    lp = profile(le.filter(~is_blank(F.col("l_item"))), "l_norm", "qa", "l")
+    pairs = meet(lp, profile(pe, "p_norm", "pa", "p"), pairs_per_cell).filter(may_reach(CONTEXT_THRESHOLD))
+    scored = (with_bounded_scores(pairs, CONTEXT_THRESHOLD)
               .withColumn("composite", composite_score(F.col("name_sim"), F.col("qa"), F.col("pa")))
-              .filter(F.col("composite") >= CONTEXT_THRESHOLD))
+              .filter(F.col("composite") >= CONTEXT_THRESHOLD)
+              .select("unified_name", "l_item", "l_o1", "l_norm", "qa", "p_name", "p_norm", "pa", "name_sim", "composite"))
     w = Window.partitionBy("unified_name", "l_item").orderBy(
         F.col("composite").desc(), F.col("name_sim").desc(), "p_name")
     return cut_lineage(scored.withColumn("rank", F.row_number().over(w)))
