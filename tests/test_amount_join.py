@@ -53,7 +53,8 @@ def test_bounds_hold_for_every_pair(spark):
     met = amount_join.meet(amount_join.profile(le, "l_norm", "qa", "l"), amount_join.profile(pe, "p_norm", "pa", "p"))
     assert met.count() == len(names) ** 2
     letters = F.greatest(ratio(a, b), partial_ratio(a, b), token_sort_ratio(a, b), token_set_ratio(a, b))
-    broken = met.filter((letters > amount_join.letters_bound() + 1e-9) | (component_similarity(a, b) > amount_join.words_bound() + 1e-9))
+    broken = met.filter((letters > amount_join.letters_bound() + 1e-9) | (letters > F.least(amount_join.letters_bound(), amount_join.edits_bound()) + 1e-9)
+                        | (partial_ratio(a, b) > amount_join.windows_bound() + 1e-9) | (component_similarity(a, b) > amount_join.words_bound() + 1e-9))
     assert broken.count() == 0
 
 

@@ -10,6 +10,7 @@ pair is tested where it meets, by
   name's own characters and bigrams (each word once, with a space on either side), so with ``c`` characters and ``g`` bigrams in common and
   the compared strings at least ``L`` long, none of these measures exceeds ``c / L`` nor ``((g + 1) / L + 1) / 2`` (an edit spoils two bigrams).
   The common parts are counted from above by bitmaps of 128 bits.
+* the edits, where the letters allow it: two distances of whole names, which also bound the windows.
 
 Only pairs whose bound reaches what their amounts ask for are written. Their names are scored once for each distinct pair, and the windowed
 measure (C15, one edit distance for each window) only where its bound can still change the result.
@@ -27,15 +28,20 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import (EXACT_AMOUNT_BOOST, FIRST_TWO_COMPONENT_SCORE, PREFIX_COMPONENT_SCORE, component_similarity,
                                     ratio, string_similarity, token_set_ratio, token_sort_ratio, words)
+from ..session import cut_lineage
 from .blocking import _bitmap, _occurrences
 
-#: pairs that one cell of a hot group holds on average
-PAIRS_PER_CELL = 50_000_000
+#: pairs that one cell of a hot group, and one task, holds on average
+PAIRS_PER_CELL = 2_000_000
+#: rows of a task that meets few pairs
+ROWS_PER_PARTITION = 500_000
+MAX_PARTITIONS = 100_000
 _BAND = math.log(7.0 / 3.0)
 _EPS = 1e-9
 _KEYS = ("unified_name", "sg", "bk")
-#: what a name shows of itself: lengths, bitmaps of bigrams and characters, number of words, first and last word
-_SHOWN = ("n", "d", "g0", "g1", "c0", "c1", "nw", "first", "last", "size")
+#: what a name shows of itself: lower-cased, with sorted words, its distinct words; lengths, bitmaps of bigrams and characters,
+#: number of words, first and last word
+_SHOWN = ("low", "sorted", "words", "n", "d", "g0", "g1", "c0", "c1", "nw", "first", "last", "size")
 
 
 def _bucket(x: Column) -> Column:
@@ -47,7 +53,8 @@ def profile(df: DataFrame, name: str, amount: str, side: str) -> DataFrame:
     """``df`` (normalised, single-spaced ``name``) with what the name and the amount show, as ``<side>_<column>``, and sg, bk."""
     low, w = F.col("low"), words(F.col(name))
     out = df.withColumn("low", F.lower(F.col(name))).withColumn("n", F.length("low"))
-    out = out.withColumn("d", F.length(F.array_join(F.array_distinct(words(low)), " ")))
+    out = out.withColumn("sorted", F.array_join(F.array_sort(words(low)), " ")).withColumn("words", F.array_distinct(words(low)))
+    out = out.withColumn("d", F.length(F.array_join("words", " ")))
     padded = F.concat(F.lit(" "), low, F.lit(" "))
     out = out.withColumn("pairs", F.transform(F.sequence(F.lit(1), F.col("n") + 1), lambda i: F.substring(padded, i, F.lit(2))))
     out = out.withColumn("letters", F.split(low, ""))  # columns of their own: an expression would be evaluated again for each element
@@ -59,7 +66,7 @@ def profile(df: DataFrame, name: str, amount: str, side: str) -> DataFrame:
            .withColumn("last", F.when(F.size(w) > 1, F.element_at(w, -1)).otherwise(""))
            .withColumn("size", F.col(amount).cast("double")).withColumn("sg", F.signum("size").cast("int"))
            .withColumn("bk", F.when(F.col("size") == 0, F.lit(0)).otherwise(_bucket(F.col(amount)))))
-    return out.drop("low", "pairs", "letters", "grams", "chars").withColumnsRenamed({c: f"{side}_{c}" for c in _SHOWN})
+    return out.drop("pairs", "letters", "grams", "chars").withColumnsRenamed({c: f"{side}_{c}" for c in _SHOWN})
 
 
 def meet(lp: DataFrame, pp: DataFrame, pairs_per_cell: int = PAIRS_PER_CELL) -> DataFrame:
@@ -67,14 +74,18 @@ def meet(lp: DataFrame, pp: DataFrame, pairs_per_cell: int = PAIRS_PER_CELL) ->
     near = F.when(F.col("sg") == 0, F.array("bk")).otherwise(F.sequence(F.col("bk") - 1, F.col("bk") + 1))
     lp = lp.withColumn("bk", F.explode(near))
     count = lambda df, c: df.groupBy(*_KEYS).agg(F.count(F.lit(1)).alias(c))
-    hot = (count(lp, "nl").join(count(pp, "np"), list(_KEYS))
-           .withColumn("cells", F.ceil(F.sqrt(F.col("nl").cast("double") * F.col("np") / pairs_per_cell)).cast("int"))
-           .filter("cells > 1").select(*_KEYS, "cells"))
+    cells = F.ceil(F.sqrt(F.col("nl").cast("double") * F.col("np") / pairs_per_cell)).cast("int")
+    groups = cut_lineage(count(lp, "nl").join(count(pp, "np"), list(_KEYS)).withColumn("cells", cells))
+    rows, pairs, most = groups.agg(F.sum((F.col("nl") + F.col("np")) * F.col("cells")), F.sum(F.col("nl").cast("double") * F.col("np")), F.max("cells")).first()
+    # work goes with the pairs, not with the bytes by which partitions would be merged: so their number is set
+    parts = min(MAX_PARTITIONS, 1 + int((pairs or 0) // pairs_per_cell) + (rows or 0) // ROWS_PER_PARTITION)
+    hot = groups.filter("cells > 1").select(*_KEYS, "cells")
 
     def deal(df: DataFrame, name: str, own: str, other: str) -> DataFrame:
-        cells = F.coalesce("cells", F.lit(1))
-        return (df.join(hot, list(_KEYS), "left").withColumn(own, F.pmod(F.xxhash64(name), cells).cast("int"))
-                .withColumn(other, F.explode(F.sequence(F.lit(0), cells - 1))).drop("cells"))
+        n = F.coalesce("cells", F.lit(1))
+        df = df.join(hot, list(_KEYS), "left") if (most or 0) > 1 else df.withColumn("cells", F.lit(1))
+        df = df.withColumn(own, F.pmod(F.xxhash64(name), n).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), n - 1))).drop("cells")
+        return df.repartition(parts, *_KEYS, "row", "column")
 
     return deal(lp, "l_item", "row", "column").join(deal(pp, "p_name", "column", "row"), [*_KEYS, "row", "column"])
 
@@ -104,6 +115,22 @@ def letters_bound() -> Column:
     return F.least(F.lit(1.0), shared("c", 0) / longest, ((shared("g", 1) + 1) / longest + 1) / 2)
 
 
+def windows_bound() -> Column:
+    """The windowed measure (C15) does not exceed this. The longer name is a window and ``longer - shorter`` further characters, so
+    the distance of the whole names is at most the window's and that difference."""
+    longest, shortest = F.greatest("l_n", "p_n"), F.least("l_n", "p_n")
+    return F.least(letters_bound(), (longest - F.levenshtein("l_low", "p_low")) / shortest)
+
+
+def edits_bound() -> Column:
+    """Together with :func:`letters_bound` no measure on letters exceeds this: windows (and with them whole names) by the distance of the
+    whole names, sorted words by theirs; distinct words (C17) equal the sorted ones unless a word is shared or repeated."""
+    longest = F.greatest("l_n", "p_n")
+    mixed = F.arrays_overlap("l_words", "p_words") | (F.col("l_d") != F.col("l_n")) | (F.col("p_d") != F.col("p_n"))
+    return (F.when(mixed, F.lit(1.0))
+            .otherwise(F.greatest((longest - F.levenshtein("l_low", "p_low")) / F.least("l_n", "p_n"), 1 - F.levenshtein("l_sorted", "p_sorted") / longest)))
+
+
 def words_bound() -> Column:
     """The component measure (C18) does not exceed this."""
     mean = (string_similarity(F.col("l_first"), F.col("p_first")) + string_similarity(F.col("l_last"), F.col("p_last"))) / 2.0
@@ -111,10 +138,15 @@ def words_bound() -> Column:
     return F.greatest(F.when(agree, F.lit(max(PREFIX_COMPONENT_SCORE, FIRST_TWO_COMPONENT_SCORE))).otherwise(F.lit(0.0)), mean)
 
 
-def may_reach(threshold: float) -> Column:
-    """Whether the bounds of a pair allow a composite of ``threshold``; an empty name never does."""
-    asked = name_asked(threshold) - _EPS
-    return (F.col("l_n") > 0) & (F.col("p_n") > 0) & amounts_near_or_zero() & ((letters_bound() >= asked) | (words_bound() >= asked))
+def that_may_reach(met: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose bounds allow a composite of ``threshold``; an empty name never does. Each bound is a step of its own (a one-element
+    explode, which filters are not pushed through): as one join condition they compile into a method too large for the JVM to optimise."""
+    step = lambda df, name, c: df.withColumn(name, F.explode(F.array(c)))
+    out = met.filter((F.col("l_n") > 0) & (F.col("p_n") > 0) & amounts_near_or_zero())
+    out = step(out, "wanted", name_asked(threshold) - _EPS)
+    out = step(out, "by_letters", letters_bound())
+    out = step(out, "by_edits", F.when(F.col("by_letters") >= F.col("wanted"), edits_bound()).otherwise(F.lit(0.0)))
+    return out.filter((F.col("by_edits") >= F.col("wanted")) | (words_bound() >= F.col("wanted"))).drop("wanted", "by_letters", "by_edits")
 
 
 def amounts_near_or_zero() -> Column:
@@ -129,7 +161,7 @@ def windows_matter() -> Column:
 
 def distinct_names(pairs: DataFrame, threshold: float) -> DataFrame:
     """Each distinct (tn, cn) of the pairs that met with its bound, the least that any pair asks of it, and ``cheap``: the best of all but the windows."""
-    names = (pairs.withColumn("asked", name_asked(threshold)).withColumn("bound", letters_bound())
+    names = (pairs.withColumn("asked", name_asked(threshold)).withColumn("bound", windows_bound())
              .groupBy(F.col("l_norm").alias("tn"), F.col("p_norm").alias("cn"))
              .agg(F.min("asked").alias("asked"), F.min("bound").alias("bound")))
     a, b = F.col("tn"), F.col("cn")

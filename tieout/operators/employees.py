@@ -28,7 +28,7 @@ from ..functions.similarity import (amounts_zero_out, components_similar, compos
                                     name_similarity_from, normalize_employee)
 from ..functions.text import is_blank
 from ..session import cut_lineage
-from .amount_join import PAIRS_PER_CELL, may_reach, meet, profile, with_bounded_scores
+from .amount_join import PAIRS_PER_CELL, meet, profile, that_may_reach, with_bounded_scores
 from .clients import with_flags
 
 # Fixed values (must equal the reference for identical results) -----------------
@@ -67,7 +67,7 @@ def context_candidates(le: DataFrame, pe: DataFrame, pairs_per_cell: int = PAIRS
     """D9 pairs with composite >= 0.6: pairs meet by client, sign and amount, and are tested there by lossless bounds of the
     names and the amounts (``amount_join``); what passes is scored exactly."""
     lp = profile(le.filter(~is_blank(F.col("l_item"))), "l_norm", "qa", "l")
-    pairs = meet(lp, profile(pe, "p_norm", "pa", "p"), pairs_per_cell).filter(may_reach(CONTEXT_THRESHOLD))
+    pairs = that_may_reach(meet(lp, profile(pe, "p_norm", "pa", "p"), pairs_per_cell), CONTEXT_THRESHOLD)
     scored = (with_bounded_scores(pairs, CONTEXT_THRESHOLD)
               .withColumn("composite", composite_score(F.col("name_sim"), F.col("qa"), F.col("pa")))
               .filter(F.col("composite") >= CONTEXT_THRESHOLD)

@@ -49,7 +49,7 @@ def main() -> None:
         near = aj.meet(lp, pp).filter(aj.amounts_near_or_zero()).count()
         band = time.time() - began
         began = time.time()
-        pairs = cut_lineage(aj.meet(lp, pp).filter(aj.may_reach(CONTEXT_THRESHOLD)))
+        pairs = cut_lineage(aj.that_may_reach(aj.meet(lp, pp), CONTEXT_THRESHOLD))
         kept = pairs.count()
         joined = time.time() - began
         began = time.time()
