@@ -30,6 +30,7 @@ from .blocking import best_similar
 from ..functions.text import is_blank
 from ..session import cut_lineage
 from .sizing import broadcast_if_small
+from .totals import least_amount, summed
 
 # Fixed values (must equal the reference for identical results) -----------------
 RULE_FUZZY_THRESHOLD = 0.75
@@ -89,10 +90,10 @@ def bidirectional_rules(rules: DataFrame) -> DataFrame:
 def ledger_clients(ledger: DataFrame, materialize: bool = True) -> DataFrame:
     """Distinct ledger clients with total, normalised name and entry-order key
     (G1: the source sorts rows by amount, item, name; a client's position is
-    its first row). One row per client: checkpointed, because every matching
+    its first row), from cleaned rows or their totals. One row per client: checkpointed, because every matching
     tier reads it and the row-level lineage behind it is long."""
     out = (ledger.groupBy(F.col("name").alias("qb_name"))
-           .agg(F.sum("amount").alias("qb_total"), F.min(F.struct("amount", "item")).alias("o"))
+           .agg(summed(ledger, "amount").alias("qb_total"), F.min(F.struct(least_amount(ledger), "item")).alias("o"))
            .select("qb_name", "qb_total", F.col("o.amount").alias("qb_o1"), F.col("o.item").alias("qb_o2"),
                    normalize_client(F.col("qb_name")).alias("qb_norm")))
     return cut_lineage(out) if materialize else out
@@ -100,9 +101,9 @@ def ledger_clients(ledger: DataFrame, materialize: bool = True) -> DataFrame:
 
 def payroll_clients(payroll: DataFrame, materialize: bool = True) -> DataFrame:
     """Distinct payroll clients with total, normalised name and entry-order key
-    (G2: rows sorted by employee name, then bill-to)."""
+    (G2: rows sorted by employee name, then bill-to), from cleaned rows or their totals."""
     out = (payroll.groupBy(F.col("bill_to_name").alias("av_name"))
-           .agg(F.sum("item_bill").alias("av_total"), F.min("name").alias("av_o1"))
+           .agg(summed(payroll, "item_bill").alias("av_total"), F.min("name").alias("av_o1"))
            .withColumn("av_norm", normalize_client(F.col("av_name"))))
     return cut_lineage(out) if materialize else out
 

@@ -30,6 +30,7 @@ from ..functions.text import is_blank
 from ..session import cut_lineage
 from .amount_join import PAIRS_PER_CELL, meet, profile, that_may_reach, with_bounded_scores
 from .clients import with_flags
+from .totals import least_amount, summed
 
 # Fixed values (must equal the reference for identical results) -----------------
 CONTEXT_THRESHOLD = 0.6          # D9 composite
@@ -54,10 +55,10 @@ def employee_totals(ledger: DataFrame, payroll: DataFrame, matches: DataFrame) -
     # aggregate rows to (client, employee) first, then join the aggregates to the
     # link table: a hot client never sends its rows through a join shuffle
     lagg = (ledger.groupBy("name", F.col("item").alias("l_item"))
-            .agg(F.sum("amount").alias("qa"), F.min("amount").alias("l_o1")))
+            .agg(summed(ledger, "amount").alias("qa"), F.min(least_amount(ledger)).alias("l_o1")))
     le = (lagg.join(linked, lagg.name == linked.qb_name)
           .select("unified_name", "l_item", "qa", "l_o1", normalize_employee(F.col("l_item")).alias("l_norm")))
-    pagg = payroll.groupBy("bill_to_name", F.col("name").alias("p_name")).agg(F.sum("item_bill").alias("pa"))
+    pagg = payroll.groupBy("bill_to_name", F.col("name").alias("p_name")).agg(summed(payroll, "item_bill").alias("pa"))
     pe = (pagg.join(linked, pagg.bill_to_name == linked.av_name)
           .select("unified_name", "p_name", "pa", normalize_employee(F.col("p_name")).alias("p_norm")))
     return cut_lineage(le), cut_lineage(pe)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .clients import NO_PAYMENT_METHOD, ClientMatch, match_notes
+from .totals import least_amount, row_count, summed
 
 
 def first_deposit_method(deposits: DataFrame) -> DataFrame:
@@ -21,12 +22,12 @@ def first_deposit_method(deposits: DataFrame) -> DataFrame:
 
 def ledger_client_stats(ledger: DataFrame, with_lists: bool = True) -> DataFrame:
     """B10/B12/B13 ledger side: total, distinct types, job sites in entry order."""
-    base = ledger.groupBy("name").agg(F.sum("amount").alias("qb_balance"),
+    base = ledger.groupBy("name").agg(summed(ledger, "amount").alias("qb_balance"),
                                       F.countDistinct("type").alias("qb_invoice_count"))
     if not with_lists:
         return base
     sites = (ledger.filter(F.col("memo") != "")
-             .groupBy("name", "memo").agg(F.min(F.struct("amount", "item")).alias("o"))
+             .groupBy("name", "memo").agg(F.min(F.struct(least_amount(ledger), "item")).alias("o"))
              .groupBy("name")
              .agg(F.sort_array(F.collect_list(F.struct("o", "memo"))).alias("s"))
              .select("name", F.transform("s", lambda x: x["memo"]).alias("job_sites")))
@@ -35,8 +36,8 @@ def ledger_client_stats(ledger: DataFrame, with_lists: bool = True) -> DataFrame
 
 def payroll_client_stats(payroll: DataFrame, with_lists: bool = True) -> DataFrame:
     """B10/B12/B13 payroll side: total, row count, distinct employees by name."""
-    base = payroll.groupBy("bill_to_name").agg(F.sum("item_bill").alias("avi_balance"),
-                                               F.count(F.lit(1)).alias("avionte_record_count"))
+    base = payroll.groupBy("bill_to_name").agg(summed(payroll, "item_bill").alias("avi_balance"),
+                                               row_count(payroll).alias("avionte_record_count"))
     if not with_lists:
         return base
     emps = (payroll.select("bill_to_name", "name").distinct()
@@ -56,7 +57,7 @@ def client_employees_long(payroll: DataFrame) -> DataFrame:
 def client_job_sites_long(ledger: DataFrame) -> DataFrame:
     """B12 long form: one row per (ledger client, distinct non-empty job site) with its entry order."""
     return (ledger.filter(F.col("memo") != "").groupBy(F.col("name").alias("client_name"), F.col("memo").alias("job_site"))
-            .agg(F.min(F.struct("amount", "item")).alias("first_seen")))
+            .agg(F.min(F.struct(least_amount(ledger), "item")).alias("first_seen")))
 
 
 def client_summary(cm: ClientMatch, ledger: DataFrame, payroll: DataFrame, deposits: DataFrame | None,
@@ -100,9 +101,9 @@ def client_summary(cm: ClientMatch, ledger: DataFrame, payroll: DataFrame, depos
 def dashboard_kpis(ledger: DataFrame, payroll: DataFrame, summary: DataFrame, variances: DataFrame) -> DataFrame:
     """Record counts, client count and variance count in one row."""
     one = F.lit(1)
-    return ledger.agg(F.count(one).alias("ledger_records")).select(
+    return ledger.agg(row_count(ledger).alias("ledger_records")).select(
         "ledger_records",
-        payroll.agg(F.count(one)).scalar().alias("payroll_records"),
+        payroll.agg(row_count(payroll)).scalar().alias("payroll_records"),
         summary.agg(F.count(one)).scalar().alias("clients"),
         variances.agg(F.count(one)).scalar().alias("variances"))
 

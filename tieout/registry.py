@@ -88,8 +88,9 @@ def b8(spark, sf):
 
 # --- 2.3 client matching -------------------------------------------------------------
 
-def _match(spark, sf):
-    i = fixture_inputs(spark, sf, materialize=True)
+def _match(spark, sf, rows=False):
+    """Inputs and client matches; ``rows`` for queries that show single rows, the others read totals."""
+    i = fixture_inputs(spark, sf, materialize=rows, totals=not rows)
     return i, clients.unified_matches(i.ledger, i.payroll, i.rules)
 
 
@@ -403,7 +404,7 @@ def g6(spark, sf):
 @query("e7_match_trace")
 def e7(spark, sf):
     from .operators import trace
-    i, cm = _match(spark, sf)
+    i, cm = _match(spark, sf, rows=True)
     return trace.match_trace(cm, i.ledger, i.payroll, "Okafor")
 
 

@@ -37,6 +37,13 @@ DEPOSIT_SCHEMA = T.StructType([
     T.StructField("client_name", T.StringType()), T.StructField("payment_method", T.StringType()),
     T.StructField("amount", T.DecimalType(18, 2)), T.StructField("deposit_date", T.DateType()),
     T.StructField("check_number", T.StringType()), T.StructField("row_idx", T.LongType())])
+LEDGER_TOTALS_SCHEMA = T.StructType([
+    T.StructField("name", T.StringType()), T.StructField("memo", T.StringType()), T.StructField("item", T.StringType()),
+    T.StructField("type", T.StringType()), T.StructField("amount", T.DecimalType(28, 2)),
+    T.StructField("amount_min", T.DecimalType(18, 2)), T.StructField("n_rows", T.LongType())])
+PAYROLL_TOTALS_SCHEMA = T.StructType([
+    T.StructField("name", T.StringType()), T.StructField("bill_to_name", T.StringType()),
+    T.StructField("item_bill", T.DecimalType(28, 2)), T.StructField("n_rows", T.LongType())])
 
 
 def _resolve(df: DataFrame, headers: dict[str, str], overrides: dict[str, str] | None) -> dict[str, str]:
@@ -95,6 +102,26 @@ def clean_ledger(raw: DataFrame, columns: dict[str, str] | None = None, keep: li
     return out.filter(F.col("amount").isNotNull())
 
 
+def ledger_totals(raw: DataFrame, columns: dict[str, str] | None = None) -> DataFrame:
+    """The rows of :func:`clean_ledger` summed up: ``name, memo, item, type`` with ``amount`` (sum), ``amount_min`` and ``n_rows``.
+
+    Rows are summed by their raw cells in one map-side-combined aggregation, and each distinct cell is cleaned once. Cells that clean
+    to the same text leave several rows with the same names: what reads totals adds them up (``operators.totals``)."""
+    m = _resolve(raw, LEDGER_HEADERS, columns)
+    if "type" not in m or "name" not in m:
+        return _empty(raw.sparkSession, LEDGER_TOTALS_SCHEMA)
+    cells = raw.filter(~is_blank(_c(m["type"]))).select(
+        *[(_c(m[k]).cast("string") if k in m else F.lit("")).alias(k) for k in ("name", "item", "type")],
+        (money(_c(m["amount"]), _t(raw, m["amount"])) if "amount" in m else F.lit(0).cast("decimal(18,2)")).alias("cents"))
+    # an amount that does not parse is null: sum, minimum and count leave it out (a filter would parse every amount twice)
+    sums = cells.groupBy("name", "item", "type").agg(F.sum("cents").alias("amount"), F.min("cents").alias("amount_min"),
+                                                     F.count("cents").alias("n_rows"))
+    name = text_cell("name")
+    return sums.filter("n_rows > 0").select(
+        clean_client_name(name).alias("name"), job_site(name).alias("memo"), text_cell("item").alias("item"),
+        text_cell("type").alias("type"), "amount", "amount_min", "n_rows")
+
+
 def ledger_rejects(raw: DataFrame, columns: dict[str, str] | None = None) -> DataFrame:
     """A5 companion: non-blank-type rows whose amount cell does not parse."""
     m = _resolve(raw, LEDGER_HEADERS, columns)
@@ -133,6 +160,23 @@ def clean_payroll(raw: DataFrame, columns: dict[str, str] | None = None, *, week
     return out
 
 
+def payroll_totals(raw: DataFrame, columns: dict[str, str] | None = None, rollup_prefixes=DEFAULT_ROLLUP_PREFIXES) -> DataFrame:
+    """The rows of :func:`clean_payroll` summed up like :func:`ledger_totals`: ``name, bill_to_name`` with ``item_bill`` (sum) and ``n_rows``."""
+    m = _resolve(raw, PAYROLL_HEADERS, columns)
+    if any(k not in m for k in PAYROLL_HEADERS.values()):
+        return _empty(raw.sparkSession, PAYROLL_TOTALS_SCHEMA)
+    names = ("first_name", "last_name", "bill_to_name")
+    cells = raw.select(
+        *[_c(m[k]).cast("string").alias(k) for k in names], money(_c(m["item_bill"]), _t(raw, m["item_bill"])).alias("cents"),
+        money(_c(m["item_pay"]), _t(raw, m["item_pay"])).alias("item_pay"),
+        try_date(_c(m["week_worked"]), _t(raw, m["week_worked"])).alias("week_worked"))
+    whole = F.when(F.col("item_pay").isNotNull() & F.col("week_worked").isNotNull(), F.col("cents"))
+    sums = cells.groupBy(*names).agg(F.sum(whole).alias("item_bill"), F.count(whole).alias("n_rows"))
+    return sums.filter("n_rows > 0").select(
+        full_name("first_name", "last_name").alias("name"),
+        rollup_prefix(text_cell("bill_to_name"), rollup_prefixes).alias("bill_to_name"), "item_bill", "n_rows")
+
+
 def payroll_rejects(raw: DataFrame, columns: dict[str, str] | None = None) -> DataFrame:
     """A5 companion: raw payroll rows with a bill, pay or date cell that does not parse."""
     m = _resolve(raw, PAYROLL_HEADERS, columns)
