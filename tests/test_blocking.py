@@ -76,3 +76,12 @@ def test_contains_candidates_short_strings(spark):
     right = spark.createDataFrame([("abc", "abc"), ("qq", "qq")], "id string, s string")
     got = {(r.l, r.r) for r in contains_candidates(left, right, min_len=1).collect()}
     assert {("a", "abc"), ("bc", "abc")} <= got
+
+
+def test_few_names_take_one_stage_and_many_all(spark):
+    left, right = (spark.createDataFrame([(x, x) for x in s], "id string, s string") for s in (
+        ["Harbor Mechanical", "Summit Electric", "Beacon Paving", "Zq"], ["Harbor Mechanicxal", "Summit Electric LLC", "Paving Beacon", "Beacon Pavings", "Harbor"]))
+    few, many = [], []
+    one, all_ = best_similar(left, right, 0.5, few), best_similar(left, right, 0.5, many, one_stage_pairs=0)
+    assert [r["threshold"] for r in few] == [0.5] and len(many) > 1
+    assert best_of(one) == best_of(all_) == slow_best(left, right, 0.5)

@@ -72,3 +72,38 @@ def test_matching_queries_write_nothing_that_grows_with_the_rows(spark, tmp_path
     written = [[t.count() for t in (i.ledger, i.payroll)] for i, _ in
                (registry._match(spark, _tables(spark, tmp_path / str(k), k)) for k in (2, 12))]
     assert written[0] == written[1] and min(written[0]) > 0
+
+
+def test_totals_of_both_sides_are_written_at_the_same_time(spark):
+    """Each job waits for the file of the other: written one after the other, the first would never end well."""
+    import os
+    import tempfile
+    import time
+
+    from tieout.session import cut_lineages
+    seen = tempfile.mkdtemp()
+
+    def waits(mine, other):
+        def run(batches):
+            open(f"{seen}/{mine}", "w").close()
+            until = time.time() + 30
+            while not os.path.exists(f"{seen}/{other}") and time.time() < until:
+                time.sleep(0.05)
+            assert os.path.exists(f"{seen}/{other}")
+            yield from batches
+        return run
+
+    a, b = (spark.range(k, k + 3, numPartitions=1).mapInArrow(waits(x, y), "id long") for k, x, y in ((0, "a", "b"), (10, "b", "a")))
+    a, b = cut_lineages(a, b)
+    assert sorted(r.id for r in a.collect()) == [0, 1, 2] and sorted(r.id for r in b.collect()) == [10, 11, 12]
+
+
+def test_short_ways_of_money_and_blank_cells(spark):
+    from tieout.functions import text
+    cells = [None, "", "~", "~ ", "!", "\x7f", "\x1f", "n/a", "1", " 1 ", "1,200.50", "1e3", "+5", "-.5", "1.005", "12345678901234567", "1,", ",", "1 2", "\u00a01\u2003", "é",
+             "a ", "NaN", "0x1", "1d", *text.WS_CHARS, text.WS_CHARS, *(w + "7.5" + w for w in text.WS_CHARS), *(w + "x" for w in text.WS_CHARS)]
+    df = spark.createDataFrame([(c,) for c in cells], "c string")
+    trimmed = text.trim_ws("c")
+    long_way = (F.replace(trimmed, F.lit(","), F.lit("")).try_cast("decimal(18,2)"), F.col("c").isNull() | (F.length(trimmed) == 0))
+    rows = df.select("c", text.money(F.col("c")).alias("m"), text.is_blank("c").alias("b"), long_way[0].alias("m0"), long_way[1].alias("b0")).collect()
+    assert len(rows) == len(cells) and all((r.m, r.b) == (r.m0, r.b0) for r in rows), [r for r in rows if (r.m, r.b) != (r.m0, r.b0)]

@@ -34,9 +34,9 @@ def trim_ws(c) -> Column:
 
 
 def is_blank(c) -> Column:
-    """Null, empty or white space only."""
-    c = col_(c)
-    return c.isNull() | (F.length(trim_ws(c)) == 0)
+    """Null, empty or white space only. (Only text whose first byte is no visible ASCII character is trimmed: other text is not blank.)"""
+    c = col_(c).cast("string")
+    return c.isNull() | (((c < "!") | (c > "~")) & (F.length(trim_ws(c)) == 0))
 
 
 def text_cell(c) -> Column:
@@ -86,7 +86,9 @@ def money(c, dtype=None) -> Column:
     A numeric source column is cast directly (no text round trip)."""
     if dtype is not None and isinstance(dtype, NumericType):
         return col_(c).try_cast("decimal(18,2)")
-    return F.replace(trim_ws(col_(c).cast("string")), F.lit(","), F.lit("")).try_cast("decimal(18,2)")
+    text = col_(c).cast("string")
+    # plain numbers are cast as they stand; only what is left is trimmed and freed from separators
+    return F.coalesce(text.try_cast("decimal(18,2)"), F.replace(trim_ws(text), F.lit(","), F.lit("")).try_cast("decimal(18,2)"))
 
 
 #: text dates besides ISO, as the source's culture writes them

@@ -27,11 +27,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import CONTAINS_SCORE, FIRST_WORDS_SCORE, client_similarity, first_n_words
-from ..session import cut_lineage
+from ..session import cut_lineage, cut_lineages
 
 
 #: thresholds of :func:`best_similar`, from the top
 STAGES = (0.85, 0.75, 0.7, 0.6, 0.55, 0.5)
+#: up to so many pairs of names one stage, at the floor, costs less than the jobs of all of them
+ONE_STAGE_PAIRS = 250_000
 #: cut-offs of the edit distance (the built-in takes literals only)
 _CUTOFFS = (2, 4, 6, 9, 13, 20, 30)
 _EPS = 1e-9
@@ -92,7 +94,7 @@ class RatioIndex:
 
 
 def ratio_index(left: DataFrame, right: DataFrame) -> RatioIndex:
-    lp, rp = cut_lineage(_profiles(left)), cut_lineage(_profiles(right))
+    lp, rp = cut_lineages(_profiles(left), _profiles(right))
     each = lambda p, side: p.select(F.lit(side).alias("side"), "id", *_SHOWN, F.explode("grams").alias("token"))
     t = each(lp, "l").unionByName(each(rp, "r"))
     t = t.withColumn("key", F.concat_ws("\u0001", "side", F.col("id").cast("string")))
@@ -185,16 +187,18 @@ def client_candidates(left: DataFrame, right: DataFrame, threshold: float) -> Da
     return out.distinct()
 
 
-def best_similar(left: DataFrame, right: DataFrame, floor: float, report: list[dict] | None = None) -> DataFrame:
+def best_similar(left: DataFrame, right: DataFrame, floor: float, report: list[dict] | None = None,
+                 one_stage_pairs: int = ONE_STAGE_PAIRS) -> DataFrame:
     """(l, r, score) with, for every left name that reaches ``floor`` with any right name, all its best pairs (and perhaps lesser ones).
 
     Goes down the stages; what a name has found at one of them holds its best score, so it takes no part in the next. ``report`` gets
-    a row for each stage: threshold, left names asked, pairs scored and pairs found."""
+    a row for each stage: threshold, left names asked, pairs scored and pairs found. Up to ``one_stage_pairs`` pairs of names there is one stage, the floor."""
     left = left.filter(F.col("s") != "").select("id", "s")
     right = right.filter(F.col("s") != "").select("id", "s")
     index = ratio_index(left, right)
     todo, out, above = index.left.select("id", "s"), None, 1.0 + _EPS
-    for t in [x for x in STAGES if x > floor] + [floor]:
+    few = index.left.count() * index.right.count() <= one_stage_pairs
+    for t in [x for x in STAGES if x > floor and not few] + [floor]:
         told = None if report is None else {"threshold": t, "asked": todo.count()}
         pairs = ratio_pairs(index, t, todo, told)
         # the constant scores count at the first stage that reaches them: whoever has them goes no further

@@ -28,7 +28,7 @@ from ..functions.similarity import (amounts_zero_out, client_match_reason, clien
                                     normalize_client)
 from .blocking import best_similar
 from ..functions.text import is_blank
-from ..session import cut_lineage
+from ..session import cut_lineage, cut_lineages
 from .sizing import broadcast_if_small
 from .totals import least_amount, summed
 
@@ -201,7 +201,7 @@ def unified_matches(ledger: DataFrame, payroll: DataFrame, rules: DataFrame) ->
     payroll clients nobody linked (case-insensitive) as payroll-only. Keys are
     case-insensitive and a later write replaces an earlier one: ledger names
     in entry order, then payroll names in entry order."""
-    lc, pc = ledger_clients(ledger), payroll_clients(payroll)
+    lc, pc = cut_lineages(ledger_clients(ledger, materialize=False), payroll_clients(payroll, materialize=False))
     best = best_payroll_client(lc, pc, rules)
     rb = broadcast_if_small(bidirectional_rules(rules), 100_000)
     led = (lc.join(best.select("qb_name", "av_name"), "qb_name", "left")

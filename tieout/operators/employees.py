@@ -27,7 +27,7 @@ from ..functions.similarity import (amounts_zero_out, components_similar, compos
                                     employee_scores, first_two_words_similar, name_components,
                                     name_similarity_from, normalize_employee)
 from ..functions.text import is_blank
-from ..session import cut_lineage
+from ..session import cut_lineage, cut_lineages
 from .amount_join import PAIRS_PER_CELL, meet, profile, that_may_reach, with_bounded_scores
 from .clients import with_flags
 from .totals import least_amount, summed
@@ -61,7 +61,7 @@ def employee_totals(ledger: DataFrame, payroll: DataFrame, matches: DataFrame) -
     pagg = payroll.groupBy("bill_to_name", F.col("name").alias("p_name")).agg(summed(payroll, "item_bill").alias("pa"))
     pe = (pagg.join(linked, pagg.bill_to_name == linked.av_name)
           .select("unified_name", "p_name", "pa", normalize_employee(F.col("p_name")).alias("p_norm")))
-    return cut_lineage(le), cut_lineage(pe)
+    return cut_lineages(le, pe)
 
 
 def context_candidates(le: DataFrame, pe: DataFrame, pairs_per_cell: int = PAIRS_PER_CELL) -> DataFrame:

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import cut_lineage
+from ..session import cut_lineages
 from ..sources.fixtures import register_fixtures
 from ..sources.readers import clean_deposits, clean_ledger, clean_payroll, ledger_totals, payroll_totals
 
@@ -32,7 +32,7 @@ class Inputs:
 
 def fixture_inputs(spark: SparkSession, sf_dir: str, materialize: bool = False, totals: bool = False) -> Inputs:
     """Cleaned inputs. ``materialize=True`` writes the cleaned ledger and
-    payroll once as parquet tables (``cut_lineage``) for pipelines that read
+    payroll once as parquet tables (``cut_lineages``) for pipelines that read
     their rows several times; deposits (read once) and single-pass queries stay lazy.
     ``totals=True`` hands on (and writes) the totals of both instead of the rows,
     for pipelines that only aggregate them."""
@@ -41,9 +41,9 @@ def fixture_inputs(spark: SparkSession, sf_dir: str, materialize: bool = False,
     payroll = clean_payroll(spark.table("f_payroll"))
     deposits = clean_deposits(spark.table("f_deposits"), columns={"amount": "amount_text"})
     if totals:
-        ledger = cut_lineage(ledger_totals(spark.table("f_ledger"), columns={"amount": "amount_text"}))
-        payroll = cut_lineage(payroll_totals(spark.table("f_payroll")))
+        ledger, payroll = cut_lineages(ledger_totals(spark.table("f_ledger"), columns={"amount": "amount_text"}),
+                                       payroll_totals(spark.table("f_payroll")))
     elif materialize:
-        ledger, payroll = cut_lineage(ledger), cut_lineage(payroll)
+        ledger, payroll = cut_lineages(ledger, payroll)
     return Inputs(ledger=ledger, payroll=payroll, deposits=deposits, rules=spark.table("f_rules"),
                   order_lines=spark.table("f_order_lines"), annotations=spark.sql(F_ANNOTATIONS))
