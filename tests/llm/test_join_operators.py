@@ -104,6 +104,44 @@ def test_repeated_spans_equal_brute_force(docs_of, hot):
     assert suffix.repeated_spans(F.col("text"), docs.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("at_once", [3, 1 << 16])
+def test_repeated_starts_equal_brute_force(monkeypatch, at_once):
+    from collections import Counter
+    monkeypatch.setattr(suffix, "FRONTIER_ROWS", at_once)
+    rng = random.Random(31)
+    for letters, size in (("ab", 20), ("abcdefgh", 11), ("ab", 5), ("\u00e9\u4e2d", 30)):
+        pieces = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 40))) for _ in range(6)]
+        parts = ["".join(rng.choice(pieces) for _ in range(4)).encode() + bytes(size) for _ in range(60)]
+        own, weights = [len(p) - size + 1 for p in parts], [rng.choice([1, 1, 1, 2, 300, 1 << 40]) for _ in parts]
+        seen = Counter()
+        for p, n, w in zip(parts, own, weights, strict=True):
+            for i in range(n):
+                seen[p[i:i + size]] += w
+        got = suffix.repeated_starts(parts, own, weights, size)
+        assert [g.tolist() for g in got] == [[seen[p[i:i + size]] >= 2 for i in range(n)] for p, n in zip(parts, own, strict=True)]
+
+
+def test_memory_of_blocks_is_bounded():
+    import tracemalloc
+
+    import pyarrow as pa
+    rng = random.Random(37)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    texts = [" ".join(rng.choice(words) for _ in range(90)).encode()[:500] for _ in range(3000)]
+    parts = [t for t in texts for _ in range(2)]  # each anchor has two segments, the second changed in its last byte
+    parts = [p if i % 2 else p[:-1] + b"#" for i, p in enumerate(parts)]
+    batch = pa.RecordBatch.from_pydict({"anchor": [i // 2 for i in range(len(parts))], "seg": list(range(len(parts))), "copies": [1] * len(parts),
+                                        "own": [len(p) - 399 for p in parts], "part": parts})
+    tracemalloc.start()
+    try:
+        out = [r for b in suffix._blocks(400, suffix.BLOCK_BYTES)(iter([batch])) for r in b.to_pylist()]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(out) == len(parts) and {(r["first"], r["last"] - len(parts[r["seg"]]) + 400) for r in out} == {(0, -1)}
+    assert peak < 48 << 20, peak >> 20  # two tasks run in each executor
+
+
 def slow_near_dedup(rows):
     """(id, text) of the row that stays of each component; texts without a word only lose repeated rows with an id."""
     numbered = [(i, t) for i, (_, t) in enumerate(rows)]
