@@ -209,6 +209,23 @@ def test_pipeline_cuts_passages_of_over_50_short_words(spark, docs_of):
     assert (got[107], got[108]) == ("xy", "z ")
 
 
+def test_memory_of_word_codes_is_bounded():
+    import tracemalloc
+
+    from tieout.llm.passages import WordCodes, text_codes
+    codes = WordCodes()
+    text_codes("warm up", codes)
+    tracemalloc.start()
+    try:
+        for i in range(0, 300_000, 1000):
+            text_codes(" ".join(f"w{j}" for j in range(i, i + 1000)), codes)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 16 << 20, peak >> 20
+    assert text_codes("w5 w5", codes) == text_codes("w5 w5", WordCodes())
+
+
 # ---- decontamination -----------------------------------------------------------------------------------
 
 def slow_hits(text, items, window):
